@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import BYTE_VALUE, hash_words, materialize, mix, powers, text_key, text_views
+from tidewell.llm.common import BYTE_VALUE, delete_path, hash_words, materialize, mix, powers, text_key, text_views, work_path
 
 ROWS_OUT = 100_000
 
@@ -125,7 +125,9 @@ class Repeats:
             )
 
         found = texts.select("th", "text").mapInArrow(extract, "th binary, pos int, key long")
-        return materialize(found, "anchors").withColumn("oid", F.xxhash64("th", "pos"))
+        self.anchors_path = work_path(self.spark, "anchors")
+        found.write.parquet(self.anchors_path)
+        return self.spark.read.schema(found.schema).parquet(self.anchors_path).withColumn("oid", F.xxhash64("th", "pos"))
 
     def classes(self, texts: DataFrame, found: DataFrame, keys: DataFrame) -> DataFrame:
         """(key, cls, th, pos, lo, hi): the context of each anchor whose key is repeated, as a 128-bit class."""
@@ -152,7 +154,9 @@ class Repeats:
 
         schema = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("th", pa.binary()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
         ddl = "key long, cls binary, th binary, pos int, lo int, hi int"
-        return materialize(texts.select("th", "text").join(listed, "th").mapInArrow(contexts, ddl), "classes")
+        out = materialize(texts.select("th", "text").join(listed, "th").mapInArrow(contexts, ddl), "classes")
+        delete_path(self.spark, self.anchors_path)  # nothing reads the anchors from here on
+        return out
 
     def spans(self, texts: DataFrame, classes: DataFrame) -> DataFrame:
         """(th, lo, hi): unit ranges covered by repeated windows; they may overlap."""

@@ -58,11 +58,15 @@ class LevelFamily:
         return table
 
     def repeated(self) -> DataFrame:
+        """Keys seen twice. Closes the family: its levels are dropped."""
         keys = [self.search.spark.table(t).filter("twice").select("key") for _, t in self.levels] + self.found
         out = keys[0]
         for more in keys[1:]:
             out = out.union(more)
-        return materialize(out.distinct(), "repeated")
+        keys = materialize(out.distinct(), "repeated")
+        for _, table in self.levels:
+            self.search.drop(table)
+        return keys
 
 
 def kept_bytes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
