@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontam, mixing, pii, quality, rlz_dedup, simhash, suffix_dedup, warc
+from tidewell.llm import chat, decontam, mixing, pii, quality, rlz_dedup, simhash, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    listed = (op1_mixing, op2_decontamination, op4_pii, op5_chat_formatting, op6_suffix_array_dedup, op7_warc, op8_quality, op9_simhash, op10_substring_dedup)
+    listed = (op1_mixing, op2_decontamination, op3_toxicity, op4_pii, op5_chat_formatting, op6_suffix_array_dedup, op7_warc, op8_quality, op9_simhash, op10_substring_dedup)
     return {f.__name__: f for f in listed}
 
 

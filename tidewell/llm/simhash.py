@@ -184,3 +184,35 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     codes = materialize(codes, "groups")
     ids = codes.groupBy("group").agg(F.min("least").alias("component_id"))
     return prints.join(codes.join(ids, "group").select("fp", "group", "component_id"), "fp").select("doc_id", "fp", "group", "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component: the first with its least doc_id (of repeated rows, one). Columns stay.
+
+    The texts stay where they are: rows join the chosen ids by (doc_id, text hash), and only ids are grouped.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = near_duplicates(keyed, distance)
+    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.first("doc_id").alias("keep_id"), F.first("fp").alias("keep_fp"))
+    chosen = materialize(chosen, "chosen")
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("doc"))
+    kept = packed.join(chosen.select("keep_id").distinct(), F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    # repeated ids: of the rows with a chosen id those stay whose component chose it, once
+    again = packed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("again_id"))
+    again = materialize(again, "again")
+    if again.isEmpty():
+        return kept.select("doc.*")
+    once = kept.join(again, F.col("id").eqNullSafe(F.col("again_id")), "left_anti").select("doc.*")
+    several = kept.join(again, F.col("id").eqNullSafe(F.col("again_id")), "left_semi")
+    schema = docs.select("doc_id", "text").schema
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(raw) for raw in text_views(batch.column(0))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(fps.view(np.int64))], ["text", "id", "doc", "fp"])
+
+    ddl = f"text {schema['text'].dataType.simpleString()}, id long, doc {docs.select(F.struct(*docs.columns).alias('d')).schema['d'].dataType.simpleString()}, fp long"
+    printed = several.select(F.col("doc.text").alias("text"), "id", "doc").mapInArrow(prints, ddl)
+    picked = printed.join(chosen, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")))
+    one = picked.groupBy("group").agg(F.first("doc").alias("doc"))
+    return once.unionByName(one.select("doc.*"))
