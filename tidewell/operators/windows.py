@@ -69,7 +69,7 @@ def rate_limit(requests: DataFrame, client: str, ts: str, id_col: str, most: int
     Whether a request is accepted depends on earlier decisions, so each client is a fold over its sorted rows; the
     state is the last accepted times, and rows stream in batches, so a busy client needs no more memory.
     """
-    out = requests.select(client, F.col(ts).cast("double").alias("t"), id_col)
+    out = requests.select(client, F.col(ts).cast("timestamp").cast("double").alias("t"), id_col)
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, recent = None, []
@@ -95,7 +95,7 @@ def rate_limit(requests: DataFrame, client: str, ts: str, id_col: str, most: int
 
 def rate_report(requests: DataFrame, client: str, ts: str, seconds: int = 60) -> DataFrame:
     """Requests of the same client in the window before each one, accepted or not."""
-    w = Window.partitionBy(client).orderBy(F.col(ts).cast("long")).rangeBetween(-seconds, -1)
+    w = Window.partitionBy(client).orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-seconds, -1)
     return requests.withColumn("in_window", F.count("*").over(w))
 
 
@@ -124,7 +124,7 @@ def page(df: DataFrame, ts: str, id_col: str, offset: int = 0, limit: int = 20,
 
 def newest_feed(df: DataFrame, ts: str, id_col: str, now: Column, n: int = 8) -> DataFrame:
     """Newest n rows with a recent flag (90 minutes) and the age as minutes, hours or days."""
-    age = (now.cast("double") - F.col(ts).cast("double")) / 60
+    age = (now.cast("timestamp").cast("double") - F.col(ts).cast("timestamp").cast("double")) / 60
     rows = page(df, ts, id_col, 0, n).withColumn("minutes", F.floor(age))
     unit = F.when(F.col("minutes") < 60, "min").when(F.col("minutes") < 1440, "hour").otherwise("day")
     amount = F.when(F.col("minutes") < 60, F.col("minutes")).when(F.col("minutes") < 1440, F.floor(F.col("minutes") / 60)).otherwise(F.floor(F.col("minutes") / 1440))
