@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import materialize
+
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
     "a and are as at be by for from in is it of on or that the this to was with "
@@ -86,10 +88,12 @@ def report(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """Rows of docs that pass; the verdict is one projection on the same rows, so nothing is joined."""
+    """Rows of docs that pass. The verdict is written first: a filter on it would be pushed below the projections, and
+    each of its counts would be worked out again for every place that uses it."""
     named = docs.withColumn("doc", F.struct(*docs.columns)).select(F.col("doc").alias("doc_id"), "text")
-    base = F.expr(f"n_words >= {LEAST_WORDS} AND 100 * n_repeat_words <= {REPEAT_LIMIT} * n_words")
-    return measures(named).filter(base & F.expr(verdict_sql(thresholds))).select("doc_id.*")
+    keep = F.expr(f"n_words >= {LEAST_WORDS} AND 100 * n_repeat_words <= {REPEAT_LIMIT} * n_words") & F.expr(verdict_sql(thresholds))
+    judged = materialize(measures(named).select("doc_id", keep.alias("keep")), "judged")
+    return judged.filter("keep").select("doc_id.*")
 
 
 ORACLE = rf"""
