@@ -65,6 +65,20 @@ def text_views(column: pa.Array):
     return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
+def limit_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows in this session: rows hold whole texts, and a batch exists several times
+    at once, in the JVM's direct memory and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
+def small_batches(batch: pa.RecordBatch, rows: int = 256):
+    """Slices of a batch, so that what Python makes of the rows stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, starts and ends of the whitespace-separated words of UTF-8 bytes."""
     n = len(raw)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, text_views
+from tidewell.llm.common import limit_arrow_batches, materialize, small_batches, text_views
 
 WINDOW, BLOCK_WORDS = 10, 1_000_000
 
@@ -142,48 +142,64 @@ class ItemAutomaton:
         return n, hit, found
 
 
-def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks that the driver can hold: the hash of the id picks the block, their number follows the size."""
-    text = F.coalesce("text", F.lit(""))
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text.alias("text"))
+def block_count(rows: DataFrame, block_words: int) -> int:
+    """Number of item blocks such that the driver can hold each: it follows the size of the benchmark."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + int(size // (6 * block_words))
-    for b in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
-        yield [(r.item_id, words_of(r.text.encode())) for r in part.toLocalIterator()]
+    return 1 + int(size // (6 * block_words))
+
 
+def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: tuple[int, float] | None = None) -> DataFrame:
+    """docs with n_words, hits (word ranges) and items (sorted ids) for each row; the other columns stay.
 
-def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, hits (word ranges) and items (sorted ids) for each row; the other columns stay."""
-    spark = docs.sparkSession
+    With cut (longest, coverage) the last pass applies cut_hits() instead and returns the columns of docs.
+    """
+    spark, keep, at = docs.sparkSession, docs.columns, docs.columns.index("text")
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     extra = "n_words long, hits array<struct<lo: int, hi: int>>, items array<string>"
-    result = docs
-    for i, block in enumerate(item_blocks(items, block_words)):
-        shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [extra])
-        at, later, keep = docs.columns.index("text"), i > 0, docs.columns
-
-        def run(batches, shared=shared, at=at, later=later, keep=keep):
-            auto = shared.value
-            types = [pa.field("n_words", pa.int64()), pa.field("hits", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.field("items", pa.list_(pa.string()))]
-            for batch in batches:
-                before = [batch.column(len(keep) + k).to_pylist() for k in range(3)] if later else None
-                counts, ranges, names = [], [], []
-                for r, raw in enumerate(text_views(batch.column(at))):
-                    n, hit, found = auto.match(raw.tobytes())
-                    if later:
-                        for x in before[1][r]:
-                            hit[x["lo"] : x["hi"]] = True
-                        found |= set(before[2][r])
-                    step = np.diff(np.pad(hit.astype(np.int8), 1))
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = block_count(rows, block_words)
+
+    def pass_over(auto, later: bool, last: bool):
+        types = [pa.field("n_words", pa.int64()), pa.field("hits", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.field("items", pa.list_(pa.string()))]
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            before = [batch.column(len(keep) + k).to_pylist() for k in range(3)] if later else None
+            counts, ranges, names, texts = [], [], [], []
+            for r, raw in enumerate(text_views(batch.column(at))):
+                n, hit, found = auto.value.match(raw.tobytes())
+                if later:
+                    for x in before[1][r]:
+                        hit[x["lo"] : x["hi"]] = True
+                    found |= set(before[2][r])
+                step = np.diff(np.pad(hit.astype(np.int8), 1))
+                hits = [{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
+                if last and cut:
+                    texts.append(cut_hits(raw, hits, *cut, n) if hits else raw.tobytes())
+                else:
                     counts.append(n)
-                    ranges.append([{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))])
+                    ranges.append(hits)
                     names.append(sorted(found))
-                columns = [batch.column(k) for k in range(len(keep))] + [pa.array(v, f.type) for v, f in zip((counts, ranges, names), types)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in types)])
+            columns = [batch.column(k) for k in range(len(keep))]
+            if not (last and cut):
+                return pa.RecordBatch.from_arrays([*columns, *(pa.array(v, f.type) for v, f in zip((counts, ranges, names), types))], names=[*keep, *(f.name for f in types)])
+            known = batch.column(at).is_valid().to_pylist()
+            columns[at] = pa.array([t.decode() if t is not None and ok else None for t, ok in zip(texts, known)], pa.string())
+            return pa.RecordBatch.from_arrays(columns, names=keep).filter(pa.array([t is not None for t in texts]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from map(one, small_batches(batch))
+
+        return run
 
-        result = result.mapInArrow(run, schema)
-        if later:
+    limit_arrow_batches(spark)
+    result = docs
+    for b in range(blocks):
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
+        auto = spark.sparkContext.broadcast(ItemAutomaton([(r.item_id, words_of(r.text.encode())) for r in part.toLocalIterator()], window))
+        last = b == blocks - 1
+        result = result.mapInArrow(pass_over(auto, b > 0, last), given if last and cut else f"{given}, {extra}")
+        if not last:
             result = materialize(result, "overlaps")
     return result
 
@@ -217,21 +233,8 @@ def cut_hits(raw: np.ndarray, hits: list, longest: int, coverage: float, n_words
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, longest: int = 1, coverage: float = 0.5) -> DataFrame:
     """docs without hit passages; documents covered by hits beyond `coverage` go. Columns stay; n_chars follows."""
-    columns, at = docs.columns, docs.columns.index("text")
-    found = overlaps(docs, items, window)
-
-    def run(batches):
-        for batch in batches:
-            n, hits = batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()
-            texts = [cut_hits(raw, hits[i], longest, coverage, n[i]) if hits[i] else raw.tobytes() for i, raw in enumerate(text_views(batch.column(at)))]
-            keep = pa.array([t is not None for t in texts])
-            given = batch.column(at).is_valid().to_pylist()
-            text = pa.array([t.decode() if t is not None and ok else None for t, ok in zip(texts, given)], pa.string())
-            arrays = [text if k == at else batch.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(keep)
-
-    out = found.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    out = overlaps(docs, items, window, cut=(longest, coverage))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 ORACLE = r"""

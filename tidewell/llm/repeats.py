@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import BYTE_VALUE, delete_path, hash_words, materialize, mix, powers, text_key, text_views, work_path
+from tidewell.llm.common import BYTE_VALUE, delete_path, hash_words, limit_arrow_batches, materialize, mix, powers, small_batches, text_key, text_views, work_path
 
-ROWS_OUT = 100_000
+ROWS_OUT = 20_000
 
 
 def byte_units(raw: np.ndarray) -> np.ndarray:
@@ -75,6 +75,7 @@ class Repeats:
 
     def __init__(self, spark: SparkSession, length: int, k: int, units: Callable, hot_classes: int = 256):
         self.spark, self.length, self.k, self.units, self.hot = spark, length, k, units, hot_classes
+        limit_arrow_batches(spark)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.run, self.tables = uuid.uuid4().hex[:10], []
 
@@ -135,7 +136,7 @@ class Repeats:
         listed = found.join(keys, "key", "left_semi").groupBy("th").agg(F.collect_list(F.struct("pos", "key")).alias("hits"))
 
         def contexts(batches):
-            for batch in batches:
+            for batch in (part for whole in batches for part in small_batches(whole)):
                 th, hits = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 out = {c: [] for c in ("key", "cls", "th", "pos", "lo", "hi")}
                 for i, raw in enumerate(text_views(batch.column(1))):
@@ -172,7 +173,7 @@ class Repeats:
         listed = reps.groupBy("th").agg(F.collect_list(F.struct("pos", "key", "n", "kinds")).alias("hits"))
 
         def cut(batches):
-            for batch in batches:
+            for batch in (part for whole in batches for part in small_batches(whole)):
                 th, hits = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 out = {c: [] for c in schema.names}
                 for i, raw in enumerate(text_views(batch.column(1))):
@@ -182,7 +183,7 @@ class Repeats:
                         lo, hi = max(0, p - w + 1), min(len(seq), p + length)
                         for c, v in zip(out, (hit["key"], hit["kinds"], hit["n"], th[i], p, p - lo, seq[lo:hi].tobytes())):
                             out[c].append(v)
-                    if len(out["key"]) >= 5_000:
+                    if len(out["key"]) >= 2_000:
                         yield pa.RecordBatch.from_pydict(out, schema)
                         out = {c: [] for c in out}
                 if out["key"]:
@@ -276,7 +277,7 @@ class Repeats:
         listed = spans.distinct().groupBy("th").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
 
         def settle(batches):
-            for batch in batches:
+            for batch in (part for whole in batches for part in small_batches(whole)):
                 th, copies, hits = (batch.column(i).to_pylist() for i in (0, 2, 3))
                 out = {c: [] for c in schema.names}
                 for i, raw in enumerate(text_views(batch.column(1))):

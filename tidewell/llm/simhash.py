@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import connected_components, materialize, text_views
+from tidewell.llm.common import connected_components, limit_arrow_batches, materialize, text_views
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 CELL, FANOUT = 1000, 8
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(raw) for raw in text_views(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    limit_arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 

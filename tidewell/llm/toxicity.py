@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import limit_arrow_batches, small_batches
+
 GAPS = tuple((a, a + b, a + b + c) for a in (1, 2) for b in (1, 2) for c in (1, 2))  # offsets of the later letters
 DECAY, SPAN, WINDOW, CLASSES = 0.9, 7, 16, 28
 STARTS = WINDOW - 3
@@ -258,6 +260,7 @@ def pick_landmarks(bad: list[str], clean: list[str], most: int) -> list[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, rounds: int = 3) -> Model | None:
+    limit_arrow_batches(docs.sparkSession)
     rows = sampled(docs, labels, sample)
     if rows is None:
         return None
@@ -278,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
             shared = docs.sparkSession.sparkContext.broadcast((table, bias))
 
             def passages(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in (part for whole in batches for part in small_batches(whole)):
                     texts = batch.column(0).to_pylist()
                     best, where = worst(texts, *shared.value)
                     cut = [(t or "")[max(0, a) : max(0, a) + WINDOW] for t, a in zip(texts, where.tolist())]
@@ -300,10 +303,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with score; texts are scored whole, in one pass without a shuffle."""
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
+    limit_arrow_batches(docs.sparkSession)
     shared, at, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_batches(whole)):
             values = shared.value.scores(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, "score"])
 
