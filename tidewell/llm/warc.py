@@ -28,19 +28,24 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(file, spot, page_id, url, digest, payload_bytes, record_type, refers_to, record) of every page."""
+    """(file, page_id, url, digest, record_type, refers_to, head, body, length) of every page; a record is head and body.
+
+    Nothing is stored here: callers that leave out body move no html, and rows of one file sort by ORDER. Rows that tie
+    there are equal, so it does not matter which comes first.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", "[\\x00-\\x20]", "+").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes")
-    ).withColumn("spot", F.monotonically_increasing_id())
+    )
     total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
     files = 1 + int(total // file_bytes)
-    rows = materialize(rows.withColumn("file", F.pmod(F.xxhash64("spot"), F.lit(files)).cast("int")), "staged")
-    first = rows.filter(F.col("payload_bytes") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"))
+    rows = rows.withColumn("file", F.pmod(F.xxhash64("page_id", "digest"), F.lit(files)).cast("int"))
+    several = F.count("*") > 1
+    first = rows.filter(F.col("payload_bytes") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), several.alias("several")).filter("several").drop("several")
     known = rows.join(first, "digest", "left")
-    revisit = (F.col("payload_bytes") >= LEAST_PAYLOAD) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     known = known.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first")))
-    body = F.when(revisit, "").otherwise(F.col("html"))
+    body_bytes = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
 
     def line(name: str, value) -> "F.Column":
         return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
@@ -50,29 +55,34 @@ def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
         line("WARC-Type", F.col("record_type")),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("spot"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("digest"), F.lit(">"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("X-Page-ID", F.col("page_id")),
         line("X-Payload-Length", F.col("payload_bytes")),
         line("X-Refers-To-Page", F.col("refers_to")),
-        line("Content-Length", F.octet_length(body)),
+        line("Content-Length", body_bytes),
         F.lit("\r\n"),
     )
-    return known.select("file", "spot", "page_id", "url", "digest", "record_type", "refers_to", F.concat(head, body).alias("record"))
+    known = known.withColumn("head", head)
+    length = (F.octet_length("head") + body_bytes).cast("long")
+    return known.select("file", "page_id", "url", "digest", "record_type", "refers_to", "head", F.when(revisit, "").otherwise(F.col("html")).alias("body"), length.alias("length"), F.lit(files).alias("files"))
+
+
+#: Order of the records in a file.
+ORDER = ("page_id", "digest", "url")
 
 
 def write_archives(rows: DataFrame) -> DataFrame:
     """Write the archives and return their index (file, offset, length, page_id, url, digest, path), read from Parquet."""
     spark = rows.sparkSession
     path = work_path(spark, "warc")
-    files = (rows.agg(F.max("file")).first()[0] or 0) + 1
-    dealt = rows.repartition(files, "file").sortWithinPartitions("file", "spot")
+    found = rows.select("files").first()
+    dealt = rows.select("file", *ORDER, F.concat("head", "body").alias("record")).repartition(found.files if found else 1, "file").sortWithinPartitions("file", *ORDER)
     dealt.select("file", "record").write.partitionBy("file").option("lineSep", SEPARATOR).text(path)
-    before = Window.partitionBy("file").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
-    size = rows.select("file", "spot", "page_id", "url", "digest", F.octet_length("record").cast("long").alias("length"))
+    before = Window.partitionBy("file").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.col("length") + len(SEPARATOR)).over(before), F.lit(0)).alias("offset")
-    index = size.select("file", offset, "length", "page_id", "url", "digest")
-    if files == 1 and rows.isEmpty():
+    index = rows.select("file", offset, "length", "page_id", "url", "digest")
+    if found is None:
         return index.withColumn("path", F.lit(None).cast("string"))
     names = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     names = names.select("path", F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("int").alias("file"))
@@ -124,7 +134,7 @@ def read_records(selected: DataFrame, range_bytes: int = RANGE_BYTES, gap: int =
 
 def report(pages: DataFrame) -> DataFrame:
     """Archive all pages, then read every record back."""
-    return read_records(write_archives(materialize(records(pages), "records")))
+    return read_records(write_archives(records(pages)))
 
 
 ORACLE = """
