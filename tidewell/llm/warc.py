@@ -42,6 +42,8 @@ def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     rows = rows.withColumn("file", F.pmod(F.xxhash64("page_id", "digest"), F.lit(files)).cast("int"))
     several = F.count("*") > 1
     first = rows.filter(F.col("payload_bytes") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), several.alias("several")).filter("several").drop("several")
+    # written out, so that its size is known: Spark broadcasts it below its threshold and moves no html, else it shuffles
+    first = materialize(first, "first")
     known = rows.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     known = known.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first")))
