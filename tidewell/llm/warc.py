@@ -1,45 +1,44 @@
 """Operator 7: WARC archives with an index first, read back by coalesced byte ranges.
 
-Records are dealt to archive files of a bounded size; lengths alone give every record's offset, so the index (file,
-offset, length, url, digest) is written before any read and reads touch the bytes of selected records only: their
-ranges are sorted per file, neighbours join into one read, and records are cut out of it. Spark's text writer writes
-the archives, with the blank lines between records as its line end, so they go wherever Spark can write.
+Every task writes the records of its rows into archives of a bounded size, one gzip member per record as the standard
+recommends, and returns the index (path, offset, length, url, digest) of what it wrote. The index is stored before any
+read; reads touch the bytes of selected records only: their ranges are sorted per file, neighbours join into one read,
+and records are cut out of it. Html moves between machines only where the digests that repeat outgrow a broadcast.
+
+Archive names are fresh in each attempt of a task, and only finished attempts reach the index: a lost executor leaves
+at most files that nothing refers to.
 
 Cases: null html is an empty payload; payloads under 100 bytes are always responses; of equal longer payloads those
 with the least page_id are responses (repeated rows: all of them), others revisit it; null page_ids revisit a known
-one, and are responses where there is none; null urls leave the header out; no rows give empty archives and no rows.
+one, and are responses where there is none; null urls leave the header out; no rows give no archives and no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tidewell.llm.common import materialize, work_path
+from tidewell.llm.common import limit_arrow_batches, materialize, small_batches, work_path
 
 LEAST_PAYLOAD, FILE_BYTES, RANGE_BYTES, GAP_BYTES = 100, 64 << 20, 8 << 20, 64 << 10
+LEVEL = 4  # of gzip
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(file, page_id, url, digest, record_type, refers_to, head, body, length) of every page; a record is head and body.
-
-    Nothing is stored here: callers that leave out body move no html, and rows of one file sort by ORDER. Rows that tie
-    there are equal, so it does not matter which comes first.
-    """
+def records(pages: DataFrame) -> DataFrame:
+    """(page_id, url, digest, head, body) of every page; a record is head and body. Only repeated digests are stored."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", "[\\x00-\\x20]", "+").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes")
     )
-    total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = 1 + int(total // file_bytes)
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("page_id", "digest"), F.lit(files)).cast("int"))
     several = F.count("*") > 1
     first = rows.filter(F.col("payload_bytes") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), several.alias("several")).filter("several").drop("several")
     # written out, so that its size is known: Spark broadcasts it below its threshold and moves no html, else it shuffles
@@ -65,30 +64,50 @@ def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
         line("Content-Length", body_bytes),
         F.lit("\r\n"),
     )
-    known = known.withColumn("head", head)
-    length = (F.octet_length("head") + body_bytes).cast("long")
-    return known.select("file", "page_id", "url", "digest", "record_type", "refers_to", "head", F.when(revisit, "").otherwise(F.col("html")).alias("body"), length.alias("length"), F.lit(files).alias("files"))
-
-
-#: Order of the records in a file.
-ORDER = ("page_id", "digest", "url")
-
-
-def write_archives(rows: DataFrame) -> DataFrame:
-    """Write the archives and return their index (file, offset, length, page_id, url, digest, path), read from Parquet."""
-    spark = rows.sparkSession
-    path = work_path(spark, "warc")
-    found = rows.select("files").first()
-    dealt = rows.select("file", *ORDER, F.concat("head", "body").alias("record")).repartition(found.files if found else 1, "file").sortWithinPartitions("file", *ORDER)
-    dealt.select("file", "record").write.partitionBy("file").option("lineSep", SEPARATOR).text(path)
-    before = Window.partitionBy("file").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.col("length") + len(SEPARATOR)).over(before), F.lit(0)).alias("offset")
-    index = rows.select("file", offset, "length", "page_id", "url", "digest")
-    if found is None:
-        return index.withColumn("path", F.lit(None).cast("string"))
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
-    names = names.select("path", F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("int").alias("file"))
-    return materialize(index.join(names, "file"), "index")
+    return known.select("page_id", "url", "digest", head.alias("head"), F.when(revisit, "").otherwise(F.col("html")).alias("body"))
+
+
+INDEX = "path string, offset long, length long, page_id long, url string, digest string"
+
+
+def write_archives(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the archives and return their index (path, offset, length, page_id, url, digest), read from Parquet."""
+    limit_arrow_batches(rows.sparkSession)
+    folder = work_path(rows.sparkSession, "warc")
+
+    def run(batches):
+        out, path, at = None, None, 0
+        try:
+            for batch in (part for whole in batches for part in small_batches(whole)):
+                paths, offsets, lengths = [], [], []
+                for head, body in zip(batch.column("head"), batch.column("body")):
+                    if out is None:
+                        path, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                        fs, name = file_system(path)
+                        fs.create_dir(name.rpartition("/")[0])
+                        out = fs.open_output_stream(name, compression=None)
+                    member = packed((head.as_py() + body.as_py() + SEPARATOR).encode())
+                    out.write(member)
+                    paths.append(path)
+                    offsets.append(at)
+                    lengths.append(len(member))
+                    at += len(member)
+                    if at >= file_bytes:
+                        out.close()
+                        out = None
+                where = [pa.array(paths, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())]
+                yield pa.RecordBatch.from_arrays(where + [batch.column(c) for c in ("page_id", "url", "digest")], ["path", "offset", "length", "page_id", "url", "digest"])
+        finally:
+            if out is not None:
+                out.close()
+
+    return materialize(rows.mapInArrow(run, INDEX), "index")
+
+
+def packed(record: bytes) -> bytes:
+    """One gzip member."""
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -101,8 +120,8 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 def read_records(selected: DataFrame, range_bytes: int = RANGE_BYTES, gap: int = GAP_BYTES) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the selected rows of an index."""
 
-    def cut(found: bytes) -> tuple:
-        head, _, payload = found.partition(b"\r\n\r\n")
+    def cut(member: bytes) -> tuple:
+        head, _, payload = zlib.decompress(member, 31).removesuffix(SEPARATOR.encode()).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page")
         if fields["WARC-Type"] == "response":
