@@ -148,8 +148,10 @@ def read_records(selected: DataFrame, range_bytes: int = RANGE_BYTES, gap: int =
                         at = end
                     yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
+    # by the bytes to be read, which the index's own size does not show
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, 1 + (selected.agg(F.sum("length")).first()[0] or 0) // FILE_BYTES)
     ranges = selected.withColumn("block", F.floor(F.col("offset") / range_bytes))
-    dealt = ranges.repartition("path", "block").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    dealt = ranges.repartition(tasks, "path", "block").sortWithinPartitions("path", "offset").select("path", "offset", "length")
     return dealt.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
