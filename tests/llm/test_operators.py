@@ -51,6 +51,18 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mix_lands_every_source_by_itself(spark):
+    rng = random.Random(11)
+    rows = [(f"small{k}", 150 if i == 0 else rng.randint(1, 12)) for k in range(8) for i in range(90)]
+    rows += [("some", 150 if i < 3 else rng.randint(1, 12)) for i in range(250)] + [("big", rng.randint(1, 12)) for _ in range(900)]
+    sizes = {s: sum(n for t, n in rows if t == s) for s, _ in rows}
+    df = spark.createDataFrame([(i, s, n, 0.45, rng.getrandbits(62)) for i, (s, n) in enumerate(rows)], "doc_id long, source string, size long, x double, salt long")
+    got = mixing.cube(df, bucket=100).collect()
+    assert len(got) == len(rows) and {r.x for r in got} == {0.0, 1.0}
+    off = {s: abs(sum(r.x * r["size"] for r in got if r.source == s) - 0.45 * sizes[s]) for s in sizes}
+    assert max(off.values()) <= 1.0, off
+
+
 def test_flight_keeps_balance():
     import numpy as np
 

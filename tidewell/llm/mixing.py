@@ -3,8 +3,9 @@
 Each source gets a target number of words; a document's inclusion value is target / size of its source, at most 2.
 The whole part is taken for sure; the fraction is decided by the cube method: inside buckets of one source, values
 move along the null space of two constraints (documents and words) until at most two of a bucket are undecided. The
-undecided of all buckets form new buckets, and so on, until one bucket per source is left. Its last undecided documents
-(the landing) are rounded to the nearest word total. Long documents are decided first, so the landing has short ones.
+undecided of all buckets form new buckets, and so on, until one bucket of a source is left, whatever other sources have.
+Its last undecided documents (the landing) are rounded to the nearest word total. Long documents are decided first, by
+null vectors over the whole bucket, and every round holds documents of all sizes back for the landing.
 
 Cases: null text has size 0; null source is a source of its own, last in order; repeated rows are documents of their
 own; sources of size 0 have target 0; no rows give no rows. Draws depend on ids and values only, so reruns agree.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialize
 
-WEIGHTS, SHARE, CAP, BUCKET, RESERVE = (5.0, 2.0, 1.0), 1.5, 2.0, 1000, 12
+WEIGHTS, SHARE, CAP, BUCKET, RESERVE, LONG = (5.0, 2.0, 1.0), 1.5, 2.0, 1000, 12, 4.0
 TINY = 1e-9
 
 
@@ -76,15 +77,54 @@ def flight(x: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return np.array(v)
 
 
-def land(x: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """The last bucket of a source: RESERVE documents, spread over the sizes, sit out the flight; with the two that it
-    leaves open they form the landing, settled by trying every rounding for the nearest word total, then count."""
+def long_first(x: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """Decide the documents longer than LONG times the mean of the undecided, longest first, keeping both sums.
+
+    All undecided documents share the move (the projection of the long one onto the null space), so each gives way a
+    little; a document that outweighs the others stays open.
+    """
+    rng = np.random.Generator(np.random.PCG64(seed))
+    x = x.copy()
+    is_open = (x > TINY) & (x < 1 - TINY)
+    if not is_open.any():
+        return x
+    limit = LONG * size[is_open].mean()
+    for a in np.argsort(-size, kind="stable"):
+        if size[a] <= limit:
+            break
+        while TINY < x[a] < 1 - TINY:
+            at = np.flatnonzero((x > TINY) & (x < 1 - TINY))
+            away = size[at] - size[at].mean()
+            spread = (away * away).sum()
+            u = (at == a) - 1 / len(at) - (away * (size[a] - size[at].mean()) / spread if spread else 0.0)
+            if len(at) < 3 or u[at == a][0] < 1e-3:
+                break
+            u[np.abs(u) < 1e-12] = 0
+            moved = u != 0
+            up = np.where(u > 0, 1 - x[at], x[at])[moved] / np.abs(u[moved])
+            down = np.where(u > 0, x[at], 1 - x[at])[moved] / np.abs(u[moved])
+            up, down = up.min(), down.min()
+            x[at] = np.clip(x[at] + u * (up if rng.random() * (up + down) < down else -down), 0.0, 1.0)
+    decided = (x <= TINY) | (x >= 1 - TINY)
+    x[decided] = x[decided].round()
+    return x
+
+
+def hold_back(x: np.ndarray, size: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """long_first and flight, but n of the undecided documents, spread over the sizes, sit out the flight."""
+    x = long_first(x, size, seed)
     open_at = np.flatnonzero((x > TINY) & (x < 1 - TINY))
-    reserve = open_at[np.unique(np.linspace(0, len(open_at) - 1, RESERVE).round().astype(int))] if len(open_at) > RESERVE else open_at
+    reserve = open_at[np.unique(np.linspace(0, len(open_at) - 1, n).round().astype(int))] if len(open_at) > n else open_at
     rest = np.setdiff1d(np.arange(len(x)), reserve)
-    x = x.copy()
     x[rest] = flight(x[rest], size[rest], seed)
-    last = np.flatnonzero((x > 0) & (x < 1) & ((x > TINY) & (x < 1 - TINY)))
+    return x
+
+
+def land(x: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """The last bucket of a source: RESERVE documents sit out the flight; with the two that it leaves open they form
+    the landing, settled by trying every rounding for the nearest word total, then count."""
+    x = hold_back(x, size, seed, RESERVE)
+    last = np.flatnonzero((x > TINY) & (x < 1 - TINY))
     ways = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
     gap = ways - x[last]
     x[last] = ways[np.lexsort((np.abs(gap.sum(axis=1)), np.abs(gap @ size[last]).round(6)))[0]]
@@ -97,13 +137,14 @@ def by_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     return rows.join(per, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
 
-def settler(last: bool):
-    """The cube's work on one bucket; in the last round it lands too."""
+def settler(bucket: int):
+    """The cube's work on one bucket; the only bucket of a source lands too."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "salt", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        size = pdf["size"].to_numpy(float)
-        pdf["x"] = (land if last else flight)(pdf["x"].to_numpy(float), size, int(pdf["salt"].sum()) & 0x7FFFFFFF)
+        x, size, seed = pdf["x"].to_numpy(float), pdf["size"].to_numpy(float), int(pdf["salt"].sum()) & 0x7FFFFFFF
+        parts = int(pdf["parts"].iat[0])
+        pdf["x"] = land(x, size, seed) if parts == 1 else hold_back(x, size, seed, min(-(-RESERVE // parts), bucket // 4))
         return pdf[["doc_id", "source", "size", "x", "salt"]]
 
     return settle
@@ -116,12 +157,9 @@ def cube(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     while True:
         counts = rows.groupBy("source").agg(F.count("*").alias("m"))
         most = counts.agg(F.max("m")).first()[0]
-        last = most is None or most <= bucket
-
-        parts = F.ceil(F.col("m") / bucket).cast("long")
-        dealt = by_source(rows, counts).withColumn("bucket", F.pmod("salt", parts)).drop("m")
-        out = materialize(dealt.groupBy("source", "bucket").applyInPandas(settler(last), schema), "cube")
-        if last:
+        dealt = by_source(rows, counts).withColumn("parts", F.ceil(F.col("m") / bucket).cast("long")).withColumn("bucket", F.pmod("salt", "parts")).drop("m")
+        out = materialize(dealt.groupBy("source", "bucket").applyInPandas(settler(bucket), schema), "cube")
+        if most is None or most <= bucket:
             done.append(out)
             break
         done.append(out.filter("x = 0 OR x = 1"))
