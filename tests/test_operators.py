@@ -164,6 +164,52 @@ def test_page_job(spark):
     assert pages.select_paragraphs(rows, ["share this"]).first().content == "A long enough paragraph here"
 
 
+def test_all_paragraphs_of_a_page(spark, tmp_path):
+    import hashlib
+    import re
+    import unicodedata
+
+    from tidewell.plans import registry
+
+    long = "A long enough paragraph of the page"
+    html = [
+        f"<title>Fish &amp; chips in the old harbour</title><p>Fish &amp; chips in the OLD harbour</p><p>{long} by Smith &amp; Sons</p><p>short &amp;</p><p><b>{long}</b> at a?b=1&amp;c=2</p><p>x The and attion to thanedble, y</p><p>{long} behind the stop</p>",
+        f"<title>T</title><p>{long}</p><p>&quot;AT&amp;T&quot; said &lt;nothing&gt; at all</p>",
+        "<p>The and attion to thanedble at once</p><p>" + long + "</p>",
+        None,
+    ]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    digest = lambda *lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    got = {r.page_id: r.content_sha for r in registry.queries()["select_all_paragraphs"](spark, str(tmp_path)).collect()}
+    assert got == {0: digest(f"{long} by Smith & Sons", f"{long} at a?b=1&c=2"), 1: digest(long, '"AT&T" said <nothing> at all')}
+
+    folder = "/root/testdata/sf0.001"
+    signs = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+
+    def plain(raw):
+        raw = re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ", raw))
+        for name, sign in signs:
+            raw = raw.replace(name, sign)
+        return " ".join(raw.split())
+
+    def folded(s):
+        s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+        return " ".join(re.sub("['’]", "", s).lower().replace("-", " ").split())
+
+    want = {}
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        title, lines = plain("".join(re.findall(r"(?is)<title>(.*?)</title>", r.html or "")[:1])), []
+        for line in map(plain, re.findall(r"(?s)<p>(.*?)</p>", r.html or "")):
+            if registry.STOP_PHRASES[0] in folded(line):
+                break
+            if len(line) >= 20 and folded(line) != folded(title):
+                lines.append(line)
+        if lines:
+            want[r.page_id] = digest(*lines)
+    got = {r.page_id: r.content_sha for r in registry.queries()["select_all_paragraphs"](spark, folder).collect()}
+    assert got == want and len(want) > 10
+
+
 def test_candidates_and_precedence(spark):
     rows = [(1, "Merkez", "A", False), (1, "Merkez", "B", True), (2, "Yeni", "A", False), (2, "Yeni", "B", False)]
     got = sets.suppress_ambiguous(spark.createDataFrame(rows, "doc long, name string, district string, explicit boolean"))

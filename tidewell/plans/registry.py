@@ -216,6 +216,19 @@ def select_paragraphs(t):
     return page_job.select_paragraphs(rows.drop("raw"), []).select("page_id", F.sha2("content", 256).alias("content_sha"))
 
 
+#: A paragraph with one of these ends an article; this one closes many of the pages.
+STOP_PHRASES = ["the and attion to thanedble"]
+
+
+@query()
+def select_all_paragraphs(t):
+    """The whole job of select_paragraphs, whose SQL leaves paragraphs with an entity, titles and stop phrases out."""
+    found = F.posexplode(F.regexp_extract_all("html", F.lit(HTML_PARAGRAPH), 1)).alias("pos", "raw")
+    title = keys.html_to_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
+    rows = t.pages.select("page_id", title.alias("title"), found).select("page_id", "pos", keys.html_to_text("raw").alias("text"), "title")
+    return page_job.select_paragraphs(rows, STOP_PHRASES).select("page_id", F.sha2("content", 256).alias("content_sha"))
+
+
 @query("SELECT page_id, (html IS NULL OR html = '' OR contains(lower(html), 'cf-challenge') OR contains(lower(html), 'cf-chl-widget') OR contains(lower(html), 'your request was blocked') OR (length(html) < 15000 AND (contains(lower(html), 'just a moment') OR contains(lower(html), 'attention required') OR contains(lower(html), 'id=\"challenge-platform\"')))) AS blocked FROM pages")
 def is_blocked(t):
     return t.pages.select("page_id", page_job.is_blocked("html").alias("blocked"))
