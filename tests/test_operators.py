@@ -210,6 +210,46 @@ def test_all_paragraphs_of_a_page(spark, tmp_path):
     assert got == want and len(want) > 10
 
 
+def test_dictionary_tiers_and_weak_labels(spark, tmp_path):
+    from tidewell.functions.text import CASE_SUFFIXES
+    from tidewell.plans import registry
+
+    rng = random.Random(12)
+    base = ["alfa", "bravo", "delta", "gamma"]
+    endings = [e for e in CASE_SUFFIXES if e.isascii()]
+    word = lambda: rng.choice(base) + (rng.choice(endings) if rng.random() < 0.4 else "")
+    items = [(k, " ".join(rng.choices(base, k=3)) + " tail") for k in range(12)]
+    texts = [rng.choice(["alfa", "und", "que und", "x THAT-y", "les"]) + "\n" + " ".join(word() for _ in range(60)) for _ in range(40)]
+    rows = [(i, t, f"s{i % 2}", len(t)) for i, t in enumerate(texts)] + [(98, None, "s0", 0), (99, "", "s1", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def strip(s):
+        for e in CASE_SUFFIXES:
+            if s.endswith(e) and len(s) > len(e) + 2:
+                return s[: -len(e)]
+        return s
+
+    want = set()
+    for i, text, *_ in rows:
+        w = (text or "").lower().replace("-", " ").split()
+        for n, p, (k, item) in itertools.product((1, 2, 3), range(len(w)), items):
+            span, alias = " ".join(w[p : p + n]), " ".join(item.split()[:3])
+            if p + n <= len(w) and alias in (span, strip(span)):
+                want.add((i, p + 1, span, k, *((1.0, "exact") if span == alias else (0.9, "suffix"))))
+    got = registry.queries()["link_dictionary_tiers"](spark, str(tmp_path)).select("doc_id", "pos", "span", "canonical_name", "score", "tier").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.tier for r in got} == {"exact", "suffix"}
+
+    want, seen = [], {}
+    for i, text, source, _ in rows:
+        title = (text or "").split("\n")[0].lower().replace("-", " ").split()
+        named = [d for d in registry.DISTRICTS if d in title]
+        if len(named) == 1 and seen.setdefault(source, 0) < 10:
+            seen[source] += 1
+            want.append((source, i, named[0]))
+    assert sorted(map(tuple, registry.queries()["weak_labels"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) > 10
+
+
 def test_candidates_and_precedence(spark):
     rows = [(1, "Merkez", "A", False), (1, "Merkez", "B", True), (2, "Yeni", "A", False), (2, "Yeni", "B", False)]
     got = sets.suppress_ambiguous(spark.createDataFrame(rows, "doc long, name string, district string, explicit boolean"))

@@ -337,6 +337,15 @@ def link_dictionary(t):
     return hits.filter("score = 1.0").select("doc_id", "pos", "span", "canonical_name")
 
 
+@query()
+def link_dictionary_tiers(t):
+    """All tiers of link_dictionary, whose SQL has the exact one only."""
+    lead = F.array_join(F.slice(F.filter(dictionary.tokens("text"), lambda x: x != ""), 1, 3), " ")
+    aliases = t.benchmark.select(F.col("item_id").alias("canonical_name"), F.lit("").alias("district"), lead.alias("alias"))
+    hits = dictionary.link_dictionary(t.documents.filter("text IS NOT NULL"), aliases, "doc_id", "text", 3)
+    return hits.select("doc_id", "pos", "span", "canonical_name", "score", "tier")
+
+
 @query("""WITH c AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i)
   SELECT label, CAST(i AS INTEGER) AS dim, round(m, 6) AS mean FROM c""")
 def centroids(t):
@@ -593,6 +602,17 @@ def weak_label_cap(t):
     return windows.cap_per_group(t.documents.filter("n_chars > 3000").select("source", "doc_id"), ["source"], ["doc_id"], 10)
 
 
+DISTRICTS = ["that", "und", "les", "que"]
+
+
+@query("""WITH d AS (SELECT doc_id, source, ' ' || regexp_replace(""" + FOLD_SQL.format("split_part(text, chr(10), 1)") + """, '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents),
+  n AS (SELECT doc_id, source, list_filter([""" + ", ".join(f"'{d}'" for d in DISTRICTS) + """], lambda x: contains(t, ' ' || x || ' ')) AS named FROM d)
+  SELECT source, doc_id, named[1] AS expected FROM n WHERE len(named) = 1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10""")
+def weak_labels(t):
+    docs = t.documents.select("source", "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    return jobs.weak_labels(docs, DISTRICTS, "title", "source", "doc_id").select("source", "doc_id", "expected")
+
+
 @query()
 def ingest_documents(t):
     raw = t.documents.filter("text IS NOT NULL").select(
