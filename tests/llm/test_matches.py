@@ -149,6 +149,12 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_unsettled_components_raise(spark):
+    edges = spark.range(20).selectExpr("id AS a", "id + 1 AS b")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=1)
+
+
 def test_fingerprint_of_a_very_long_text():
     text = " ".join(f"w{i}" for i in range(40_000))
     assert simhash.fingerprint(np.frombuffer(text.encode(), np.uint8)) == plain_fingerprint(text)

@@ -61,6 +61,19 @@ def test_leaders_equal_the_sequential_loop(spark):
     assert {r.id: r.leader for r in got.collect()} == lead
 
 
+def test_leaders_of_a_long_chain(spark):
+    chain = spark.range(149).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.7).alias("score"))
+    got = {r.id: r.leader for r in dedup.leaders(chain, spark.range(150), "id").collect()}
+    assert got == {i: i - i % 2 for i in range(150)}
+    with pytest.raises(ValueError):
+        dedup.leaders(spark.createDataFrame([(1, 1, 0.7)], "a long, b long, score double"), spark.range(3), "id")
+
+
+def test_overlap_groups_of_a_long_chain(spark):
+    pts = spark.range(215).select("id", F.lit(0.0).alias("lat"), (F.col("id") * 0.0008).alias("lng"))
+    assert geo.overlap_groups(pts, "id", "lat", "lng", 100.0).agg(F.max("group_id")).first()[0] == 0
+
+
 def test_rate_limit_batch_equals_stream(spark, tmp_path):
     rng = random.Random(6)
     rows = [(f"c{rng.randint(0, 3)}", float(rng.randint(0, 400)), i) for i in range(300)]

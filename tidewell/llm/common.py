@@ -150,6 +150,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if new_sig == sig:
             break
         e, sig = new, new_sig
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     # a fixpoint is a set of stars: every edge leads to its least node
     leaves = e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return leaves.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

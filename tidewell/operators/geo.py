@@ -90,11 +90,11 @@ def hexbin(df: DataFrame, lat: str, lng: str, radius: float = 500.0, lat0: float
     return cells.groupBy("q", "r").agg(F.count("*").alias("n"))
 
 
-def overlap_groups(df: DataFrame, id_col: str, lat: str, lng: str, eps: float, lat0: float = 0.0, most_rounds: int = 200) -> DataFrame:
+def overlap_groups(df: DataFrame, id_col: str, lat: str, lng: str, eps: float, lat0: float = 0.0) -> DataFrame:
     """(id, group): points closer than eps metres are one group, transitively; the least id names it.
 
     Points fall into cells whose diagonal is eps, so all points of a cell are linked at once; cells are then linked
-    where two of their points are near, and labels spread over cells, a checkpoint each round.
+    where two of their points are near, and labels spread over cells, a checkpoint each round, until none moves.
     """
     side = eps / math.sqrt(2) * 0.999999
     x, y = metres(F.col(lat), F.col(lng), lat0)
@@ -106,7 +106,7 @@ def overlap_groups(df: DataFrame, id_col: str, lat: str, lng: str, eps: float, l
     edges = hit.select("acx", "acy", "cx", "cy").distinct()
     edges = edges.unionByName(edges.select(F.col("cx").alias("acx"), F.col("cy").alias("acy"), F.col("acx").alias("cx"), F.col("acy").alias("cy"))).checkpoint()
     label = pts.groupBy("cx", "cy").agg(F.min("id").alias("label")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         low = edges.join(label, ["cx", "cy"]).groupBy(F.col("acx").alias("cx"), F.col("acy").alias("cy")).agg(F.min("label").alias("low"))
         new = label.join(low, ["cx", "cy"], "left").select("cx", "cy", F.least("label", F.coalesce("low", "label")).alias("label"), (F.coalesce("low", "label") < F.col("label")).alias("moved")).checkpoint()
         label = new.drop("moved")
