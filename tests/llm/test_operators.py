@@ -175,6 +175,25 @@ def test_pii(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_in_other_writings(spark):
+    rng = random.Random(14)
+    name = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    texts = []
+    for i in range(800):
+        texts.append(rng.choice([
+            f"write to {name()}.{name()}@{name()}.com soon", f"mail {name()}@{name()}.co.uk", f"call me: +{rng.randint(30, 60)} {digits(3)} {digits(rng.randint(5, 8))}", f"{name()} +49 ({digits(2)}) {digits(4)}-{digits(4)}",
+            "the token " + "".join(rng.choices("abXY12_-", k=rng.choice([24, 40, 90]))) + "z", f"order {digits(rng.randint(7, 14))} of {name()}", f"{name()} {digits(9)} {name()}", f"{name()} 3 @ {digits(1)} {name()}", f"{name()}-{name()}-{name()}-{digits(12)}",
+        ]))
+    planted = ["tel 030 123 4567890", "please phone 0211 4567 1234 today", "mine is joe.doe [at] site [dot] com ok", "ask jane(at)place(dot)org now", "jim @ place.org wrote", "token " + "aB3_" * 80 + " end"]
+    plain = [f"order {digits(10)} of {name()}" for _ in range(30)] + [f"{name()} 3 @ 4 {name()}" for _ in range(10)]
+    got = {r.doc_id: r.spans for r in pii.report(docs(spark, texts + planted + plain)).collect()}
+    n = len(texts)
+    assert all(got[n + i] for i in range(len(planted))), [got[n + i] for i in range(len(planted))]
+    assert got[n + len(planted) - 1] == "key:6:326"
+    assert sum(bool(got[n + len(planted) + i]) for i in range(len(plain))) <= 2
+
+
 # ---- 5
 
 
