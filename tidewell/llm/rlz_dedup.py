@@ -1,10 +1,8 @@
-"""Operator 10: relative Lempel-Ziv parsing of documents against the indexed corpus.
+"""Operator 10: long word matches, the spans that a relative Lempel-Ziv parsing is asked for, without greedy factors.
 
-The reference is the corpus itself, in hash blocks of distinct texts. Each block is indexed by anchors, the word
-10-grams that the content selects (see repeats); a key that any block holds twice is where a factor can be copied
-from. From there a factor runs greedily as far as the text agrees with another occurrence. Factors of `length` words
-or more become duplicate spans. A window may straddle two factors copied from different places, so windows
-at factor ends are compared one by one; the spans are exact. parse() lists factors and literals of a document.
+The distinct texts are indexed by anchors, the word 10-grams that the content selects (see repeats). Where a key occurs
+twice, all windows of `length` words around it are compared by hash; those that occur twice are merged into duplicate
+spans. There are no reference blocks and no greedy extension. parse() lists spans and the rest of a document.
 
 Cases: null text has no words; texts with fewer words than `length` are kept; equal texts with enough words go
 whole, both copies; windows that overlap themselves count; repeated rows get equal results; no rows give no rows.
