@@ -42,12 +42,10 @@ def covered(units: list, length: int) -> list[list[bool]]:
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 3])
-def test_bytes(spark, hot, monkeypatch):
-    init = suffix_dedup.Repeats.__init__
-    monkeypatch.setattr(suffix_dedup.Repeats, "__init__", lambda self, *a: init(self, *a, hot_classes=hot))
+@pytest.mark.parametrize("hot, batch_bytes", [(256, 1 << 30), (3, 9_000), (256, 4_000)])
+def test_bytes(spark, hot, batch_bytes):
     rows = corpus(1)
-    got = suffix_dedup.remove_long_matches(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = suffix_dedup.remove_long_matches(spark.createDataFrame(rows, SCHEMA), hot_classes=hot, batch_bytes=batch_bytes).collect()
     units = [(r[1] or "").encode() for r in rows]
     want = []
     for r, u, hit in zip(rows, units, covered(units, 200)):
@@ -58,20 +56,91 @@ def test_bytes(spark, hot, monkeypatch):
 
 
 @pytest.mark.parametrize("hot", [256, 3])
-def test_words(spark, hot, monkeypatch):
-    init = rlz_dedup.Repeats.__init__
-    monkeypatch.setattr(rlz_dedup.Repeats, "__init__", lambda self, *a: init(self, *a, hot_classes=hot))
-    rows = corpus(2)
-    got = rlz_dedup.remove_factors(spark.createDataFrame(rows, SCHEMA)).collect()
+def test_words(spark, hot):
+    rows = corpus(2) + [(900 + i, t, "en", "x", 1) for i, t in enumerate(alike())]
+    got = rlz_dedup.remove_factors(spark.createDataFrame(rows, SCHEMA), hot_classes=hot).collect()
     units = [tuple((r[1] or "").encode().split()) for r in rows]
     want = [(r[0], len(u), sum(hit), hashlib.sha256(b" ".join(w for w, h in zip(u, hit) if not h)).hexdigest()) for r, u, hit in zip(rows, units, covered(units, 35))]
     assert sorted(map(str, want)) == sorted(str(tuple(g)[:4]) for g in got)
     assert sum(w[2] for w in want) > 1000
-
-
-def test_parse():
-    assert rlz_dedup.parse(10, [{"lo": 2, "hi": 5}]) == [("literal", 0, 2), ("factor", 2, 3), ("literal", 5, 5)]
-    assert rlz_dedup.parse(0, []) == []
+    assert all(g.n_removed == 0 for g in got if g.doc_id is not None and g.doc_id >= 900)
+
+
+def alike() -> list[str]:
+    """Texts of 34 common words and one word each on which polynomial hashes modulo 2^64 agree for every base."""
+    one, other = "a", "b"
+    for _ in range(12):
+        one, other = one + other, other + one
+    shared = " ".join(f"w{i}" for i in range(34))
+    return [f"{shared} {one}", f"{shared} {other}"] * 1 + [f"{one} {shared}", f"{other} {shared}"]
+
+
+def test_levels_are_sorted_suffixes_and_merge_geometrically(spark):
+    rows = corpus(5)
+    search = suffix_dedup.Repeats(spark, 200, 40, suffix_dedup.ByteUnits)
+    texts = search.texts(spark.createDataFrame(rows, SCHEMA), 200)
+    found, _ = search.anchor_table(texts, heads=True)
+    family, sizes = suffix_dedup.LevelFamily(search), []
+    for b in range(7):
+        family.add(found.filter(f"pmod(xxhash64(th), 7) = {b}"))
+        sizes.append([n for n, _ in family.levels])
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+    by_th = {r.th: (r.text or "").encode() for r in texts.collect()}
+    for _, table in family.levels:
+        for r in spark.table(table).collect():
+            assert by_th[r.th][r.pos : r.pos + 40] == r.head
+    heads: dict = {}
+    for r in found.collect():
+        heads.setdefault(bytes(r.head), [r.key, 0])[1] += 1
+    assert {r.key for r in family.repeated().collect()} == {k for k, n in heads.values() if n > 1}
+    search.close()
+
+
+def test_sorted_strings_and_common_prefixes():
+    rng = random.Random(6)
+    strings = [bytes(rng.choices([0, 1, 255], k=rng.randint(0, 7))) for _ in range(300)]
+    group = np.sort(np.array([rng.randint(0, 9) for _ in strings]))
+    rows = np.zeros((300, 7), np.uint8)
+    for r, s in zip(rows, strings):
+        r[: len(s)] = np.frombuffer(s, np.uint8)
+    order, common = suffix_dedup.sorted_strings(group, rows, np.array([len(s) for s in strings]))
+    ranked = [(int(group[i]), strings[i]) for i in order]
+    assert ranked == sorted(ranked)
+    for k in range(1, 300):
+        (g, a), (h, b) = ranked[k - 1], ranked[k]
+        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert common[k] == (same if g == h else -1)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_factors_are_greedy_and_maximal(seed):
+    rng = random.Random(seed)
+    passages = [rng.choices([b"x", b"yy", b"z", b"q"][: 2 + seed % 3], k=rng.randint(1, 40)) for _ in range(12)]
+    passages += [passages[0][2:] + passages[1], passages[2] * 3, [b"alone"]]
+    block = rlz_dedup.ReferenceBlock(passages)
+
+    def elsewhere(p, i):
+        best = 0
+        for q, other in enumerate(passages):
+            for j in range(len(other)):
+                if (p, i) != (q, j):
+                    n = 0
+                    while i + n < len(passages[p]) and j + n < len(other) and passages[p][i + n] == other[j + n]:
+                        n += 1
+                    best = max(best, n)
+        return best
+
+    want, starts = [], set()
+    for p, words in enumerate(passages):
+        i = 0
+        while i < len(words):
+            n = elsewhere(p, i)
+            want.append((int(block.start[p]) + i, n))
+            i += max(n, 1)
+        starts |= {int(block.start[p]) + i for i in range(len(words)) if elsewhere(p, i) >= 5}
+    at, size = block.parse()
+    assert list(zip(at.tolist(), size.tolist())) == want
+    assert set(block.repeated(5).tolist()) == starts
 
 
 def test_empty_tables(spark):

@@ -1,80 +1,164 @@
-"""Exact search for repeated windows of L units (bytes or words) over a whole corpus, shared by both long-match dedups.
+"""Shared by the two long-match dedups: distinct texts, sampled suffixes (anchors), their contexts, and final spans.
 
 1. Distinct texts are stored once, bucketed by text key, so that later passes join them without moving text again.
-2. Anchors: positions whose k-gram hash is the minimum of some L-window (ties all count). Whether a window selects an
-   anchor depends on its content alone, so two equal windows have anchors at equal offsets.
-3. An index of anchor keys tells the keys that occur more than once (how it is built differs between the operators).
-4. The context of an anchor is every unit that a window around it can reach. Equal contexts form a class; a class
-   with two members is repeated whole. Where one key has several classes, windows are compared one by one: inside
-   one task for the usual key, spread over the cluster by window hash for keys with many classes.
+2. Anchors: the leftmost k-gram of least hash of each window of L units. Which one a window selects depends on its
+   content alone, so two equal windows have anchors at equal offsets. Hashes only choose and group anchors.
+3. Each operator's own index tells which k-grams occur more than once (see suffix_dedup and rlz_dedup).
+4. The context of an anchor is every unit that a window around it can reach. Equal contexts (128-bit BLAKE2 of the
+   units themselves) form a class; a class with two members is repeated whole. Where one key has several classes, one
+   context of each is compared by the operator's matcher, on real units, inside one task; keys with more than
+   `hot_classes` classes are compared window by window, spread over the cluster by window fingerprints (four
+   polynomials modulo 2^31 - 1 whose bases are drawn anew for each run, 124 bits).
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import BYTE_VALUE, delete_path, hash_words, limit_arrow_batches, materialize, mix, powers, small_batches, text_key, text_views, work_path
+from tidewell.llm.common import BYTE_VALUE, delete_path, drop_shuffles, hash_words, limit_arrow_batches, materialize, mix, powers, small_batches, text_key, text_views, work_path
 
 ROWS_OUT = 20_000
+CHUNK = 1 << 20  # anchors of one text meet in rows of at most so many units
+GROUP_ROWS = 3_000
+PRIME = (1 << 31) - 1
 
 
-def byte_units(raw: np.ndarray) -> np.ndarray:
-    return raw
+class ByteUnits:
+    """A text as bytes."""
 
+    def __init__(self, raw: np.ndarray):
+        self.raw, self.hashes, self.count = raw, BYTE_VALUE[raw], len(raw)
 
-def word_units(raw: np.ndarray) -> np.ndarray:
-    return hash_words(raw)[0]
+    def cut(self, lo: int, hi: int) -> bytes:
+        return self.raw[lo:hi].tobytes()
 
+    @staticmethod
+    def lengths(ctx: bytes) -> np.ndarray:
+        """Sizes of the units of a cut."""
+        return np.ones(len(ctx), np.int64)
 
-def as64(units: np.ndarray) -> np.ndarray:
-    return BYTE_VALUE[units] if units.dtype == np.uint8 else units
+    @staticmethod
+    def count_of(raw: np.ndarray) -> int:
+        return len(raw)
 
 
-def window_hashes(units: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all windows along the last axis."""
-    values = as64(units)
-    n = values.shape[-1]
-    if n < length:
-        return np.zeros((*values.shape[:-1], 0), np.uint64)
-    power, inverse = powers(n)
-    prefix = np.zeros((*values.shape[:-1], n + 1), np.uint64)
-    np.cumsum(values * power[:n], axis=-1, out=prefix[..., 1:])
-    return mix((prefix[..., length:] - prefix[..., :-length]) * inverse[: n - length + 1])
+class WordUnits:
+    """A text as its words, one space between two."""
+
+    def __init__(self, raw: np.ndarray):
+        self.text = b" ".join(raw.tobytes().split())
+        self.hashes, self.starts, self.ends = hash_words(np.frombuffer(self.text, np.uint8))
+        self.count = len(self.starts)
+
+    def cut(self, lo: int, hi: int) -> bytes:
+        return self.text[self.starts[lo] : self.ends[hi - 1]] if hi > lo else b""
 
+    @staticmethod
+    def lengths(ctx: bytes) -> np.ndarray:
+        """Sizes of the units of a cut, each with the space after it."""
+        return np.fromiter(map(len, ctx.split(b" ")), np.int64) + 1
 
-def sliding(h: np.ndarray, w: int, best) -> np.ndarray:
-    """best (minimum or maximum) of every run of w values, by doubling."""
+    @staticmethod
+    def count_of(raw: np.ndarray) -> int:
+        return len(raw.tobytes().split())
+
+
+def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every run of w values, by doubling."""
     size = 1
     while size * 2 <= w:
-        h = best(h[:-size], h[size:])
+        h = np.minimum(h[:-size], h[size:])
         size *= 2
-    return best(h[: len(h) - (w - size)], h[w - size :]) if w > size else h
-
-
-def anchors(units: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and k-gram hashes of the anchors of one text."""
-    w = length - k + 1
-    h = window_hashes(units, k)
-    if len(h) < w:
-        return np.zeros(0, np.int64), h[:0]
-    low = sliding(h, w, np.minimum)
-    pad = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(sliding(np.concatenate([pad, low, pad]), w, np.maximum) == h)
+    return np.minimum(h[: len(h) - (w - size)], h[w - size :]) if w > size else h
+
+
+def anchors(hashes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and k-gram hashes of the anchors of one text, given its units' hashes."""
+    n, w = len(hashes), length - k + 1
+    if n < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    power, inverse = powers(n)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * power[:n], out=prefix[1:])
+    h = mix((prefix[k:] - prefix[:-k]) * inverse[: n - k + 1])
+    low32 = np.uint64(0xFFFFFFFF)
+    best = sliding_min((h & ~low32) | np.arange(len(h), dtype=np.uint64), w) & low32
+    at = best[np.concatenate([[True], best[1:] != best[:-1]])].astype(np.int64)
     return at, h[at]
 
 
+@dataclass
+class Contexts:
+    """What a matcher gets: one context of each class of whole keys, in order of the keys."""
+
+    key: np.ndarray
+    text: pa.Array  # keys of the texts
+    pos: np.ndarray  # unit position of the anchor
+    left: np.ndarray  # units before the anchor
+    alone: np.ndarray  # whether the class has one member
+    ctx: list[bytes]
+
+
+def spans_of_offsets(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Member, first and last offset of each run of repeated windows, from hit[member, units before the anchor]."""
+    step = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    i, a = np.nonzero(step == 1)
+    _, b = np.nonzero(step == -1)
+    return i, a, b - 1
+
+
+class WindowPrints:
+    """Fingerprints of all windows of a context: four polynomials over its bytes, two to a long."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.bases = [secrets.randbelow(PRIME - 1_000_000) + 500_000 for _ in range(4)]
+        self.tables: list[np.ndarray] = []
+
+    def _powers(self, n: int) -> list[np.ndarray]:
+        if not self.tables or len(self.tables[0]) < n:
+            size = 1 << max(10, n.bit_length())
+            self.tables = []
+            for base in self.bases:
+                for b in (base, pow(base, -1, PRIME)):
+                    t = np.ones(1, np.uint64)
+                    while len(t) < size:
+                        t = np.concatenate([t, t * np.uint64(pow(b, len(t), PRIME)) % np.uint64(PRIME)])
+                    self.tables.append(t)
+        return self.tables
+
+    def of(self, ctx: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        m = len(sizes) - self.length + 1
+        a, b = starts[:m], ends[self.length - 1 :]
+        raw = np.frombuffer(ctx + b" ", np.uint8).astype(np.uint64) + np.uint64(1)  # words end with a space each
+        prime, out = np.uint64(PRIME), []
+        tables = self._powers(len(raw) + 1)
+        for k in range(4):
+            up, down = tables[2 * k], tables[2 * k + 1]
+            prefix = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(raw * up[: len(raw)] % prime, out=prefix[1:])
+            out.append((prefix[b] - prefix[a]) % prime * down[a] % prime)
+        shift = np.uint64(31)
+        return ((out[0] << shift) | out[1]).view(np.int64), ((out[2] << shift) | out[3]).view(np.int64)
+
+
 class Repeats:
     """One search; scratch tables are dropped by close()."""
 
-    def __init__(self, spark: SparkSession, length: int, k: int, units: Callable, hot_classes: int = 256):
+    def __init__(self, spark: SparkSession, length: int, k: int, units: type, hot_classes: int = 2500):
         self.spark, self.length, self.k, self.units, self.hot = spark, length, k, units, hot_classes
+        self.window = length - k + 1
         limit_arrow_batches(spark)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.run, self.tables = uuid.uuid4().hex[:10], []
@@ -82,7 +166,8 @@ class Repeats:
     def save(self, df: DataFrame, name: str, key: str) -> str:
         """Store df, which is grouped or joined by key already, bucketed by it: later joins on key need no shuffle."""
         table = f"tidewell_{name}_{self.run}_{len(self.tables)}"
-        df.write.bucketBy(self.buckets, key).sortBy(key).saveAsTable(table)
+        with drop_shuffles(self.spark):
+            df.write.option("compression", "zstd").bucketBy(self.buckets, key).sortBy(key).saveAsTable(table)
         self.tables.append(table)
         return table
 
@@ -99,176 +184,160 @@ class Repeats:
         rows = text.groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("n_copies"))
         return self.spark.table(self.save(rows, "texts", "th"))
 
-    def anchor_table(self, texts: DataFrame) -> DataFrame:
-        """(th, pos, key, oid): every anchor of every distinct text; oid identifies the occurrence."""
+    def anchor_table(self, texts: DataFrame, heads: bool = False) -> tuple[DataFrame, str]:
+        """(th, pos, key): every anchor of every distinct text, and its path; with heads, the k-gram too (bytes only)."""
         length, k, units = self.length, self.k, self.units
 
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                names, at, keys, rows = batch.column(0), [], [], []
+                names, at, keys, grams, rows = batch.column(0), [], [], [], []
                 total = 0
                 for i, raw in enumerate(text_views(batch.column(1))):
-                    p, h = anchors(units(raw), length, k)
+                    p, h = anchors(units(raw).hashes, length, k)
                     if len(p):
                         at.append(p)
                         keys.append(h)
                         rows.append(np.full(len(p), i))
+                        if heads:
+                            grams.append(np.lib.stride_tricks.sliding_window_view(raw, k)[p])
                         total += len(p)
                     if total >= ROWS_OUT:
-                        yield pack(names, rows, at, keys)
-                        at, keys, rows, total = [], [], [], 0
+                        yield pack(names, rows, at, keys, grams)
+                        at, keys, grams, rows, total = [], [], [], [], 0
                 if total:
-                    yield pack(names, rows, at, keys)
-
-        def pack(names, rows, at, keys):
-            return pa.RecordBatch.from_arrays(
-                [names.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], ["th", "pos", "key"]
-            )
+                    yield pack(names, rows, at, keys, grams)
+
+        def pack(names, rows, at, keys, grams):
+            columns = [names.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))]
+            if heads:
+                flat = np.ascontiguousarray(np.concatenate(grams))
+                ends = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * k)
+                columns.append(pa.Array.from_buffers(pa.binary(), len(flat), [None, ends.buffers()[1], pa.py_buffer(flat)]))
+            return pa.RecordBatch.from_arrays(columns, ["th", "pos", "key", "head"][: len(columns)])
+
+        found = texts.select("th", "text").mapInArrow(extract, "th binary, pos int, key long" + (", head binary" if heads else ""))
+        path = work_path(self.spark, "anchors")
+        found.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(found.schema).parquet(path), path
+
+    def joined(self, texts: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
+        """th, text, hits: the texts with the hits of each, at most about CHUNK to a row."""
+        part = F.floor(F.col("pos") / CHUNK).cast("int").alias("part")
+        listed = hits.repartition(self.buckets, "th").groupBy("th", part).agg(F.collect_list(F.struct("pos", *columns)).alias("hits")).drop("part")
+        return texts.select("th", "text").join(listed, "th")
+
+    def contexts(self, rows: DataFrame, columns: dict[str, pa.DataType], digest: bool) -> DataFrame:
+        """(columns, th, pos, left, size, ctx): the context of each hit of joined(); with digest, cls in place of ctx."""
+        length, w, units, last = self.length, self.window, self.units, "cls" if digest else "ctx"
+        names = [*columns, "th", "pos", "left", "size", last]
 
-        found = texts.select("th", "text").mapInArrow(extract, "th binary, pos int, key long")
-        self.anchors_path = work_path(self.spark, "anchors")
-        found.write.parquet(self.anchors_path)
-        return self.spark.read.schema(found.schema).parquet(self.anchors_path).withColumn("oid", F.xxhash64("th", "pos"))
-
-    def classes(self, texts: DataFrame, found: DataFrame, keys: DataFrame) -> DataFrame:
-        """(key, cls, th, pos, lo, hi): the context of each anchor whose key is repeated, as a 128-bit class."""
-        length, w, units = self.length, self.length - self.k + 1, self.units
-        listed = found.join(keys, "key", "left_semi").groupBy("th").agg(F.collect_list(F.struct("pos", "key")).alias("hits"))
-
-        def contexts(batches):
+        def cut(batches):
             for batch in (part for whole in batches for part in small_batches(whole)):
-                th, hits = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                out = {c: [] for c in ("key", "cls", "th", "pos", "lo", "hi")}
+                hits = batch.column(2)
+                flat, ends = hits.flatten(), hits.offsets.to_numpy() - hits.offsets[0].as_py()
+                pos = flat.field("pos").to_numpy().astype(np.int64)
+                done, held, ctx, lefts, sizes = 0, 0, [], [], []
                 for i, raw in enumerate(text_views(batch.column(1))):
-                    seq = np.ascontiguousarray(units(raw))
-                    for hit in hits[i]:
-                        p = hit["pos"]
-                        lo, hi = max(0, p - w + 1), min(len(seq), p + length)
-                        digest = hashlib.blake2b(seq[lo:hi].tobytes(), digest_size=16, salt=b"%d" % (p - lo)).digest()
-                        for c, v in zip(out, (hit["key"], digest, th[i], p, lo, hi)):
-                            out[c].append(v)
-                    if len(out["key"]) >= ROWS_OUT:
-                        yield pa.RecordBatch.from_pydict(out, schema)
-                        out = {c: [] for c in out}
-                if out["key"]:
-                    yield pa.RecordBatch.from_pydict(out, schema)
-
-        schema = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("th", pa.binary()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-        ddl = "key long, cls binary, th binary, pos int, lo int, hi int"
-        out = materialize(texts.select("th", "text").join(listed, "th").mapInArrow(contexts, ddl), "classes")
-        delete_path(self.spark, self.anchors_path)  # nothing reads the anchors from here on
-        return out
-
-    def spans(self, texts: DataFrame, classes: DataFrame) -> DataFrame:
-        """(th, lo, hi): unit ranges covered by repeated windows; they may overlap."""
-        length, w, units = self.length, self.length - self.k + 1, self.units
-        reach = w - 1 + length
+                    text = units(raw)
+                    own = pos[ends[i] : ends[i + 1]]
+                    lo, hi = np.maximum(own - (w - 1), 0), np.minimum(own + length, text.count)
+                    lefts.append(own - lo)
+                    sizes.append(hi - lo)
+                    for p, a, b in zip(own.tolist(), lo.tolist(), hi.tolist()):
+                        c = text.cut(a, b)
+                        ctx.append(hashlib.blake2b(c, digest_size=16, salt=b"%d" % (p - a)).digest() if digest else c)
+                    held += len(own)
+                    if held - done >= (ROWS_OUT if digest else 2_000) or i == batch.num_rows - 1:
+                        at = slice(done, held)
+                        owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))[at]
+                        given = [flat.field(c).slice(done, held - done) for c in columns]
+                        yield pa.RecordBatch.from_arrays(
+                            [*given, batch.column(0).take(pa.array(owner)), pa.array(pos[at].astype(np.int32)), pa.array(np.concatenate(lefts).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(ctx, pa.binary())],
+                            names,
+                        )
+                        done, ctx, lefts, sizes = held, [], [], []
+
+        kinds = {pa.int64(): "long", pa.int32(): "int"}
+        ddl = ", ".join([f"{c} {kinds[t]}" for c, t in columns.items()] + ["th binary, pos int, left int, size int", f"{last} binary"])
+        return rows.mapInArrow(cut, ddl)
+
+    def classes(self, texts: DataFrame, hits: DataFrame) -> DataFrame:
+        """(key, cls, th, pos, left, size) of hits(th, pos, key), whose keys are repeated."""
+        out = self.contexts(self.joined(texts, hits, "key"), {"key": pa.int64()}, True)
+        return materialize(out, "classes")
+
+    def spans(self, texts: DataFrame, classes: DataFrame, matcher: Callable) -> DataFrame:
+        """(th, lo, hi): unit ranges covered by repeated windows; they may overlap.
+
+        matcher(Contexts) returns members and the first and last offset (units before the anchor) of repeated windows.
+        """
+        length, units = self.length, self.units
         sizes = classes.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("th", "pos")).alias("rep"))
         sizes = materialize(sizes.select("key", "cls", "n", "rep.th", "rep.pos"), "sizes")
+        lo = F.col("pos") - F.col("left")
         twice = sizes.filter("n > 1").select("key", "cls")
-        whole = classes.join(twice, ["key", "cls"], "left_semi").select("th", "lo", "hi")
+        whole = classes.join(twice, ["key", "cls"], "left_semi").select("th", lo.alias("lo"), (lo + F.col("size")).alias("hi"))
         # keys with several classes, where at least one member stands alone
         mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 AND fewest = 1")
-        reps = sizes.join(mixed.select("key", "kinds"), "key")
-        listed = reps.groupBy("th").agg(F.collect_list(F.struct("pos", "key", "n", "kinds")).alias("hits"))
+        reps = sizes.join(mixed.select("key", "kinds"), "key").withColumn("n", F.least("n", F.lit(2)))
+        listed = self.joined(texts, reps, "key", "kinds", "n")
+        cuts = materialize(self.contexts(listed, {"key": pa.int64(), "kinds": pa.int64(), "n": pa.int64()}, False), "contexts")
 
-        def cut(batches):
-            for batch in (part for whole in batches for part in small_batches(whole)):
-                th, hits = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                out = {c: [] for c in schema.names}
-                for i, raw in enumerate(text_views(batch.column(1))):
-                    seq = np.ascontiguousarray(units(raw))
-                    for hit in hits[i]:
-                        p = hit["pos"]
-                        lo, hi = max(0, p - w + 1), min(len(seq), p + length)
-                        for c, v in zip(out, (hit["key"], hit["kinds"], hit["n"], th[i], p, p - lo, seq[lo:hi].tobytes())):
-                            out[c].append(v)
-                    if len(out["key"]) >= 2_000:
-                        yield pa.RecordBatch.from_pydict(out, schema)
-                        out = {c: [] for c in out}
-                if out["key"]:
-                    yield pa.RecordBatch.from_pydict(out, schema)
-
-        schema = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("n", pa.int64()), ("th", pa.binary()), ("pos", pa.int32()), ("left", pa.int32()), ("ctx", pa.binary())])
-        ddl = "key long, kinds long, n long, th binary, pos int, left int, ctx binary"
-        cuts = materialize(texts.select("th", "text").join(listed, "th").mapInArrow(cut, ddl), "contexts")
-        kind = np.uint8 if units is byte_units else np.uint64
-
-        def matrix(ctx: list[bytes], left: np.ndarray):
-            """Window hashes [member, t] of windows that start t units before the anchor, and which exist."""
-            m = len(ctx)
-            grid = np.zeros((m, reach), kind)
-            size = np.empty(m, np.int64)
-            for i, c in enumerate(ctx):
-                seq = np.frombuffer(c, kind)
-                at = w - 1 - left[i]
-                grid[i, at : at + len(seq)] = seq
-                size[i] = len(seq)
-            h = window_hashes(grid, length)[:, ::-1]  # column t starts at w - 1 - t
-            t = np.arange(w)
-            exists = (t[None, :] <= left[:, None]) & (length - t[None, :] <= (size - left)[:, None])
-            return h, exists
-
-        def runs(hit: np.ndarray):
-            """Member index, first and last t of each run of repeated windows."""
-            step = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            i, a = np.nonzero(step == 1)
-            _, b = np.nonzero(step == -1)
-            return i, a, b - 1
+        def match(table: pa.Table) -> pa.RecordBatch:
+            pos = table["pos"].to_numpy().astype(np.int64)
+            who = table["th"].combine_chunks()
+            alone = table["n"].to_numpy() == 1
+            i, a, b = matcher(Contexts(table["key"].to_numpy(), who, pos, table["left"].to_numpy().astype(np.int64), alone, table["ctx"].to_pylist()))
+            return pa.RecordBatch.from_arrays([who.take(pa.array(i)), pa.array((pos[i] - b).astype(np.int32)), pa.array((pos[i] - a + length).astype(np.int32))], ["th", "lo", "hi"])
 
         def compare(batches):
             held: list[pa.RecordBatch] = []
-
-            def flush(table: pa.Table):
-                left, alone = table["left"].to_numpy().astype(np.int64), table["n"].to_numpy() == 1
-                h, exists = matrix(table["ctx"].to_pylist(), left)
-                hit = np.zeros_like(exists)
-                for t in range(w):
-                    rows = np.flatnonzero(exists[:, t])
-                    _, back, count = np.unique(h[rows, t], return_inverse=True, return_counts=True)
-                    hit[rows, t] = count[back] > 1
-                i, a, b = runs(hit & alone[:, None])
-                pos = table["pos"].to_numpy().astype(np.int64)[i]
-                return pa.RecordBatch.from_arrays(
-                    [pa.chunked_array(table["th"]).combine_chunks().take(pa.array(i)), pa.array((pos - b).astype(np.int32)), pa.array((pos - a + length).astype(np.int32))], ["th", "lo", "hi"]
-                )
-
             # rows come sorted by key: a chunk ends where the key changes
             size = 0
             for batch in batches:
                 held.append(batch)
                 size += batch.num_rows
-                if size >= 3_000:
+                if size >= GROUP_ROWS:
                     table = pa.Table.from_batches(held)
                     keys = table["key"].to_numpy()
                     end = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-                    for at in pieces(keys[:end], 3_000):
-                        yield flush(table.slice(at[0], at[1] - at[0]))
+                    for at in pieces(keys[:end], GROUP_ROWS):
+                        yield match(table.slice(at[0], at[1] - at[0]))
                     held, size = table.slice(end).combine_chunks().to_batches(), len(keys) - end
             if size:
                 table = pa.Table.from_batches(held)
-                for at in pieces(table["key"].to_numpy(), 3_000):
-                    yield flush(table.slice(at[0], at[1] - at[0]))
+                for at in pieces(table["key"].to_numpy(), GROUP_ROWS):
+                    yield match(table.slice(at[0], at[1] - at[0]))
 
         usual = cuts.filter(F.col("kinds") <= self.hot).repartition("key").sortWithinPartitions("key")
         near = usual.mapInArrow(compare, "th binary, lo int, hi int")
+        prints = WindowPrints(length)
 
         def scatter(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    left = part["left"].to_numpy().astype(np.int64)
-                    h, exists = matrix(part["ctx"].to_pylist(), left)
-                    i, t = np.nonzero(exists)
-                    start = part["pos"].to_numpy().astype(np.int64)[i] - t
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[i, t].view(np.int64)), part["th"].take(pa.array(i)), pa.array(start.astype(np.int32)), pa.array(part["n"].to_numpy()[i])], ["wh", "th", "lo", "n"]
-                    )
-
-        wide = cuts.filter(F.col("kinds") > self.hot).mapInArrow(scatter, "wh long, th binary, lo int, n long")
+            for batch in (part for whole in batches for part in small_batches(whole, 500)):
+                first, second, start, rows = [], [], [], []
+                pos, left = batch.column("pos").to_numpy(), batch.column("left").to_numpy()
+                for i, c in enumerate(batch.column("ctx").to_pylist()):
+                    sizes = units.lengths(c)
+                    if len(sizes) >= length:
+                        one, two = prints.of(c, sizes)
+                        first.append(one)
+                        second.append(two)
+                        start.append(np.arange(len(one)) + int(pos[i] - left[i]))
+                        rows.append(np.full(len(one), i))
+                if rows:
+                    at = pa.array(np.concatenate(rows))
+                    own = [batch.column(c).take(at) for c in ("th", "n", "kinds")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), pa.array(np.concatenate(start).astype(np.int32)), *own], ["w1", "w2", "lo", "th", "n", "kinds"])
+
+        wide = cuts.filter(F.col("kinds") > self.hot).mapInArrow(scatter, "w1 long, w2 long, lo int, th binary, n long, kinds long")
         oid = F.xxhash64("th", "lo")
-        seen = wide.groupBy("wh").agg(F.min(oid).alias("a"), F.max(oid).alias("b")).filter("a <> b").select("wh")
-        far = wide.filter("n = 1").join(seen, "wh", "left_semi").select("th", "lo", (F.col("lo") + length).alias("hi"))
+        seen = wide.groupBy("w1", "w2").agg(F.min(oid).alias("a"), F.max(oid).alias("b"), F.max("kinds").alias("kinds")).filter("a <> b")
+        # the members of a hot window are dealt over as many parts as its key has thousands of classes
+        parts = F.ceil(F.col("kinds") / 1000).cast("int")
+        seen = seen.select("w1", "w2", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        mine = wide.filter("n = 1").withColumn("part", F.pmod(oid, parts).cast("int"))
+        far = mine.join(seen, ["w1", "w2", "part"], "left_semi").select("th", "lo", (F.col("lo") + length).alias("hi"))
         return whole.unionByName(near).unionByName(far)
 
     def per_text(self, texts: DataFrame, spans: DataFrame, digest: Callable) -> DataFrame:
@@ -278,14 +347,16 @@ class Repeats:
 
         def settle(batches):
             for batch in (part for whole in batches for part in small_batches(whole)):
-                th, copies, hits = (batch.column(i).to_pylist() for i in (0, 2, 3))
+                th, copies, hits = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+                flat, ends = hits.flatten(), hits.offsets.to_numpy() - hits.offsets[0].as_py()
+                first, last = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
                 out = {c: [] for c in schema.names}
                 for i, raw in enumerate(text_views(batch.column(1))):
-                    n = len(units(raw))
+                    n, at = units.count_of(raw), slice(ends[i], ends[i + 1])
                     if copies[i] > 1 and n >= length:
                         lo, hi = np.array([0]), np.array([n])
-                    elif hits[i]:
-                        lo, hi = merge_ranges(np.array([x["lo"] for x in hits[i]]), np.array([x["hi"] for x in hits[i]]))
+                    elif at.start < at.stop:
+                        lo, hi = merge_ranges(first[at], last[at])
                     else:
                         continue
                     spans = [{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi)]
@@ -295,9 +366,12 @@ class Repeats:
 
         schema = pa.schema([("th", pa.binary()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("kept_sha256", pa.string())])
         ddl = "th binary, n_units long, n_removed long, spans array<struct<lo: long, hi: long>>, kept_sha256 string"
-        rows = texts.join(listed, "th", "left").filter("n_copies > 1 OR hits IS NOT NULL").select("th", "text", "n_copies", "hits")
+        rows = texts.join(listed, "th", "left").filter("n_copies > 1 OR hits IS NOT NULL").select("th", "text", "n_copies", F.coalesce("hits", F.array()).alias("hits"))
         return materialize(rows.mapInArrow(settle, ddl), "per-text")
 
+    def forget(self, path: str) -> None:
+        delete_path(self.spark, path)
+
 
 def pieces(keys: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of about `most` rows that never split a key."""
