@@ -29,6 +29,7 @@ from tidewell.llm.common import BYTE_VALUE, delete_path, drop_shuffles, hash_wor
 ROWS_OUT = 20_000
 CHUNK = 1 << 20  # anchors of one text meet in rows of at most so many units
 GROUP_ROWS = 3_000
+HOT_CLASSES = 20_000  # contexts of one key that one task compares at most: about 10 MB
 PRIME = (1 << 31) - 1
 
 
@@ -156,7 +157,7 @@ class WindowPrints:
 class Repeats:
     """One search; scratch tables are dropped by close()."""
 
-    def __init__(self, spark: SparkSession, length: int, k: int, units: type, hot_classes: int = 2500):
+    def __init__(self, spark: SparkSession, length: int, k: int, units: type, hot_classes: int = HOT_CLASSES):
         self.spark, self.length, self.k, self.units, self.hot = spark, length, k, units, hot_classes
         self.window = length - k + 1
         limit_arrow_batches(spark)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialize, text_key
-from tidewell.llm.repeats import Contexts, Repeats, WordUnits, spans_of_offsets
+from tidewell.llm.repeats import HOT_CLASSES, Contexts, Repeats, WordUnits, spans_of_offsets
 
 LENGTH, KGRAM = 35, 10
 
@@ -49,7 +49,7 @@ class ReferenceBlock:
             behind[: n - step] = rank[step:] + 1
             code = rank * (n + len(size) + len(ids) + 2) + behind
             values, rank = np.unique(code, return_inverse=True)
-            self.ranks.append(rank)
+            self.ranks.append(rank.astype(np.int32))
             step *= 2
             if len(values) == n:
                 break
@@ -142,7 +142,7 @@ def kept_words(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
     return b" ".join(out + words[at:])
 
 
-def factors(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot_classes: int = 2500) -> DataFrame:
+def factors(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """(th, n_units, n_removed, spans, kept_sha256) of each distinct text with a factor of `length` words or more."""
     search = Repeats(docs.sparkSession, length, kgram, WordUnits, hot_classes)
     try:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialize, text_key
-from tidewell.llm.repeats import ByteUnits, Contexts, Repeats, spans_of_offsets
+from tidewell.llm.repeats import HOT_CLASSES, ByteUnits, Contexts, Repeats, spans_of_offsets
 
 LENGTH, KGRAM, BATCH_BYTES, MOST_BATCHES = 200, 40, 256 << 20, 16
 
@@ -138,7 +138,7 @@ def kept_bytes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
     return raw[left].tobytes()
 
 
-def long_matches(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, batch_bytes: int = BATCH_BYTES, hot_classes: int = 2500) -> DataFrame:
+def long_matches(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, batch_bytes: int = BATCH_BYTES, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """(th, n_units, n_removed, spans, kept_sha256) of each distinct text of docs that shares `length` bytes."""
     search = Repeats(docs.sparkSession, length, kgram, ByteUnits, hot_classes)
     try:
