@@ -63,6 +63,14 @@ def test_mix_lands_every_source_by_itself(spark):
     assert max(off.values()) <= 1.0, off
 
 
+def test_mix_keeps_long_ids_and_deals_repeated_rows(spark):
+    ids = [2**53 + 1, 2**53 + 3, 2**62 + 5, -(2**60) - 1, None]
+    df = spark.createDataFrame([(i, "w " * k, "en", "s", 0, None, None) for k, i in enumerate(ids)] + [(77, "x y z", "en", "s", 0, None, None)] * 500, DOCS)
+    got = mixing.mix(df, bucket=50).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in df.select("doc_id").collect())
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 3
+
+
 def test_flight_keeps_balance():
     import numpy as np
 
@@ -99,7 +107,7 @@ def test_decontamination(spark):
                         found.add("" if name is None else str(name))
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     assert sorted(map(tuple, decontam.report(df, item_rows).collect())) == want
-    blocks = decontam.overlaps(df, item_rows, block_words=10).select("doc_id", "n_words", "items").collect()
+    blocks = decontam.overlaps(df, item_rows, block_words=10).select("doc.doc_id", "n_words", "items").collect()
     assert {(r.doc_id, r.n_words, len(r["items"])) for r in blocks} == {(a, b, d) for a, b, _, d, _, _ in want}
     clean = {r.doc_id: r.text for r in decontam.decontaminate(df, item_rows).collect()}
     assert clean[2] == "a  it is" and 0 not in clean and clean[3] is None and clean[1] == texts[1].replace("w1 w2 w3", "") and clean[7] == texts[7]
@@ -107,6 +115,30 @@ def test_decontamination(spark):
     assert decontam.report(df.limit(0), item_rows).count() == 0
 
 
+def test_automaton_is_small():
+    words = [f"w{(i * 7919) % 5003}" for i in range(60_000)]
+    auto = decontam.ItemAutomaton([("1", [w.encode() for w in words]), ("2", [b"w1", b"w2"])], 10)
+    assert sum(len(x) * x.itemsize for x in (auto.symbol, auto.target, auto.link, auto.length, auto.items, auto.up)) < 60 * len(words)
+    n, hit, found = auto.match(" ".join(words[100:150]).encode())
+    assert n == 50 and hit.all() and found == {"1"}
+
+
+CLASH = ["n_words", "hits", "items", "doc", "base", "added", "all", "candidates", "fresh", "score", "_text", "th", "size", "salt", "n"]
+
+
+def test_columns_of_any_name_pass(spark):
+    texts = ["mail joe@x.io or w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 end of it and more words than that", None, "", "plain words"]
+    df = docs(spark, texts).drop("score", "size").withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12))), (2, "other words of an item which is long enough to be two blocks")], "item_id long, text string")
+    assert decontam.overlaps(df, items, block_words=5).count() == 4
+    model = toxicity.Model(toxicity.np.zeros(toxicity.CLASSES**4, toxicity.np.float32), -1.0, 1.0, 0.0)
+    for out in (decontam.decontaminate(df, items), pii.redact(df), toxicity.drop_toxic(df, model)):
+        assert out.columns == df.columns
+        rows = {r.doc_id: r for r in out.collect()}
+        assert len(rows) == 4 and all(r[c] == f"own {c}" for r in rows.values() for c in CLASH) and rows[1].text is None
+    assert "joe@x.io" not in {r.doc_id: r for r in pii.redact(df).collect()}[0].text
+
+
 # ---- 3
 
 
@@ -135,6 +167,49 @@ def test_toxicity_held_out(spark):
     assert by_id[5000].score == by_id[5001].score < 0.5 and by_id[5004].score > by_id[5003].score
     assert toxicity.report(df, known.limit(0)).agg(F.max("score")).first()[0] == 0.0
     assert toxicity.report(df.limit(0), known).count() == 0
+    few = toxicity.report(df.filter("doc_id < 100 OR doc_id >= 5000"), known.filter("doc_id IN (1, 2, 3, 6, 7, 9)").withColumn("toxic", (F.col("doc_id") == 1).cast("int"))).collect()
+    assert all(0 <= r.score <= 1 for r in few) and len({r.score for r in few}) > 1
+
+
+def plain_kernel(a: str, b: str) -> float:
+    """The kernel by its definition: all common subsequences of four letters with at most one character between two."""
+
+    def features(s):
+        c, out = toxicity.codes(s[: toxicity.WINDOW]).tolist(), {}
+        for i in range(len(c)):
+            for offsets in toxicity.GAPS:
+                at = [i, *(i + o for o in offsets)]
+                if at[-1] < len(c) and all(c[x] for x in at):
+                    key = tuple(c[x] for x in at)
+                    out.setdefault(key, []).append(toxicity.DECAY ** (at[-1] - i + 1))
+        return {k: sum(v) for k, v in out.items()}, (toxicity.SMOOTH + sum(x * x for v in out.values() for x in v)) ** 0.5
+
+    (x, m), (y, n) = features(a), features(b)
+    return sum(v * y.get(k, 0) for k, v in x.items()) / m / n
+
+
+def test_kernel_is_the_subsequence_kernel_in_all_scripts():
+    strings = [" stupid", "s t u p i d", "st.up.id x", "глупый человек", "г.л.у.п.ы.й", "aaaaaa aaaaa", "şğıöü kötü söz", "sgiou kotu soz", "愚かな人間だよね", "", "ab"]
+    landmarks = [s for s in strings if len(s) > 3]
+    got = toxicity.Nystroem(landmarks).kernel(strings)
+    for i, s in enumerate(strings):
+        for j, t in enumerate(landmarks):
+            assert got[i, j] == pytest.approx(plain_kernel(s, t), abs=1e-5)
+    assert plain_kernel("şğıöü kötü söz", "sgiou kotu soz") == pytest.approx(plain_kernel("sgiou kotu soz", "sgiou kotu soz"))
+    assert plain_kernel("глупый человек", "г.л.у.п.ы.й") > 0.1
+
+
+def test_worst_passage_equals_the_folded_decision():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    space = toxicity.Nystroem([" stupid", "moron an", "the word "])
+    w = rng.normal(size=3)
+    text = "an ordinary text with a st.upid word and a mo-ron in it"
+    f, at = toxicity.worst([text], space.table(w), 0.5)
+    padded = f" {text} "
+    passages = [padded[i : i + toxicity.WINDOW] for i in range(len(padded))]
+    assert f[0][0] == pytest.approx((space.map(passages) @ w).max() + 0.5, abs=1e-4)
 
 
 # ---- 4
@@ -210,15 +285,27 @@ def test_chat(spark):
     assert chat.report(df.limit(0)).count() == 1
 
 
+def test_chat_of_texts_beyond_any_record_limit(spark):
+    rows = spark.range(1).selectExpr("id AS conv_id", "0L AS turn", "'assistant' AS role", "repeat('ab<', 7000000) AS text")
+    got = {r.conv_id: r for r in chat.report(rows.unionByName(spark.range(1).selectExpr("-1L AS conv_id", "0L AS turn", "'user' AS role", "'own' AS text"))).collect()}
+    assert got[0].loss_chars == 21_000_000 and got[0].formatted_chars == 21_000_000 + 7_000_000 + len("[INST]assistant[/INST]</s>")
+    assert sorted(r.n_turns for r in chat.report(rows.selectExpr("-1L AS conv_id", "turn", "role", "'x' AS text")).collect()) == [1, 2]
+
+
 def test_layouts(spark):
     records = [
         '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a<b"}]}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}',
         '{"instruction": "i", "input": "", "output": "o"}', '{"instruction": "i", "output": "o"}', '{"prompt": "p", "completion": null}', '{"other": {"deep": [1, 2]}}', "not json", None,
+        '{"id": 7, "messages": [{"role": "user", "name": "x", "content": "q"}], "meta": {"a": [1]}}', '{"messages": []}', '{"messages": "text"}', '{"id": "a", "prompt": "p", "completion": "c"}', '{"messages": [{"role": "user"}]}',
     ]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "record_id int, record string")
     got = {r.record_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_records(df)).collect()}
-    assert got == {0: [("user", "q"), ("assistant", "a<b")], 1: [("user", "q"), ("assistant", "a")], 2: [("system", "i"), ("assistant", "o")], 3: [("user", "i"), ("assistant", "o")], 4: [("user", "p"), ("assistant", "")]}
-    assert {r.layout: r.n for r in chat.unmapped(df).collect()} == {"OBJECT<other: OBJECT<deep: ARRAY<BIGINT>>>": 1, None: 2} or sum(r.n for r in chat.unmapped(df).collect()) == 3
+    assert got == {
+        0: [("user", "q"), ("assistant", "a<b")], 1: [("user", "q"), ("assistant", "a")], 2: [("system", "i"), ("assistant", "o")], 3: [("user", "i"), ("assistant", "o")], 4: [("user", "p"), ("assistant", "")],
+        8: [("user", "q")], 9: [], 11: [("user", "p"), ("assistant", "c")],
+    }
+    unknown = {r.layout: r.n for r in chat.unmapped(df).collect()}
+    assert unknown.pop(None) == 2 and sum(unknown.values()) == 3 and len(unknown) == 3
 
 
 # ---- 7

@@ -1,14 +1,15 @@
 """Operator 5: chat formatting by schema fingerprints, with built-in functions only.
 
-A record's nested field paths, whatever its values, hash to a fingerprint that selects a declarative mapping from its
-layout to canonical turns (role, text). Turns are then written in one template; control strings inside texts are
+The nested field paths of a record that the known mappings use, whatever its values, hash to fingerprints that select a
+declarative mapping from its layout to canonical turns (role, text); further fields do not matter. Turns are then written in one template; control strings inside texts are
 escaped reversibly, and a mask tells how many characters of each turn are trained on.
 
 Template: [INST]role[/INST]text</s> per turn. In roles and texts a backslash becomes \\e, < becomes \\l, [ becomes \\b,
 so no control string can appear there; undoing \\l, \\b and then \\e restores every text.
 
 Cases: null text or role is empty; a null conv_id is a conversation; turns order by (turn, role, text), null first;
-repeated rows are turns each; records of unknown layout give no turns and are counted by unmapped(); no rows: none.
+repeated rows are turns each; empty arrays of messages give no turns but a record; records of unknown layout give none
+and are counted by unmapped(); a conversation -1 of the data is apart from the probe of that id; no rows: none.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ TURNS_PER_PIECE = 256
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout (nested field paths, types left out) and how it yields turns.
+    """The nested field paths of a layout and how they yield turns.
 
     each: path of an array of messages, or None; role and text: paths inside a message, or of the record;
     fixed: instead of one role and text, (role, path) pairs in order; blank texts of fixed pairs are left out.
     """
 
-    layout: str
     each: str | None = None
     role: str | None = None
     text: str | None = None
@@ -38,12 +38,12 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("OBJECT<role, text, turn>", role="$.role", text="$.text"),
-    Mapping("OBJECT<messages: ARRAY<OBJECT<content, role>>>", each="$.messages", role="$.role", text="$.content"),
-    Mapping("OBJECT<conversations: ARRAY<OBJECT<from, value>>>", each="$.conversations", role="$.from", text="$.value"),
-    Mapping("OBJECT<input, instruction, output>", fixed=(("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Mapping("OBJECT<instruction, output>", fixed=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Mapping("OBJECT<completion, prompt>", fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
+    Mapping(role="$.role", text="$.text"),
+    Mapping(each="$.messages", role="$.role", text="$.content"),
+    Mapping(each="$.conversations", role="$.from", text="$.value"),
+    Mapping(fixed=(("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
+    Mapping(fixed=(("user", "$.instruction"), ("assistant", "$.output"))),
+    Mapping(fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
 )
 
 #: Role names of other layouts and their canonical form.
@@ -55,33 +55,65 @@ def layout_of(record: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(record), ": (?!OBJECT|ARRAY)[A-Z_]+(\\([0-9, ]+\\))?", "")
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(layout_of(record))
+def needed(m: Mapping) -> list[str]:
+    """Nested field paths that a mapping needs; others may be there or not."""
+    if m.each:
+        return sorted([m.each, *(m.each + "[0]" + p[1:] for p in (m.role, m.text))])
+    return sorted([p for _, p in m.fixed] if m.fixed else [m.role, m.text])
 
 
-def turns(record: Column, mappings=MAPPINGS, canonical_roles: bool = True) -> Column:
-    """array<struct<role, text>> of a variant record; null where no mapping has its fingerprint."""
+def fingerprint(paths: list[str], there) -> Column:
+    """Hash of those of the nested field paths that are there."""
+    return F.xxhash64(F.array_join(F.array(*[F.when(there(p), p) for p in paths]), "\n"))
+
+
+def wanted(m: Mapping) -> Column:
+    return F.xxhash64(F.lit("\n".join(needed(m))))
+
+
+def fits(record: Column, m: Mapping) -> Column:
+    """Whether the record's fingerprint over the paths that m needs is that of m; an array of messages may be empty."""
+    there = lambda p: F.try_variant_get(record, p, "variant").isNotNull()
+    out = fingerprint(needed(m), there) == wanted(m)
+    return out | (F.schema_of_variant(F.try_variant_get(record, m.each, "variant")) == "ARRAY<VOID>") if m.each else out
+
+
+def turn(role: Column, text: Column, canonical_roles: bool = True) -> Column:
     name = F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])
+    return F.struct((F.coalesce(name[role], role) if canonical_roles else role).alias("role"), text.alias("text"))
 
-    def get(v: Column, path: str) -> Column:
-        return F.coalesce(F.variant_get(v, path, "string"), F.lit(""))
 
-    def turn(role: Column, text: Column) -> Column:
-        return F.struct((F.coalesce(name[role], role) if canonical_roles else role).alias("role"), text.alias("text"))
+def turns(record: Column, mappings=MAPPINGS) -> Column:
+    """array<struct<role, text>> of a variant record by the first mapping whose fingerprint it has; else null."""
+
+    def get(v: Column, path: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
     def message(m: Mapping):
         return lambda v: turn(get(v, m.role), get(v, m.text))
 
-    out, mark = None, fingerprint(record)
+    out = None
     for m in mappings:
         if m.fixed:
             rows = F.filter(F.array(*[turn(F.lit(r), get(record, p)) for r, p in m.fixed]), lambda t: (t["role"] == "assistant") | (F.trim(t["text"]) != ""))
         elif m.each:
-            rows = F.transform(F.variant_get(record, m.each, "array<variant>"), message(m))
+            rows = F.transform(F.try_variant_get(record, m.each, "array<variant>"), message(m))
         else:
             rows = F.array(turn(get(record, m.role), get(record, m.text)))
-        fits = mark == F.xxhash64(F.lit(m.layout))
-        out = F.when(fits, rows) if out is None else out.when(fits, rows)
+        out = F.when(fits(record, m), rows) if out is None else out.when(fits(record, m), rows)
+    return out
+
+
+def turns_of_columns(table: DataFrame, mappings=MAPPINGS) -> Column:
+    """The same of a table whose columns are the record's fields, by the schema alone: no record is built, so a text may
+    be of any length. Names of roles stay as they are."""
+    paths = {f"$.{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns}
+    out = F.lit(None)
+    for m in reversed(mappings):
+        if not m.each and set(needed(m)) <= set(paths):
+            pairs = [(F.lit(r), paths[p]) for r, p in m.fixed] or [(paths[m.role], paths[m.text])]
+            there = fingerprint(needed(m), lambda p: F.lit(p in paths))
+            out = F.when(there == wanted(m), F.array(*[turn(r, t, False) for r, t in pairs])).otherwise(out)
     return out
 
 
@@ -109,8 +141,8 @@ def format_rows(rows: DataFrame) -> DataFrame:
 
     A conversation is put together from pieces of TURNS_PER_PIECE turn numbers, so no task sorts a long one whole.
     """
-    record = F.parse_json(F.to_json(F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")), {"ignoreNullFields": "false"}))
-    each = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.inline(turns(record, canonical_roles=False)))
+    record = turns_of_columns(rows.select("turn", "role", "text"))
+    each = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.inline(record))
     part = F.floor(F.col("turn") / TURNS_PER_PIECE)
     pieces = each.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     pieces = pieces.select("conv_id", "part", F.transform("t", piece).alias("p"))
@@ -149,10 +181,12 @@ def report(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     tricky = f"{END}{OPEN} ok {CLOSE}"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
-    back = read_back(format_rows(rows))
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.lit(False).alias("probe"))
+    rows = rows.unionByName(probe.withColumn("probe", F.lit(True)))
+    # the data may have a conversation -1 of its own
+    back = read_back(format_rows(rows.select(F.struct("conv_id", "probe").alias("conv_id"), "turn", "role", "text")))
     return back.select(
-        "conv_id",
+        "conv_id.conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length(F.array_join("loss_texts", "")).cast("long").alias("loss_chars"),
@@ -163,12 +197,12 @@ def report(conversations: DataFrame) -> DataFrame:
 
 _ESCAPED = r"length({0}) + length({0}) - length(translate({0}, '\<[', ''))"
 ORACLE = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{END}{OPEN} ok {CLOSE}' UNION ALL SELECT -1, 1, 'assistant', '{END}{OPEN} ok {CLOSE}')
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS probe FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{END}{OPEN} ok {CLOSE}', true UNION ALL SELECT -1, 1, 'assistant', '{END}{OPEN} ok {CLOSE}', true)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(OPEN) + len(CLOSE) + len(END)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, probe
 """

@@ -45,10 +45,15 @@ def drop_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder is added to paths, for a caller that deletes it once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
+    if paths is not None:
+        paths.append(path)
     with drop_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -143,10 +148,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al.). Every step is one min-aggregation per node and one
     join, so a hub's edges are never gathered in one task. The edge list is written to the shared folder each round.
     """
-    spark = edges.sparkSession
+    spark, paths = edges.sparkSession, []
 
     def settled(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-        e = materialize(e.filter("a <> b").distinct(), name)
+        e = materialize(e.filter("a <> b").distinct(), name, paths)
+        for old in paths[:-1]:  # the rounds before
+            delete_path(spark, old)
+        del paths[:-1]
         sig = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return e, tuple(sig)
 
@@ -163,9 +171,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "a")
         small = small.select("b", "m").union(small.select(F.col("a").alias("b"), "m"))
         new, new_sig = settled(small.select(F.col("b").alias("a"), F.col("m").alias("b")), "cc")
-        if new_sig == sig:
+        done, e, sig = new_sig == sig, new, new_sig
+        if done:
             break
-        e, sig = new, new_sig
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     # a fixpoint is a set of stars: every edge leads to its least node

@@ -12,6 +12,7 @@ a null item_id counts as the empty id; repeated documents get equal results; no
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,70 +34,101 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class ItemAutomaton:
-    """Suffix automaton of several word sequences, with the items of each window-long or whole-item match."""
+    """Suffix automaton of several word sequences, with the items of each window-long or whole-item match.
+
+    States are numbers into flat arrays of 32-bit integers; nearly all have one way on, which is in the arrays too, and
+    only the others have a dictionary. Item sets are shared: a state has the number of one.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.symbol, self.target = array("i", [-1]), array("i", [0])  # the first way on of each state
+        self.ways: dict[int, dict[int, int]] = {}  # the further ones
+        self.link, self.length = array("i", [-1]), array("i", [0])
         coded = []
         for name, words in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
+            ids = array("i", [self.vocab.setdefault(w, len(self.vocab)) for w in words])
             if ids:
                 coded.append((name, ids))
                 last = 0
                 for c in ids:
                     last = self._extend(last, c)
         self.least = min([window, *(len(ids) for _, ids in coded)])
-        self.items: dict[int, set[str]] = {}  # state of a window -> items
-        self.whole: dict[int, dict[int, set[str]]] = {}  # state of a whole short item -> its length -> items
+        sets: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+
+        def with_name(number: int, name: str) -> int:
+            names = (self.sets[number] if number >= 0 else frozenset()) | {name}
+            if names not in sets:
+                sets[names] = len(self.sets)
+                self.sets.append(names)
+            return sets[names]
+
+        self.items = array("i", [-1]) * len(self.link)  # of the window that a state stands for
+        self.whole: dict[int, dict[int, int]] = {}  # state of a whole short item -> its length -> items
         for name, ids in coded:
             if len(ids) < window:
                 state = 0
                 for c in ids:
-                    state = self.next[state][c]
-                self.whole.setdefault(state, {}).setdefault(len(ids), set()).add(name)
+                    state = self.step(state, c)
+                ends = self.whole.setdefault(state, {})
+                ends[len(ids)] = with_name(ends.get(len(ids), -1), name)
                 continue
             state = size = 0
             for c in ids:
-                state, size = self.next[state][c] if c in self.next[state] else 0, size + 1
+                state, size = self.step(state, c), size + 1
                 state, size = self._shorten(state, min(size, window))
                 if size == window:
-                    self.items.setdefault(state, set()).add(name)
+                    self.items[state] = with_name(self.items[state], name)
         # the nearest state on the way up the links that ends a whole short item
-        self.up = [-1] * len(self.link)
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.up[state] = state if state in self.whole else self.up[self.link[state]]
+        self.up = array("i", [-1]) * len(self.link)
+        if self.whole:
+            for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+                self.up[state] = state if state in self.whole else self.up[self.link[state]]
+
+    def step(self, state: int, c: int) -> int:
+        """The state that c leads to, or -1."""
+        if self.symbol[state] == c:
+            return self.target[state]
+        more = self.ways.get(state)
+        return more.get(c, -1) if more else -1
+
+    def _lead(self, state: int, c: int, to: int) -> None:
+        if self.symbol[state] in (-1, c):
+            self.symbol[state], self.target[state] = c, to
+        else:
+            self.ways.setdefault(state, {})[c] = to
+
+    def _new(self, link: int, length: int) -> int:
+        self.symbol.append(-1)
+        self.target.append(0)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
 
     def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:
-            q = nxt[last][c]
-            return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        new = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        q = self.step(last, c)
+        if q >= 0:
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
+        new = self._new(0, self.length[last] + 1)
         p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
+        while p != -1 and (q := self.step(p, c)) < 0:
+            self._lead(p, c, new)
+            p = self.link[p]
         if p != -1:
-            q = nxt[p][c]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
         return new
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        copy = len(nxt)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        link[q] = copy
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = copy
-            p = link[p]
+        copy = self._new(self.link[q], self.length[p] + 1)
+        self.symbol[copy], self.target[copy] = self.symbol[q], self.target[q]
+        if q in self.ways:
+            self.ways[copy] = dict(self.ways[q])
+        self.link[q] = copy
+        while p != -1 and self.step(p, c) == q:
+            self._lead(p, c, copy)
+            p = self.link[p]
         return copy
 
     def _shorten(self, state: int, size: int) -> tuple[int, int]:
@@ -106,26 +138,27 @@ class ItemAutomaton:
 
     def scan(self, ids: list[int], hit: np.ndarray, at: int, found: set[str]) -> None:
         """Stream ids, which stand at `at` in the document; mark hit words and collect items."""
-        nxt, link, length, up, window = self.next, self.link, self.length, self.up, self.window
+        step, link, length, up, window = self.step, self.link, self.length, self.up, self.window
         state = size = 0
         for i, c in enumerate(ids):
-            while state and c not in nxt[state]:
+            to = step(state, c)
+            while to < 0 and state:
                 state = link[state]
                 size = length[state]
-            if c in nxt[state]:
-                state, size = nxt[state][c], size + 1
-            else:
+                to = step(state, c)
+            if to < 0:
                 state = size = 0
                 continue
+            state, size = to, size + 1
             if size >= window:
                 hit[at + i - size + 1 : at + i + 1] = True
-                found |= self.items[self._shorten(state, window)[0]]
+                found |= self.sets[self.items[self._shorten(state, window)[0]]]
             short = up[state]
             while short > 0:
                 for n, names in self.whole[short].items():
                     if n <= size:
                         hit[at + i - n + 1 : at + i + 1] = True
-                        found |= names
+                        found |= self.sets[names]
                 short = up[link[short]] if link[short] > 0 else -1
 
     def match(self, raw: bytes) -> tuple[int, np.ndarray, set[str]]:
@@ -143,17 +176,19 @@ class ItemAutomaton:
 
 
 def block_count(rows: DataFrame, block_words: int) -> int:
-    """Number of item blocks such that the driver can hold each: it follows the size of the benchmark."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return 1 + int(size // (6 * block_words))
+    """Number of item blocks of about so many words: it follows the size of the benchmark."""
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    return 1 + int((rows.agg(F.sum(words)).first()[0] or 0) // block_words)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: tuple[int, float] | None = None) -> DataFrame:
-    """docs with n_words, hits (word ranges) and items (sorted ids) for each row; the other columns stay.
+    """(doc, n_words, hits, items) of each row: its other columns as a struct, word ranges and sorted item ids.
 
-    With cut (longest, coverage) the last pass applies cut_hits() instead and returns the columns of docs.
+    With cut (longest, coverage) the last pass applies cut_hits() instead; the result has the columns of docs.
     """
-    spark, keep, at = docs.sparkSession, docs.columns, docs.columns.index("text")
+    spark, names = docs.sparkSession, docs.columns
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[c for c in names if c != "text"], F.lit(0).alias("text")).alias("doc"))
+    keep, at = docs.columns, 0
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     extra = "n_words long, hits array<struct<lo: int, hi: int>>, items array<string>"
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -201,7 +236,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_word
         result = result.mapInArrow(pass_over(auto, b > 0, last), given if last and cut else f"{given}, {extra}")
         if not last:
             result = materialize(result, "overlaps")
-    return result
+    return result.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in names)) if cut else result
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -209,7 +244,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     found = overlaps(docs.select("doc_id", "text"), items, window)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["hi"] - x["lo"])
     return found.select(
-        "doc_id",
+        "doc.doc_id",
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

@@ -14,7 +14,7 @@ own; sources of size 0 have target 0; no rows give no rows. Draws depend on ids
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +131,10 @@ def land(x: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return x.round()
 
 
+def positive(c) -> "F.Column":
+    return c.bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def by_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     """rows with the columns of per, one row per source; null is a source too."""
     per = per.withColumnRenamed("source", "of_source")
@@ -140,12 +144,14 @@ def by_source(rows: DataFrame, per: DataFrame) -> DataFrame:
 def settler(bucket: int):
     """The cube's work on one bucket; the only bucket of a source lands too."""
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "salt", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        x, size, seed = pdf["x"].to_numpy(float), pdf["size"].to_numpy(float), int(pdf["salt"].sum()) & 0x7FFFFFFF
-        parts = int(pdf["parts"].iat[0])
-        pdf["x"] = land(x, size, seed) if parts == 1 else hold_back(x, size, seed, min(-(-RESERVE // parts), bucket // 4))
-        return pdf[["doc_id", "source", "size", "x", "salt"]]
+    def settle(rows: pa.Table) -> pa.Table:
+        numbers = lambda c: rows[c].combine_chunks().to_numpy(zero_copy_only=False)
+        rows = rows.take(pa.array(np.lexsort((numbers("salt"), -numbers("size")))))
+        x, size, salt = numbers("x"), numbers("size").astype(float), numbers("salt")
+        seed, parts = int(np.bitwise_xor.reduce(salt)) & 0x7FFFFFFF, rows["parts"][0].as_py()
+        x = land(x, size, seed) if parts == 1 else hold_back(x, size, seed, min(-(-RESERVE // parts), bucket // 4))
+        rows = rows.set_column(rows.schema.get_field_index("x"), "x", pa.array(x, pa.float64()))
+        return rows.select(["doc_id", "source", "size", "x", "salt"])
 
     return settle
 
@@ -158,13 +164,13 @@ def cube(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
         counts = rows.groupBy("source").agg(F.count("*").alias("m"))
         most = counts.agg(F.max("m")).first()[0]
         dealt = by_source(rows, counts).withColumn("parts", F.ceil(F.col("m") / bucket).cast("long")).withColumn("bucket", F.pmod("salt", "parts")).drop("m")
-        out = materialize(dealt.groupBy("source", "bucket").applyInPandas(settler(bucket), schema), "cube")
+        out = materialize(dealt.groupBy("source", "bucket").applyInArrow(settler(bucket), schema), "cube")
         if most is None or most <= bucket:
             done.append(out)
             break
         done.append(out.filter("x = 0 OR x = 1"))
         # rows that the buckets left open are dealt anew
-        rows = out.filter("x > 0 AND x < 1").withColumn("salt", F.abs(F.xxhash64("salt")))
+        rows = out.filter("x > 0 AND x < 1").withColumn("salt", positive(F.xxhash64("salt")))
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
@@ -174,7 +180,10 @@ def cube(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row of docs."""
     count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    sizes = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), count.alias("size"), F.abs(F.xxhash64("doc_id", "text")).alias("salt")), "sizes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count.alias("size"), F.xxhash64("doc_id", "text").alias("salt"))
+    # repeated rows get numbers, so that they fall into different buckets like any others
+    rows = rows.groupBy("doc_id", "source", "size", "salt").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1), "n")))
+    sizes = materialize(rows.select("doc_id", "source", "size", positive(F.xxhash64("salt", "source", "k")).alias("salt")), "sizes")
     targets = materialize(source_targets(sizes, weights, share, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per = targets.select("source", rate.alias("rate"))

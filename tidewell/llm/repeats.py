@@ -155,14 +155,14 @@ class WindowPrints:
 
 
 class Repeats:
-    """One search; scratch tables are dropped by close()."""
+    """One search; scratch tables and files are dropped by close(), all but what per_text() returns."""
 
     def __init__(self, spark: SparkSession, length: int, k: int, units: type, hot_classes: int = HOT_CLASSES):
         self.spark, self.length, self.k, self.units, self.hot = spark, length, k, units, hot_classes
         self.window = length - k + 1
         limit_arrow_batches(spark)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.run, self.tables = uuid.uuid4().hex[:10], []
+        self.run, self.tables, self.paths = uuid.uuid4().hex[:10], [], []
 
     def save(self, df: DataFrame, name: str, key: str) -> str:
         """Store df, which is grouped or joined by key already, bucketed by it: later joins on key need no shuffle."""
@@ -178,6 +178,8 @@ class Repeats:
     def close(self) -> None:
         for table in self.tables:
             self.drop(table)
+        for path in self.paths:
+            delete_path(self.spark, path)
 
     def texts(self, docs: DataFrame, least_bytes: int) -> DataFrame:
         """Distinct texts (th, text, n_copies); shorter texts than any window are left out."""
@@ -218,6 +220,7 @@ class Repeats:
 
         found = texts.select("th", "text").mapInArrow(extract, "th binary, pos int, key long" + (", head binary" if heads else ""))
         path = work_path(self.spark, "anchors")
+        self.paths.append(path)
         found.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(found.schema).parquet(path), path
 
@@ -265,7 +268,7 @@ class Repeats:
     def classes(self, texts: DataFrame, hits: DataFrame) -> DataFrame:
         """(key, cls, th, pos, left, size) of hits(th, pos, key), whose keys are repeated."""
         out = self.contexts(self.joined(texts, hits, "key"), {"key": pa.int64()}, True)
-        return materialize(out, "classes")
+        return materialize(out, "classes", self.paths)
 
     def spans(self, texts: DataFrame, classes: DataFrame, matcher: Callable) -> DataFrame:
         """(th, lo, hi): unit ranges covered by repeated windows; they may overlap.
@@ -274,7 +277,7 @@ class Repeats:
         """
         length, units = self.length, self.units
         sizes = classes.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("th", "pos")).alias("rep"))
-        sizes = materialize(sizes.select("key", "cls", "n", "rep.th", "rep.pos"), "sizes")
+        sizes = materialize(sizes.select("key", "cls", "n", "rep.th", "rep.pos"), "sizes", self.paths)
         lo = F.col("pos") - F.col("left")
         twice = sizes.filter("n > 1").select("key", "cls")
         whole = classes.join(twice, ["key", "cls"], "left_semi").select("th", lo.alias("lo"), (lo + F.col("size")).alias("hi"))
@@ -282,7 +285,7 @@ class Repeats:
         mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 AND fewest = 1")
         reps = sizes.join(mixed.select("key", "kinds"), "key").withColumn("n", F.least("n", F.lit(2)))
         listed = self.joined(texts, reps, "key", "kinds", "n")
-        cuts = materialize(self.contexts(listed, {"key": pa.int64(), "kinds": pa.int64(), "n": pa.int64()}, False), "contexts")
+        cuts = materialize(self.contexts(listed, {"key": pa.int64(), "kinds": pa.int64(), "n": pa.int64()}, False), "contexts", self.paths)
 
         def match(table: pa.Table) -> pa.RecordBatch:
             pos = table["pos"].to_numpy().astype(np.int64)

@@ -150,7 +150,7 @@ def factors(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot_class
         found, path = search.anchor_table(texts)
         oid = F.xxhash64("th", "pos")
         index = found.groupBy("key").agg(F.min(oid).alias("first"), F.max(oid).alias("last"))
-        keys = materialize(index.filter("first <> last").select("key"), "reference")
+        keys = materialize(index.filter("first <> last").select("key"), "reference", search.paths)
         classes = search.classes(texts, found.join(keys, "key", "left_semi"))
         search.forget(path)
         digest = lambda raw, lo, hi: hashlib.sha256(kept_words(raw, lo, hi)).hexdigest()

@@ -1,7 +1,8 @@
 """Operator 9: SimHash near-duplicates through a Gray-order hierarchical index.
 
 Fingerprints of 64 bits are cut into six blocks. Two fingerprints at `distance` <= 4 agree in two whole blocks at
-least, so each of the 15 pairs of blocks gives a table keyed by 20 to 22 bits. Within a key the fingerprints are sorted
+least, so each of the 15 pairs of blocks gives a table keyed by 20 to 22 bits; more fingerprints than such keys can
+hold apart are cut into seven or eight blocks (35 tables of 27 bits, 70 of 32). Within a key the fingerprints are sorted
 by Gray rank, so that neighbours share most bits; runs of them form nodes that keep the bit pattern all members
 share and its mask, nodes form upper nodes, and a join of the tree with itself drops a pair of nodes once the
 differences of the shared patterns, accumulated on the way down, exceed the distance. Keys with more than `cell`
@@ -26,7 +27,7 @@ from tidewell.llm.common import connected_components, limit_arrow_batches, mater
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 CELL, FANOUT = 1000, 8
-BLOCKS = (11, 11, 11, 11, 10, 10)
+KEY_LOAD = 128  # fingerprints to a key, on average, from which longer keys are taken
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -62,13 +63,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def block_masks(distance: int = DISTANCE) -> list[int]:
-    """Signed masks of every choice of len(BLOCKS) - distance blocks."""
+def block_count(n_codes: int, distance: int = DISTANCE) -> int:
+    """Blocks to cut into so that keys stay apart: distance + 2 to distance + 4."""
+    for blocks in (distance + 2, distance + 3):
+        if n_codes >> (64 // blocks * (blocks - distance)) < KEY_LOAD:
+            return blocks
+    return distance + 4
+
+
+def block_masks(distance: int = DISTANCE, blocks: int = DISTANCE + 2) -> list[int]:
+    """Signed masks of every choice of blocks - distance blocks."""
     at, masks = 0, []
-    for size in BLOCKS:
+    for k in range(blocks):
+        size = (64 - at) // (blocks - k)
         masks.append(((1 << size) - 1) << at)
         at += size
-    chosen = [sum(c) for c in combinations(masks, len(BLOCKS) - distance)]
+    chosen = [sum(c) for c in combinations(masks, blocks - distance)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in chosen]
 
 
@@ -124,9 +134,9 @@ def forest(codes: np.ndarray, distance: int) -> np.ndarray:
     return label
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL, blocks: int | None = None) -> DataFrame:
     """(a, b): edges between fps(fp), distinct longs, whose components are those of all links."""
-    masks = block_masks(distance)
+    masks = block_masks(distance, blocks or block_count(fps.count(), distance))
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
     full = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     rows = keyed.join(full, ["t", "key"])  # a key with one code has no pair

@@ -45,7 +45,7 @@ class LevelFamily:
         for other_size, other in self.levels:
             if other_size != size:  # an equal level is scanned by the merge below
                 hits = search.spark.table(table).join(search.spark.table(other).select("head"), "head", "left_semi")
-                self.found.append(materialize(hits.select("key"), "hits"))
+                self.found.append(materialize(hits.select("key"), "hits", search.paths))
         while self.levels and self.levels[-1][0] == size:
             other = self.levels.pop()[1]
             table, size = self.merge(other, table), 2 * size
@@ -67,7 +67,7 @@ class LevelFamily:
         out = keys[0]
         for more in keys[1:]:
             out = out.union(more)
-        keys = materialize(out.distinct(), "repeated")
+        keys = materialize(out.distinct(), "repeated", self.search.paths)
         for _, table in self.levels:
             self.search.drop(table)
         return keys

@@ -1,21 +1,29 @@
 """Operator 3: toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
 The kernel of two strings sums over common subsequences of four letters, where one character may stand between any
-two, each weighted by DECAY to the power of its span and scaled by the strings' sizes; so gapped, spaced and padded insults still share most of their
-subsequences. Landmarks are words that tell toxic sentences from clean ones, and clean words; the Nystroem map of a
-string is its kernel with them. A linear SVM on that map folds into one weight per subsequence, so a window's
-decision is a sum of table entries. A document scores as its worst window of WINDOW characters, calibrated to 0..1.
-
-Training: a bounded sample of labelled documents (SAMPLE per class, picked by a hash of the id); first on words, then
-twice more on the worst window of each sampled document (the toxic passage is latent). Every text is scored whole.
-
-Cases: null and empty texts have no window and get the score of none; texts shorter than a window are one window;
-digits and signs that stand for letters count as those; letters lose accents, other scripts count as gaps; repeated
-label rows count once (toxic if any says so); without labels of both classes every score is 0; no rows give none.
+two, each weighted by DECAY to the power of its span and scaled by the strings' sizes; so gapped, spaced and padded
+insults still share most of their subsequences. A string's Nystroem map is its whitened kernel with LANDMARKS passages
+of labelled sentences. A linear SVM on that map folds into one weight per subsequence, so the decision on a passage of
+WINDOW characters is a sum of table entries. A document scores as its worst passage, calibrated to 0..1.
+
+Training takes a bounded sample of labelled documents (SAMPLE a class, one row per id, picked by a hash of the id). Only
+documents are labelled, so the toxic passages of their sentences are latent: the witness function of a plain spectrum
+kernel (by how many standard errors more toxic documents hold a run of GRAMS letters than clean ones) names the first
+worst passages of every sampled document; landmarks are chosen among those by pivoted Cholesky steps; then the SVM is
+fitted on the worst passages of toxic and clean documents and names them again, ROUNDS times. The clean passages found
+stay in the set, so it grows by those that look toxic. One document in eight of the sample calibrates the score only.
+Every text is scored whole.
+
+Cases: null and empty texts have no passage and get the score of none; texts shorter than a passage are one; digits and
+signs that stand for letters count as those; Latin letters lose case and marks, letters of other scripts fall into 26
+classes by a hash of the code point, anything else is a gap; repeated label rows count once (toxic if any says so); of
+repeated rows of one id one is learnt from; without labels of both classes nothing can be learnt and every score is 0;
+one label of each class is enough; no rows give none.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,25 +36,29 @@ from tidewell.llm.common import limit_arrow_batches, small_batches
 GAPS = tuple((a, a + b, a + b + c) for a in (1, 2) for b in (1, 2) for c in (1, 2))  # offsets of the later letters
 DECAY, SPAN, WINDOW, CLASSES = 0.9, 7, 16, 28
 STARTS = WINDOW - 3
-CLEAN_WEIGHT = 8.0
 SMOOTH = 2.0  # added to the squared size of a string before it scales the features
 EDGE = 27  # the class of white space and of both ends of a text: words that begin or end alike are alike
-SAMPLE, LANDMARKS, WORDS, RIDGE, HELD_OUT_FOLDS = 4000, 80, 6000, 0.3, 5
-
-
-def letter_classes() -> np.ndarray:
-    """Class of each Latin-1 character: 1 to 26 for letters without case or accent, 27 for white space, 0 for others."""
-    import unicodedata
-
-    table = np.zeros(256, np.int32)
-    alike = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "ß": "s", "ø": "o", "æ": "a"}
-    for i in range(256):
+SAMPLE, LANDMARKS, ROUNDS, PASSAGES, TOXIC_PASSAGES, RIDGE, HELD_OUT_FOLDS = 4000, 500, 6, 8, 4, 0.05, 5
+GRAMS, BUCKETS, REACH = (6, 7), 22, 10  # the witness: letters of a run, bits of its hash, starts in a passage
+LEAST_EVIDENCE, LEAST_SHARE = 5.0, 0.005  # standard errors; of the toxic documents, 3 documents at least
+PIVOTS = (1500, 1000)  # passages of each class that landmarks are chosen from
+CLEAN_WEIGHT = 4.0  # of a clean document in the calibration
+
+
+def letter_classes(size: int = 0x10000) -> np.ndarray:
+    """Class of each code point: 1 to 26 for letters without case or marks, 27 for white space, 0 for others."""
+    table = np.zeros(size, np.int32)
+    #: Characters that stand for letters.
+    alike = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "ß": "s", "ø": "o", "æ": "a", "ı": "i", "ł": "l", "đ": "d", "œ": "o"}
+    for i in range(size):
         c = chr(i).lower()
         c = alike.get(c) or unicodedata.normalize("NFD", c)[0]
         if "a" <= c <= "z":
             table[i] = ord(c) - 96
         elif c.isspace():
             table[i] = EDGE
+        elif c.isalpha():
+            table[i] = 1 + ord(c) * 2654435761 % (1 << 32) % 26
     return table
 
 
@@ -55,55 +67,66 @@ WEIGHTS = [DECAY ** (last + 1) for _, _, last in GAPS]
 
 
 def codes(text: str) -> np.ndarray:
-    return CLASS_OF[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    out = CLASS_OF[np.minimum(points, len(CLASS_OF) - 1)]
+    high = np.flatnonzero(points >= len(CLASS_OF))
+    out[high] = [1 + p * 2654435761 % (1 << 32) % 26 if chr(p).isalpha() else 0 for p in points[high].tolist()]
+    return out
 
 
-def subsequences(c: np.ndarray) -> Iterator[np.ndarray]:
-    """For each gap pattern, the table index of the subsequence at every start (0: not four letters)."""
-    n = len(c) - SPAN + 1
+def subsequences(c: np.ndarray, gaps=GAPS) -> Iterator[np.ndarray]:
+    """For each gap pattern, the table index of the subsequence at every start along the last axis (0: not four letters)."""
+    n = c.shape[-1] - SPAN + 1
     dead = c == 0
     powers = [c * CLASSES**k for k in (3, 2, 1, 0)]
-    for offsets in GAPS:
-        at, off = powers[0][:n].copy(), dead[:n].copy()
+    for offsets in gaps:
+        at, off = powers[0][..., :n].copy(), dead[..., :n].copy()
         for k, o in enumerate(offsets, 1):
-            at += powers[k][o : o + n]
-            off |= dead[o : o + n]
+            at += powers[k][..., o : o + n]
+            off |= dead[..., o : o + n]
         at[off] = 0
         yield at
 
 
+def occurrences(strings: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Subsequences [string, start] of each gap pattern of passages, and the passages' sizes."""
+    c = np.zeros((len(strings), WINDOW + SPAN), np.int32)
+    for row, s in zip(c, strings):
+        own = codes(s)[:WINDOW]
+        row[: len(own)] = own
+    at = list(subsequences(c))
+    size = sum(w * w * np.count_nonzero(a, axis=1) for a, w in zip(at, WEIGHTS))
+    return at, np.sqrt(size + SMOOTH)
+
+
 class Nystroem:
-    """Landmark map; the features of strings are whitened kernels with the landmarks."""
+    """Landmark map: whitened kernels with the landmarks."""
 
     def __init__(self, landmarks: list[str]):
-        seen = np.unique(np.concatenate([i for s in landmarks for i in self.occurrences(s)]))
-        self.known = seen[seen > 0]  # subsequences that some landmark has
+        at, size = occurrences(landmarks)
+        seen = np.unique(np.concatenate([a.ravel() for a in at]))
+        self.known = seen[seen > 0]  # subsequences that some landmark has; others never meet
         self.column = np.zeros(CLASSES**4, np.int32)
         self.column[self.known] = np.arange(1, len(self.known) + 1)
-        phi = self.embed(landmarks)
-        size = np.linalg.norm(phi, axis=1)
-        self.phi = phi[size > 0] / size[size > 0, None]
-        value, vector = np.linalg.eigh(self.phi @ self.phi.T + 1e-3 * np.eye(len(self.phi)))
+        phi = np.zeros((len(self.known) + 1, len(landmarks)), np.float32)
+        for a, w in zip(at, WEIGHTS):
+            np.add.at(phi, (self.column[a], np.arange(len(landmarks))[:, None]), w)
+        phi[0] = 0
+        self.phi = phi / size
+        gram = self.phi.T.astype(float) @ self.phi
+        value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(landmarks)))
         self.root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
 
-    @staticmethod
-    def occurrences(s: str) -> list[np.ndarray]:
-        return list(subsequences(np.append(codes(s[:WINDOW]), np.zeros(SPAN, np.int32))))
-
-    def embed(self, strings: list[str]) -> np.ndarray:
-        """Scaled features of short strings, limited to subsequences that landmarks have: others never meet."""
-        out = np.zeros((len(strings), len(self.known) + 1), np.float32)
-        for row, s in zip(out, strings):
-            size = SMOOTH
-            for at, weight in zip(self.occurrences(s), WEIGHTS):
-                np.add.at(row, self.column[at], weight)
-                size += weight * weight * np.count_nonzero(at)
-            row /= np.sqrt(size)
-        return out[:, 1:]
-
     def kernel(self, strings: list[str]) -> np.ndarray:
-        parts = [self.embed(strings[i : i + 1000]) @ self.phi.T for i in range(0, len(strings), 1000)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.root)))
+        out = np.zeros((len(strings), self.phi.shape[1]))
+        for first in range(0, len(strings), 1000):
+            at, size = occurrences(strings[first : first + 1000])
+            part = out[first : first + 1000]
+            for a, w in zip(at, WEIGHTS):
+                for column in self.column[a].T:
+                    part += w * self.phi[column]
+            part /= size[:, None]
+        return out
 
     def map(self, strings: list[str]) -> np.ndarray:
         return self.kernel(strings) @ self.root
@@ -111,7 +134,7 @@ class Nystroem:
     def table(self, w: np.ndarray) -> np.ndarray:
         """The linear model on the map as one weight per subsequence."""
         g = np.zeros(CLASSES**4, np.float32)
-        g[self.known] = (self.root @ w) @ self.phi
+        g[self.known] = self.phi[1:] @ (self.root @ w)
         return g
 
 
@@ -132,9 +155,9 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE,
     return w[:-1], float(w[-1])
 
 
-def worst(texts: list[str | None], table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
-    """The highest decision of any window of each text, and where it starts (-1: no window)."""
-    best, where = np.full(len(texts), bias), np.full(len(texts), -1)
+def worst(texts: list[str | None], table: np.ndarray, bias: float, most: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The highest decisions on passages of each text that do not overlap, `most` at most, and where they start."""
+    best, where = [np.zeros(0)] * len(texts), [np.zeros(0, int)] * len(texts)
     at = 0
     while at < len(texts):
         parts, ends, size, end = [], [], 0, at
@@ -155,9 +178,17 @@ def worst(texts: list[str | None], table: np.ndarray, bias: float) -> tuple[np.n
         window = (total[reach] - total[:size]) / np.sqrt(norm[reach] - norm[:size] + SMOOTH)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         for k, (a, b) in enumerate(zip(starts.tolist(), ends)):
+            own = window[a : b - WINDOW - 1]
             if b - a > WINDOW + 2:
-                i = int(np.argmax(window[a : b - WINDOW - 1]))
-                best[at + k], where[at + k] = window[a + i] + bias, max(0, i - 1)
+                found = [int(np.argmax(own))]
+                while len(found) < most and len(own) > WINDOW:
+                    own = own.copy()
+                    own[max(0, found[-1] - WINDOW + 1) : found[-1] + WINDOW] = -np.inf
+                    i = int(np.argmax(own))
+                    if own[i] == -np.inf:
+                        break
+                    found.append(i)
+                best[at + k], where[at + k] = window[a + np.array(found)] + bias, np.maximum(np.array(found) - 1, 0)
         at = end
     return best, where
 
@@ -169,23 +200,23 @@ class Model:
         self.table, self.bias, self.slope, self.shift = table, bias, slope, shift
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = self.slope * worst(texts, self.table, self.bias)[0] + self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        f = np.array([b[0] if len(b) else self.bias for b in worst(texts, self.table, self.bias)[0]])
+        return 1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -50, 50)))
 
 
 def platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic fit, by Newton steps with a small ridge; clean texts weigh CLEAN_WEIGHT times as much."""
     x = np.stack([f, np.ones_like(f)], axis=1)
     weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), CLEAN_WEIGHT / max(1, (y <= 0).sum())) * len(y) / (1 + CLEAN_WEIGHT)
-    beta = np.zeros(2)
+    beta = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * beta)
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * (beta - [1.0, 0.0]))
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return float(max(beta[0], 0.1)), float(beta[1])
 
 
 def held_out(doc_id) -> "F.Column":
@@ -193,108 +224,182 @@ def held_out(doc_id) -> "F.Column":
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame | None:
-    """(text, toxic) of about `sample` labelled documents a class, none of them held out; None if a class is missing."""
+    """(text, toxic, checks) of about `sample` labelled documents a class, one row an id, none of them held out; None if
+    a class is missing. One in eight, of classes with ten or more, checks: it takes part in the calibration only."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return None
     share = F.when(F.col("toxic") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    few = F.when(F.col("toxic") == 1, F.lit(counts[1] < 10)).otherwise(F.lit(counts[0] < 10))
+    checks = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(8)) == 0) & ~few
     # about 2 * sample ids: bounded by the parameter, whatever the input
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
-
-
-def telling_words(rows: DataFrame, most: int) -> tuple[list[str], list[str]]:
-    """Words that explain the toxic documents, best first, and clean words; both lists are bounded.
-
-    Words far more frequent in toxic documents are candidates; a greedy cover keeps one only if it occurs in toxic
-    documents that no better word explains, so words that merely stand beside an insult drop out.
-    """
-    rows = rows.withColumn("row", F.xxhash64("text"))
-    words = rows.select("toxic", "row", F.explode(F.array_distinct(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+"))).alias("w")).filter(F.length("w").between(3, 40))
-    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count_distinct("row").alias("n")).collect()}
-    df = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("c") + 0.5) / (n.get(0, 0) + 1))
-    df = df.select("w", "t", "c", odds.alias("o")).cache()
-    bad = df.filter("t >= 3 AND o > 1.5").orderBy(F.desc(F.col("o") * F.log(1.0 + F.col("t"))), "w").limit(most // 10)
-    clean = [r.w for r in df.filter("c >= 3 AND o < 0.5").orderBy(F.desc("c"), "w").limit(most // 4).collect()]
-    clean += [r.w for r in df.filter("t = 0").orderBy(F.xxhash64("w"), "w").limit(most).collect()]
-    odds_of = {r.w: r.o for r in bad.collect()}
-    at = words.filter("toxic = 1").join(F.broadcast(bad.select("w")), "w").select("w", "row").distinct().collect()
-    df.unpersist()
-    where: dict[str, set[int]] = {}
-    for r in at:
-        where.setdefault(r.w, set()).add(r.row)
-    # what many toxic documents share and hardly a clean one has needs no such proof
-    picked = sorted((w for w, d in where.items() if odds_of[w] > 3 and len(d) >= 0.05 * n.get(1, 0)), key=lambda w: (-len(where[w]), w))
-    covered = set().union(*(where.pop(w) for w in picked))
-    while where:
-        gain = {w: len(d - covered) for w, d in where.items()}
-        best = max(gain, key=lambda w: (gain[w] * odds_of[w], w))
-        if gain[best] < 2:
-            break
-        picked.append(best)
-        covered |= where.pop(best)
-    return picked, clean
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic", checks.alias("checks"))
+
+
+def grams(c: np.ndarray) -> list[np.ndarray]:
+    """Buckets of the runs of each of GRAMS letters at every start (0: not all letters)."""
+    out = []
+    for n in GRAMS:
+        size = max(0, len(c) - n + 1)
+        h, live = np.zeros(size, np.uint64), np.ones(size, bool)
+        for k in range(n):
+            h = h * np.uint64(CLASSES + 1) + c[k : k + size].astype(np.uint64)
+            live &= c[k : k + size] > 0
+        h = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+        h[~live] = 0
+        out.append(h)
+    return out
+
+
+def edged(text: str | None) -> np.ndarray:
+    return np.concatenate([[EDGE], codes(text or ""), [EDGE]])
+
+
+def witness(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that stand out in toxic documents, and by how many standard errors."""
+    spark = rows.sparkSession
+    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = max(1, n.get(0, 0)), max(1, n.get(1, 0))
+    least = max(min(3, n1), int(LEAST_SHARE * n1))
+
+    def counts(batches: Iterator[pa.RecordBatch], kept: np.ndarray | None = None) -> np.ndarray:
+        seen = np.zeros((2, 1 << BUCKETS), np.int32)
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                i = np.unique(np.concatenate(grams(edged(text))))
+                seen[toxic, i if kept is None else i[kept[i]]] += 1
+        seen[:, 0] = 0
+        return seen
+
+    toxic = rows.filter("toxic = 1").select("text", "toxic")
+    share = -(-least // max(1, toxic.rdd.getNumPartitions()))  # what has `least` documents has so many in some task
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts(batches)[1] >= share).astype(np.int32))], ["i"])
+
+    kept = np.zeros(1 << BUCKETS, bool)
+    kept[toxic.mapInArrow(frequent, "i int").distinct().toPandas()["i"].to_numpy(int)] = True
+    shared = spark.sparkContext.broadcast(kept)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = counts(batches, shared.value)
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at].astype(np.int64)), pa.array(seen[1, at].astype(np.int64))], ["i", "c", "t"])
+
+    found = rows.select("text", "toxic").mapInArrow(count, "i int, c long, t long").groupBy("i").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).filter(F.col("t") >= least)
+    pooled = (F.col("c") + F.col("t") + 1) / (n0 + n1 + 2)
+    z = ((F.col("t") + 0.5) / (n1 + 1) - (F.col("c") + 0.5) / (n0 + 1)) / F.sqrt(pooled * F.greatest(1 - pooled, F.lit(1e-3)) * (1 / n0 + 1 / n1))
+    found = found.select("i", z.alias("z"))
+    best = found.filter(F.col("z") >= LEAST_EVIDENCE).orderBy(F.desc("z"), "i").limit(50_000).toPandas()
+    if best.empty:  # few labels: nothing stands out by itself, any evidence counts
+        best = found.filter("z > 0").orderBy(F.desc("z"), "i").limit(2_000).toPandas()
+    return best["i"].to_numpy(int), best["z"].to_numpy(float)
+
+
+def first_passages(texts: list[str | None], evidence: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What worst() returns, by the witness."""
+    best, where = [], []
+    for text in texts:
+        c = edged(text)
+        value = np.zeros(len(c))
+        for i in grams(c):
+            value[: len(i)] += evidence[i]
+        total = np.concatenate([[0.0], np.cumsum(value)])
+        own = total[np.minimum(np.arange(len(c)) + REACH, len(c))] - total[:-1]
+        found, f = [], []
+        while len(found) < most and own.max() > -np.inf:
+            i = int(np.argmax(own))
+            found.append(max(0, i - 1))
+            f.append(own[i])
+            own[max(0, i - WINDOW + 1) : i + WINDOW] = -np.inf
+        best.append(np.array(f))
+        where.append(np.array(found))
+    return best, where
 
 
-def disguises(word: str) -> list[str]:
-    """Ways to hide a word: a sign between all letters, and a sign or a doubled letter inside."""
-    middle = len(word) // 2
-    spread = [sign.join(word)[:WINDOW] for sign in ".- *"] if len(word) <= 9 else []
-    return spread + [f" {word[:middle]}{x}{word[middle:]} " for x in (".", "*", "-", word[middle : middle + 1])]
+def pick_landmarks(strings: list[str], gain: np.ndarray, most: int) -> list[str]:
+    """Strings that are worth much and unlike those picked before: pivoted Cholesky steps, pivots by residual times gain."""
+    at, size = occurrences(strings)
+    phi = np.zeros((len(strings), 4096), np.float32)  # subsequences hashed with signs: near enough to choose by
+    for a, w in zip(at, WEIGHTS):
+        h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        np.add.at(phi, (np.arange(len(strings))[:, None], (h >> np.uint64(52)).astype(int)), np.where(a > 0, w * (1 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(int)), 0))
+    phi /= size[:, None]
+    gram = phi @ phi.T
+    left = np.diag(gram).astype(float)
+    rows, picked = np.zeros((most, len(strings))), []
+    for k in range(min(most, len(strings))):
+        i = int(np.argmax(left * gain))
+        if left[i] < 1e-3:
+            break
+        rows[k] = (gram[i] - rows[:k].T @ rows[:k, i]) / np.sqrt(left[i])
+        left = np.maximum(left - rows[k] ** 2, 0)
+        left[i] = 0
+        picked.append(i)
+    return [strings[i] for i in picked]
 
 
-def pick_landmarks(bad: list[str], clean: list[str], most: int) -> list[str]:
-    """Toxic words unlike those picked before, then the clean words that are nearest to them."""
-    space = Nystroem(bad)
-    near = space.phi @ space.phi.T
-    picked: list[int] = []
-    for i in range(len(near)):
-        if len(picked) < 2 * most // 3 and (not picked or near[i, picked].max() < 0.9):
-            picked.append(i)
-    chosen = [bad[i] for i in picked]
-    closest = np.argsort(-space.kernel(clean)[:, picked].max(axis=1), kind="stable")
-    return chosen + [clean[i] for i in closest[: most - len(chosen)]]
+def some(strings: list[str], most: int) -> list[str]:
+    """At most so many, spread evenly."""
+    return [strings[i] for i in np.unique(np.linspace(0, len(strings) - 1, most).round().astype(int))] if len(strings) > most else strings
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, rounds: int = 3) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | None:
     limit_arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
     rows = sampled(docs, labels, sample)
     if rows is None:
         return None
-    rows = rows.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism)).cache()
+    rows = rows.repartition(max(8, spark.sparkContext.defaultParallelism)).cache()
     try:
-        bad, clean = ([f" {w} " for w in found] for found in telling_words(rows, WORDS))
-        disguised = [v for w in bad for v in disguises(w.strip())]
-        if not bad or not clean:
-            return None
-        space = Nystroem(pick_landmarks(bad, clean, landmarks))
-        toxic = bad + disguised
-        strings, y = toxic + clean, np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-        mined: set[tuple[str, float]] = set()
-        for i in range(rounds + 1):
-            weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-            w, bias = svm(space.map(strings), y, weight)
-            table = space.table(w)
-            shared = docs.sparkSession.sparkContext.broadcast((table, bias))
 
-            def passages(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def passages(find, *model) -> list:
+            """(worst passages, decisions, toxic, checks) of each sampled document, by find(texts, *model, PASSAGES)."""
+            shared = spark.sparkContext.broadcast(model)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in (part for whole in batches for part in small_batches(whole)):
                     texts = batch.column(0).to_pylist()
-                    best, where = worst(texts, *shared.value)
-                    cut = [(t or "")[max(0, a) : max(0, a) + WINDOW] for t, a in zip(texts, where.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(cut), pa.array(best), batch.column(1)], ["s", "f", "toxic"])
-
-            found = rows.mapInArrow(passages, "s string, f double, toxic int").collect()
-            if i < rounds:  # the latent passage of each sampled document; those found before stay
-                mined |= {(r.s, 1.0 if r.toxic else -1.0) for r in found if r.s.strip() and (r.toxic == 0 or r.f > 0)}
-                kept = sorted(mined)
-                strings = toxic + clean + [s for s, _ in kept]
-                y = np.array([1.0] * len(toxic) + [-1.0] * len(clean) + [v for _, v in kept])
-        f, t = np.array([r.f for r in found]), np.array([float(r.toxic) for r in found])
-        return Model(table, bias, *platt(f, t))
+                    best, where = find(texts, *shared.value, PASSAGES)
+                    cut = [[(t or "")[a : a + WINDOW] for a in w.tolist()] for t, w in zip(texts, where)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cut, pa.list_(pa.string())), pa.array([b.tolist() for b in best], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["s", "f", "toxic", "checks"])
+
+            found = rows.mapInArrow(run, "s array<string>, f array<double>, toxic int, checks boolean").collect()
+            return sorted(found, key=lambda r: (r.toxic, r.checks, r.s, r.f))
+
+        evidence = np.zeros(1 << BUCKETS, np.float32)
+        at, z = witness(rows.filter("NOT checks"))
+        evidence[at] = z
+        table, bias, clean = np.zeros(CLASSES**4, np.float32), 0.0, {}
+        for i in range(rounds):
+            found = passages(worst, table, bias) if i else passages(first_passages, evidence)
+            toxic = {}
+            for r in found:
+                if not r.checks and r.s:
+                    if r.toxic:
+                        least = LEAST_EVIDENCE if i == 0 else 0
+                        toxic.update({s: f for k, (s, f) in enumerate(zip(r.s[:TOXIC_PASSAGES], r.f)) if k == 0 or f > least})
+                    else:
+                        clean.update({s: f for k, (s, f) in enumerate(zip(r.s, r.f)) if f > -1 and (i or k < 3)})
+            clean = {s: f for s, f in clean.items() if s not in toxic}
+            if not toxic or not clean:
+                break
+            if i < 2:
+                nearest = sorted(clean, key=lambda s: (-clean[s], s))[: PIVOTS[1]]
+                pivots = some(sorted(toxic), PIVOTS[0])
+                space = Nystroem(pick_landmarks([*pivots, *nearest], np.repeat([1.0, 0.3], [len(pivots), len(nearest)]), landmarks))
+            strings, y = [*toxic, *clean], np.array([1.0] * len(toxic) + [-1.0] * len(clean))
+            w, bias = svm(space.map(strings), y, np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(clean))))
+            table = space.table(w)
+        final = [r for r in passages(worst, table, bias) if r.f]
+        checks = [r for r in final if r.checks]
+        if {r.toxic for r in checks} != {0, 1}:
+            checks = final
+        return Model(table, bias, *platt(np.array([r.f[0] for r in checks]), np.array([float(r.toxic) for r in checks])))
     finally:
         rows.unpersist()
 
