@@ -40,7 +40,7 @@ SMOOTH = 2.0  # added to the squared size of a string before it scales the featu
 EDGE = 27  # the class of white space and of both ends of a text: words that begin or end alike are alike
 SAMPLE, LANDMARKS, ROUNDS, PASSAGES, TOXIC_PASSAGES, RIDGE, HELD_OUT_FOLDS = 4000, 500, 6, 8, 4, 0.05, 5
 GRAMS, BUCKETS, REACH = (6, 7), 22, 10  # the witness: letters of a run, bits of its hash, starts in a passage
-LEAST_EVIDENCE, LEAST_SHARE = 5.0, 0.005  # standard errors; of the toxic documents, 3 documents at least
+LEAST_EVIDENCE, LEAST_SHARE = 5.0, 0.01  # standard errors; of the toxic documents, 3 documents at least
 PIVOTS = (1500, 1000)  # passages of each class that landmarks are chosen from
 CLEAN_WEIGHT = 4.0  # of a clean document in the calibration
 
@@ -112,20 +112,21 @@ class Nystroem:
         for a, w in zip(at, WEIGHTS):
             np.add.at(phi, (self.column[a], np.arange(len(landmarks))[:, None]), w)
         phi[0] = 0
-        self.phi = phi / size
-        gram = self.phi.T.astype(float) @ self.phi
+        phi /= size.astype(np.float32)
+        self.phi = phi
+        gram = (phi.T @ phi).astype(float)
         value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(landmarks)))
-        self.root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
+        self.root = (vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T).astype(np.float32)
 
     def kernel(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros((len(strings), self.phi.shape[1]))
+        out = np.zeros((len(strings), self.phi.shape[1]), np.float32)
         for first in range(0, len(strings), 1000):
             at, size = occurrences(strings[first : first + 1000])
             part = out[first : first + 1000]
             for a, w in zip(at, WEIGHTS):
                 for column in self.column[a].T:
-                    part += w * self.phi[column]
-            part /= size[:, None]
+                    part += np.float32(w) * self.phi[column]
+            part /= size[:, None].astype(np.float32)
         return out
 
     def map(self, strings: list[str]) -> np.ndarray:
@@ -140,15 +141,20 @@ class Nystroem:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by Newton steps on the primal; y is 1 or -1. The bias is the last weight, unpenalised."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = ridge * np.eye(x.shape[1])
+    penalty = ridge * np.eye(x.shape[1] + 1)
     penalty[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
     active = np.ones(len(x), bool)
     for _ in range(rounds):
-        xa = x[active] * weight[active, None]
-        w = np.linalg.solve(penalty + xa.T @ x[active], xa.T @ y[active])
-        now = y * (x @ w) < 1
+        left, right = penalty.copy(), np.zeros(len(penalty))
+        rows = np.flatnonzero(active)
+        for at in range(0, len(rows), 2000):  # slices bound the memory
+            own = rows[at : at + 2000]
+            part = np.hstack([x[own], np.ones((len(own), 1))])
+            scaled = part * weight[own, None]
+            left += scaled.T @ part
+            right += scaled.T @ y[own]
+        w = np.linalg.solve(left, right)
+        now = y * (x @ w[:-1] + w[-1]) < 1
         if (now == active).all():
             break
         active = now
@@ -279,14 +285,16 @@ def witness(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = -(-least // max(1, toxic.rdd.getNumPartitions()))  # what has `least` documents has so many in some task
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts(batches)[1] >= share).astype(np.int32))], ["i"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(counts(batches)[1] >= share).tobytes()])], ["bits"])
 
-    kept = np.zeros(1 << BUCKETS, bool)
-    kept[toxic.mapInArrow(frequent, "i int").distinct().toPandas()["i"].to_numpy(int)] = True
-    shared = spark.sparkContext.broadcast(kept)
+    # one bit a bucket from each task
+    bits = np.zeros(1 << BUCKETS >> 3, np.uint8)
+    for r in toxic.mapInArrow(frequent, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = counts(batches, shared.value)
+        seen = counts(batches, np.unpackbits(shared.value).astype(bool))
         at = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at].astype(np.int64)), pa.array(seen[1, at].astype(np.int64))], ["i", "c", "t"])
 
