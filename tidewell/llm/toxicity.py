@@ -38,10 +38,10 @@ DECAY, SPAN, WINDOW, CLASSES = 0.9, 7, 16, 28
 STARTS = WINDOW - 3
 SMOOTH = 2.0  # added to the squared size of a string before it scales the features
 EDGE = 27  # the class of white space and of both ends of a text: words that begin or end alike are alike
-SAMPLE, LANDMARKS, ROUNDS, PASSAGES, TOXIC_PASSAGES, RIDGE, HELD_OUT_FOLDS = 4000, 500, 6, 8, 4, 0.05, 5
+SAMPLE, LANDMARKS, ROUNDS, PASSAGES, TOXIC_PASSAGES, RIDGE, HELD_OUT_FOLDS = 4000, 300, 6, 8, 4, 0.05, 5
 GRAMS, BUCKETS, REACH = (6, 7), 22, 10  # the witness: letters of a run, bits of its hash, starts in a passage
 LEAST_EVIDENCE, LEAST_SHARE = 5.0, 0.01  # standard errors; of the toxic documents, 3 documents at least
-PIVOTS = (1500, 1000)  # passages of each class that landmarks are chosen from
+PIVOTS = (900, 450)  # passages of each class that landmarks are chosen from
 CLEAN_WEIGHT = 4.0  # of a clean document in the calibration
 
 
@@ -308,9 +308,11 @@ def witness(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return best["i"].to_numpy(int), best["z"].to_numpy(float)
 
 
-def first_passages(texts: list[str | None], evidence: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def first_passages(texts: list[str | None], at: np.ndarray, z: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """What worst() returns, by the witness."""
     best, where = [], []
+    evidence = np.zeros(1 << BUCKETS, np.float32)
+    evidence[at] = z
     for text in texts:
         c = edged(text)
         value = np.zeros(len(c))
@@ -367,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
 
         def passages(find, *model) -> list:
             """(worst passages, decisions, toxic, checks) of each sampled document, by find(texts, *model, PASSAGES)."""
-            shared = spark.sparkContext.broadcast(model)
+            shared = spark.sparkContext.broadcast(model)  # a few MB at most
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in (part for whole in batches for part in small_batches(whole)):
@@ -377,14 +379,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
                     yield pa.RecordBatch.from_arrays([pa.array(cut, pa.list_(pa.string())), pa.array([b.tolist() for b in best], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["s", "f", "toxic", "checks"])
 
             found = rows.mapInArrow(run, "s array<string>, f array<double>, toxic int, checks boolean").collect()
+            shared.destroy()
             return sorted(found, key=lambda r: (r.toxic, r.checks, r.s, r.f))
 
-        evidence = np.zeros(1 << BUCKETS, np.float32)
-        at, z = witness(rows.filter("NOT checks"))
-        evidence[at] = z
-        table, bias, clean = np.zeros(CLASSES**4, np.float32), 0.0, {}
+        evidence = witness(rows.filter("NOT checks"))
+        table, bias, clean, space = np.zeros(CLASSES**4, np.float32), 0.0, {}, None
         for i in range(rounds):
-            found = passages(worst, table, bias) if i else passages(first_passages, evidence)
+            found = passages(worst, table, bias) if i else passages(first_passages, *evidence)
             toxic = {}
             for r in found:
                 if not r.checks and r.s:
@@ -398,7 +399,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
                 break
             if i < 2:
                 nearest = sorted(clean, key=lambda s: (-clean[s], s))[: PIVOTS[1]]
-                pivots = some(sorted(toxic), PIVOTS[0])
+                pivots, space = some(sorted(toxic), PIVOTS[0]), None
                 space = Nystroem(pick_landmarks([*pivots, *nearest], np.repeat([1.0, 0.3], [len(pivots), len(nearest)]), landmarks))
             strings, y = [*toxic, *clean], np.array([1.0] * len(toxic) + [-1.0] * len(clean))
             w, bias = svm(space.map(strings), y, np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(clean))))
