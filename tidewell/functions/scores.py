@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,15 +28,20 @@ def category_priority(c, order: list[str]) -> Column:
     return rank_of(c, {k: i for i, k in enumerate(order, 1)}, 99)
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of any of the words as they stand; without words it matches nothing."""
+    return "|".join(re.escape(w) for w in words) or "(?!)"
+
+
 def any_hint(c, hints: list[str]) -> Column:
     """Whether the folded text contains any of the hints."""
-    return fold(c).rlike("|".join(hints)) if hints else F.lit(False)
+    return fold(c).rlike(any_of(hints))
 
 
 def place_specificity(c, hints: list[str] = PRECISE_HINTS) -> Column:
     """Number of tokens up to 8, 10 more for a precise word, 1 more for a comma; empty is -1."""
     text = fold(c)
-    score = F.least(F.size(F.split(text, " ")), F.lit(8)) + F.when(text.rlike("|".join(hints)), 10).otherwise(0) + F.when(F.contains(as_column(c), F.lit(",")), 1).otherwise(0)
+    score = F.least(F.size(F.split(text, " ")), F.lit(8)) + F.when(text.rlike(any_of(hints)), 10).otherwise(0) + F.when(F.contains(as_column(c), F.lit(",")), 1).otherwise(0)
     return F.when(F.coalesce(text, F.lit("")) == "", -1).otherwise(score)
 
 
@@ -60,10 +67,10 @@ def hit_confidence(blob, address, hint, district, kind, address_type, importance
     share = F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda t: F.contains(blob, t))), F.size(tokens)), F.lit(0.0))
     types = [fold(kind), fold(address_type)]
     is_in = lambda names: F.coalesce(types[0].isin(list(names)), F.lit(False)) | F.coalesce(types[1].isin(list(names)), F.lit(False))
-    precise = addr.rlike("|".join(precise_hints))
+    precise = addr.rlike(any_of(precise_hints))
     score = F.when((addr != "") & F.contains(blob, addr), 0.42).otherwise(0.0) + 0.33 * share
     score += F.when(hint_f.isNull(), 0.0).when((fold(district) == hint_f) | F.contains(blob, hint_f), 0.22).otherwise(-0.14)
-    score += F.when(blob.rlike("|".join(region_hints)), 0.15).otherwise(-0.08)
+    score += F.when(blob.rlike(any_of(region_hints)), 0.15).otherwise(-0.08)
     admin = is_in(admin_types)
     score += F.when(precise, F.when(is_in(precise_types), 0.14).otherwise(0.0) - F.when(admin, 0.30).otherwise(0.0)).otherwise(F.when(admin, 0.08).otherwise(0.0))
     score += 0.08 * F.least(F.greatest(F.coalesce(as_column(importance).try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.keys import host
+from tidewell.functions.scores import any_of
 from tidewell.functions.text import as_column, fold, normalize_token
 
 
@@ -128,7 +129,7 @@ def dup_candidates(a: str, b: str, disjoint_sources: bool) -> Column:
 
 
 def is_precise_place(c, hints: list[str]) -> Column:
-    return fold(c).rlike("|".join(hints))
+    return fold(c).rlike(any_of(hints))
 
 
 def is_generic_place(c, generic: list[str], precise: list[str], neighborhood=None, district=None) -> Column:
@@ -137,7 +138,7 @@ def is_generic_place(c, generic: list[str], precise: list[str], neighborhood=Non
     for x in (neighborhood, district):
         if x is not None:
             backed = backed | (F.coalesce(F.trim(as_column(x)), F.lit("")) != "")
-    return F.coalesce(fold(c).rlike(r"\b(?:" + "|".join(generic) + r")\b") & ~is_precise_place(c, precise) & ~backed, F.lit(False))
+    return F.coalesce(fold(c).rlike(r"\b(?:" + any_of(generic) + r")\b") & ~is_precise_place(c, precise) & ~backed, F.lit(False))
 
 
 def is_district_level(address, district, hint) -> Column:

@@ -620,3 +620,6 @@ def ingest_documents(t):
         F.lit(None).cast("timestamp").alias("published_at"), F.array("source").alias("source_list"), F.lit("g1").alias("dataset_generation"),
     )
     return jobs.ingest(raw, t.spark.createDataFrame(KEYWORDS, "category string, keyword string"), ["function", "romance", "german", "phrase"])
+
+
+from tidewell.plans import predicates  # noqa: E402,F401  registers its queries
