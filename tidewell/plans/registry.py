@@ -258,7 +258,7 @@ FOLD_SQL = "trim(regexp_replace(replace(lower(regexp_replace(translate({0}, '" +
 
 @query(LEXICAL.format(fold_title=FOLD_SQL.format("title"), fold_body=FOLD_SQL.format("body"), stop=", ".join(f"'{w}'" for w in dedup.STOP_WORDS)))
 def lexical_duplicates(t):
-    docs = t.documents.filter("text IS NOT NULL").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"))
+    docs = tables.spread(t.documents).filter("text IS NOT NULL").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"))
     return dedup.lexical_duplicates(docs, "doc_id", "title", "body", with_ratio=False)
 
 
@@ -322,7 +322,7 @@ KEYWORDS = [("function", "the"), ("function", "and"), ("function", "that"), ("ro
   SELECT doc_id, arg_max(category, n * 100 - prio) AS category, CAST(max(n) AS DOUBLE) AS score, CAST(round(least(0.92, 0.45 + 0.10 * (arg_max(n, n * 100 - prio) - 1)), 4) AS DOUBLE) AS confidence FROM m GROUP BY doc_id""")
 def keyword_classify(t):
     kw = t.spark.createDataFrame(KEYWORDS, "category string, keyword string")
-    matches = dictionary.match_keywords(t.documents, kw, "doc_id", {"text": 1.0})
+    matches = dictionary.match_keywords(tables.spread(t.documents), kw, "doc_id", {"text": 1.0})
     return classify.category_scores(matches, "doc_id", ["function", "romance", "german", "phrase"]).select("doc_id", "category", "score", "confidence")
 
 
@@ -333,7 +333,7 @@ def keyword_classify(t):
 def link_dictionary(t):
     lead = F.array_join(F.slice(F.filter(dictionary.tokens("text"), lambda x: x != ""), 1, 3), " ")
     aliases = t.benchmark.select(F.col("item_id").alias("canonical_name"), F.lit("").alias("district"), lead.alias("alias"))
-    hits = dictionary.link_dictionary(t.documents.filter("text IS NOT NULL"), aliases, "doc_id", "text", 3)
+    hits = dictionary.link_dictionary(tables.spread(t.documents).filter("text IS NOT NULL"), aliases, "doc_id", "text", 3)
     return hits.filter("score = 1.0").select("doc_id", "pos", "span", "canonical_name")
 
 
@@ -342,7 +342,7 @@ def link_dictionary_tiers(t):
     """All tiers of link_dictionary, whose SQL has the exact one only."""
     lead = F.array_join(F.slice(F.filter(dictionary.tokens("text"), lambda x: x != ""), 1, 3), " ")
     aliases = t.benchmark.select(F.col("item_id").alias("canonical_name"), F.lit("").alias("district"), lead.alias("alias"))
-    hits = dictionary.link_dictionary(t.documents.filter("text IS NOT NULL"), aliases, "doc_id", "text", 3)
+    hits = dictionary.link_dictionary(tables.spread(t.documents).filter("text IS NOT NULL"), aliases, "doc_id", "text", 3)
     return hits.select("doc_id", "pos", "span", "canonical_name", "score", "tier")
 
 
