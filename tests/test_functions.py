@@ -63,3 +63,10 @@ def test_summaries(spark):
     long = "First one. " + "word " * 60
     got = spark.createDataFrame([(None, long), ("short.", None)], "s string, c string").select(text.executive_summary("s", "c", 40)).collect()
     assert [r[0] for r in got] == ["First one.", "short."]
+
+
+def test_district_at_the_start_and_neighborhood(spark):
+    rows = ["Izmit Merkez", "izmit", "Old Izmit", "GEBZE yolu", None, ""]
+    assert values(spark, text.embedded_district("s", ["Gebze", "Izmit"]), rows) == ["Izmit", None, None, "Gebze", None, None]
+    rows = [" Kent mahallesi ", "Kent Mah.5", "Kent Mah. 5", "mahallelik", None, ""]
+    assert values(spark, text.extract_neighborhood("s", ["mahallesi", "mahalle", "mah."]), rows) == ["Kent mahallesi", "Kent Mah.5", None, None, None, None]

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import aggregates, classify, dedup, dictionary, filters, geo, sets, windows
+from tidewell.operators import aggregates, classify, dedup, dictionary, embed, filters, geo, sets, windows
 from tidewell.plans import jobs
 from tidewell.sources import pages, tables
 from tidewell.streaming import events
@@ -296,3 +296,65 @@ def test_geocode_status(spark):
     rows = [(40.5, 29.5, 0.9, False), (40.5, 29.5, 0.5, False), (50.0, 29.5, 0.9, False), (None, None, None, False)]
     got = geo.geocode_status(spark.createDataFrame(rows, "lat double, lng double, confidence double, is_district boolean"), (40.35, 41.15, 29.10, 30.90))
     assert [(r.status, r.failure_type) for r in got.collect()] == [("resolved", None), ("approximate", None), ("failed", "out_of_bounds"), ("failed", "no_result")]
+
+
+def test_hash_embedder_and_failures(spark):
+    import hashlib
+
+    import numpy as np
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "bad"), (4, "")], "id long, s string")
+    got = {r.id: r.v for r in rows.select("id", embed.embed("s").alias("v")).collect()}
+    first = hashlib.sha256(b"text:a").digest()
+    want = np.array(list(first + hashlib.sha256(first).digest())) / 127.5 - 1
+    assert got[2] is None and len(got[1]) == len(got[4]) == 1024
+    assert np.allclose(np.array(got[1][:64]) * want[0] / got[1][0], want, atol=1e-5) and abs(np.linalg.norm(got[1]) - 1) < 1e-5
+
+    def picky():
+        return lambda t: 1 / 0 if t == "bad" else [3.0, 4.0]
+
+    got = {r.id: r.v for r in rows.select("id", embed.embed("s", picky).alias("v")).collect()}
+    assert got[3] is None and np.allclose(got[1], [0.6, 0.8])
+
+    def broken():
+        raise RuntimeError("no model")
+
+    assert len(rows.select(embed.embed("s", broken, fall_back=True).alias("v")).first().v) == 1024
+    with pytest.raises(Exception, match="no model"):
+        rows.select(embed.embed("s", broken).alias("v")).collect()
+
+
+def test_classifier_chain(spark):
+    order = ["fire", "theft"]
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, None), (5, [1.0, 1.0])], "id long, v array<double>")
+    keyword = spark.createDataFrame([(1, "fire", 0.5), (3, "theft", 0.6)], "id long, category string, confidence double")
+    exemplars = spark.createDataFrame([("fire", [1.0, 0.0]), ("fire", [1.0, 0.1]), ("theft", [0.0, 1.0])], "category string, vector array<double>")
+    semantic = classify.semantic_classify(rows, exemplars, "id", "v")
+    got = {r.id: (r.category, r.method) for r in classify.classify_chain(rows, keyword, semantic, "id", order).collect()}
+    assert got == {1: ("fire", "resolver_agree"), 2: ("theft", "semantic"), 3: ("theft", "keyword_fallback_semantic_error"), 4: ("unknown", "semantic_error_unknown"), 5: ("unknown", "semantic")}
+    got = {r.id: (r.category, r.confidence, r.method) for r in classify.classify_chain(rows, keyword, None, "id", order).collect()}
+    assert got[1] == ("fire", 0.5, "keyword") and got[2] == ("unknown", 0.0, "keyword_only") and len(got) == 5
+
+
+def test_logical_accuracy(spark):
+    cases = [("a", "x", "a", "x"), ("a", "x", "a", "y"), (None, None, None, None), (None, "x", "a", "x")]
+    assert tuple(aggregates.logical_accuracy(spark.createDataFrame(cases, "strategy string, address string, expected_strategy string, expected_address string")).first()) == (4, 2, 0.5)
+    assert tuple(aggregates.logical_accuracy(spark.createDataFrame([], "strategy string, address string, expected_strategy string, expected_address string")).first()) == (0, 0, 0.0)
+
+
+def test_ingest_reaches_every_tier(spark):
+    long = "red green blue black white amber olive ivory"
+    rows = [
+        (1, "first title", long, ["s1"]), (2, "first title", long, ["s2"]), (3, "other head", long + " extra", ["s3"]), (4, "first title", " ".join(w[::-1] for w in long.split()), ["s1"]),
+        (5, "zzz qqq", "jjj kkk qqq zzz xxx www", ["s1"]), (6, "same outlet", long + " words", ["s1"]),
+    ]
+    raw = spark.createDataFrame([(i, t, c, None, s, "g") for i, t, c, s in rows], "raw_document_id long, title string, content string, published_at timestamp, source_list array<string>, dataset_generation string")
+    keywords = spark.createDataFrame([("colour", "red")], "category string, keyword string")
+
+    def letters():
+        return lambda t: [t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"]
+
+    run = lambda **kw: {r.record_id: (r.leader, r.tier) for r in jobs.ingest(raw, keywords, ["colour"], **kw).collect()}
+    cheap = {1: (1, "new"), 2: (1, "hash"), 3: (1, "lexical"), 4: (4, "new"), 5: (5, "new"), 6: (6, "new")}
+    assert run() == cheap
+    assert run(make_embedder=letters) == cheap | {4: (1, "semantic"), 6: (1, "semantic")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,3 +124,16 @@ def strip_noise(c, patterns: list[str]) -> Column:
     for p in patterns:
         text = F.regexp_replace(text, "(?iU)" + p, " ")
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def embedded_district(c, districts: list[str]) -> Column:
+    """The first listed district with which the text starts, followed by a space; null if none."""
+    t = fold(c)
+    return F.coalesce(*[F.when(F.startswith(t, F.concat(fold(F.lit(d)), F.lit(" "))), F.lit(d)) for d in districts], F.lit(None).cast("string"))
+
+
+def extract_neighborhood(c, words: list[str]) -> Column:
+    """The trimmed text if it holds one of the neighbourhood words as a whole word; null if not."""
+    text = F.trim(as_column(c))
+    some = "|".join(re.escape(w) + (r"\b" if w[-1:].isalnum() else r"(?=\w)") for w in words)
+    return F.when(text.rlike(rf"(?iU)\b(?:{some or '(?!)'})"), text)

@@ -129,6 +129,13 @@ def duplicate_accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.agg(rate(F.count_if(d == e), F.count("*")).alias("accuracy"), F.count_if(d & ~e).alias("false_positive"), F.count_if(~d & e).alias("false_negative"))
 
 
+def logical_accuracy(cases: DataFrame) -> DataFrame:
+    """cases(strategy, address, expected_strategy, expected_address): total, and those where both equal the
+    expectation; null equals null."""
+    right = F.col("strategy").eqNullSafe(F.col("expected_strategy")) & F.col("address").eqNullSafe(F.col("expected_address"))
+    return cases.agg(F.count("*").alias("total"), F.count_if(right).alias("correct"), rate(F.count_if(right), F.count("*")).alias("accuracy"))
+
+
 def category_transitions(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("old_category", "new_category").agg(F.count("*").alias("n"))
 

@@ -11,8 +11,12 @@ from tidewell.functions.keys import content_hash, dedupe_hash
 from tidewell.functions.scores import place_specificity
 from tidewell.functions.text import clean_text, fold, summary, text_payload
 from tidewell.operators import aggregates, classify, dedup, dictionary, filters, geo, merge, sets, windows
+from tidewell.operators.embed import embed
 from tidewell.sources import tables
 
+#: Added to lexical scores, so that any lexical match goes before any cosine.
+LEXICAL_FIRST = 2
+
 
 def extract_locations(docs: DataFrame, gazetteer: DataFrame, id_col: str, text: str, place_words: list[str], noise: list[str]) -> DataFrame:
     """(id, pos, place, district, score, rank): gazetteer and heuristic candidates, ambiguous names resolved.
@@ -57,19 +61,32 @@ def materialize(raw: DataFrame, keywords: DataFrame, order: list[str]) -> DataFr
     return out.withColumns({"category": F.coalesce("category", F.lit("unknown")), "confidence": F.coalesce("confidence", F.lit(0.0)), "payload": text_payload("title", "summary", "body")})
 
 
-def ingest(raw: DataFrame, keywords: DataFrame, order: list[str]) -> DataFrame:
-    """(record_id, leader, tier): hash duplicates lead to their first record; among the rest, lexical duplicates to
-    their best earlier leader. Only rows that no cheaper tier has settled reach the dearer one."""
+def ingest(raw: DataFrame, keywords: DataFrame, order: list[str], make_embedder: Callable | None = None, threshold: float = 0.90, planes: int = 0) -> DataFrame:
+    """(record_id, leader, tier): hash duplicates lead to their first record; the rest, in id order, to the best
+    earlier leader that matches lexically, else, with make_embedder, to the one with the nearest vector.
+
+    Only first records of a hash reach the dearer tiers. Rows whose embedding fails have no semantic match. planes is
+    that of semantic_duplicates: 0 compares all vectors.
+    """
     rows = materialize(raw, keywords, order).withColumnRenamed("raw_document_id", "record_id").checkpoint()
     hashed = dedup.hash_duplicates(rows, "dedupe_hash", "record_id").select("record_id", F.col("first_id").alias("leader"))
     firsts = rows.join(hashed.filter("record_id <> leader").select("record_id"), "record_id", "left_anti")
-    pairs = dedup.lexical_duplicates(firsts, "record_id", "title", "body", "source_list")
-    led = dedup.leaders(pairs.select("a", "b", F.col("combined").alias("score")), firsts, "record_id").select(F.col("id").alias("record_id"), F.col("leader").alias("lexical"))
+    lexical = dedup.lexical_duplicates(firsts, "record_id", "title", "body", "source_list").select("a", "b", (F.col("combined") + LEXICAL_FIRST).alias("score"))
+    pairs = lexical
+    if make_embedder is not None:
+        vectors = firsts.select("record_id", embed("payload", make_embedder).alias("vector")).checkpoint()
+        near = dedup.semantic_duplicates(vectors, "record_id", "vector", threshold, planes)
+        both = lexical.unionByName(near.select("a", "b", F.col("similarity").alias("score")))
+        pairs = both.groupBy("a", "b").agg(F.max("score").alias("score"))
+    pairs = pairs.checkpoint()
+    led = dedup.leaders(pairs, firsts, "record_id").select(F.col("id").alias("record_id"), F.col("leader").alias("matched"))
+    scores = pairs.select(F.col("b").alias("record_id"), F.col("a").alias("matched"), "score")
+    led = led.join(scores, ["record_id", "matched"], "left")
     both = rows.select("record_id").join(hashed, "record_id", "left").join(led, "record_id", "left")
-    first_of = led.select(F.col("record_id").alias("leader"), F.col("lexical").alias("next"))
+    first_of = led.select(F.col("record_id").alias("leader"), F.col("matched").alias("next"))
     both = both.join(first_of, "leader", "left")
-    tier = F.when(F.col("leader") < F.col("record_id"), "hash").when(F.col("lexical") < F.col("record_id"), "lexical").otherwise("new")
-    return both.select("record_id", F.coalesce("next", "lexical", "record_id").alias("leader"), tier.alias("tier"))
+    tier = F.when(F.col("leader") < F.col("record_id"), "hash").when(F.col("score") >= LEXICAL_FIRST, "lexical").when(F.col("score").isNotNull(), "semantic").otherwise("new")
+    return both.select("record_id", F.coalesce("next", "matched", "record_id").alias("leader"), tier.alias("tier"))
 
 
 def refresh(new: DataFrame, sessions: DataFrame, root: str, generation: str, allowed_skips: list[str]) -> str | None:

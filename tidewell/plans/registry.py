@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import dates, keys, text
 from tidewell.operators import aggregates, classify, dedup, dictionary, filters, geo, merge, sets, windows
+from tidewell.operators.embed import embed, hash_embedder
 from tidewell.plans import jobs
 from tidewell.sources import pages as page_job
 from tidewell.sources import tables
@@ -311,6 +312,15 @@ def with_related(t):
     return out.select("record_id", F.coalesce(F.size("related"), F.lit(0)).cast("long").alias("n_related"), F.coalesce(F.array_join(F.col("related.record_id").cast("array<string>"), ","), F.lit("")).alias("related"))
 
 
+@query("""WITH h AS (SELECT doc_id, sha256('text:' || text) AS one FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, one || sha256(unhex(one)) AS hex FROM h),
+  v AS (SELECT doc_id, list_transform(range(64), lambda i: (strpos('0123456789abcdef', substr(hex, CAST(2 * i + 1 AS INTEGER), 1)) - 1) * 16 + strpos('0123456789abcdef', substr(hex, CAST(2 * i + 2 AS INTEGER), 1)) - 1) AS v FROM b)
+  SELECT doc_id, len(list_filter(v, lambda x: x > 127)) AS n_positive, list_position(v, list_max(v)) AS largest FROM v""")
+def hash_embedding(t):
+    rows = t.documents.filter("text IS NOT NULL").select("doc_id", embed("text", lambda: hash_embedder(64)).alias("v"))
+    n = F.size(F.filter("v", lambda x: x > 0)).cast("long")
+    return rows.select("doc_id", n.alias("n_positive"), F.array_position("v", F.array_max("v")).cast("int").alias("largest"))
+
+
 # ---- dictionaries and categories
 
 KEYWORDS = [("function", "the"), ("function", "and"), ("function", "that"), ("romance", "que"), ("romance", "les"), ("romance", "pour"), ("german", "und"), ("german", "der"), ("phrase", "of the")]
