@@ -212,6 +212,18 @@ def test_worst_passage_equals_the_folded_decision():
     assert f[0][0] == pytest.approx((space.map(passages) @ w).max() + 0.5, abs=1e-4)
 
 
+def test_joined_decisions_and_readings():
+    import numpy as np
+
+    assert toxicity.joined([0.5] * 4) == pytest.approx(0.5) and toxicity.joined([]) == -1 == toxicity.joined([-3.0, -7.0])
+    assert toxicity.joined([2.0, -5.0]) == pytest.approx((27 / 4) ** (1 / 3) - 1)  # one plain passage is enough
+    space = toxicity.Nystroem([" stupid", "the word ", "réeux mot"], marks=True)
+    table = space.table(np.array([1.0, -1.0, 1.0]))
+    (plain, marked, own, other, none), _ = toxicity.worse_reading(["a stupid man", "a stüpïd man", "un réeux ici", "un reeux ici", None], table, 0.0, 1)
+    assert marked[0] == pytest.approx(plain[0], abs=1e-6) and own[0] > other[0] and len(none) <= 1
+    assert toxicity.worst(["a stüpïd man"], table, 0.0, marks=True)[0][0][0] < plain[0]
+
+
 # ---- 4
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -4,7 +4,8 @@ The kernel of two strings sums over common subsequences of four letters, where o
 two, each weighted by DECAY to the power of its span and scaled by the strings' sizes; so gapped, spaced and padded
 insults still share most of their subsequences. A string's Nystroem map is its whitened kernel with LANDMARKS passages
 of labelled sentences. A linear SVM on that map folds into one weight per subsequence, so the decision on a passage of
-WINDOW characters is a sum of table entries. A document scores as its worst passage, calibrated to 0..1.
+WINDOW characters is a sum of table entries. A document scores by the norm of its DEEP worst passages, calibrated to
+0..1: one that is plainly toxic is enough, several that are nearly so count together.
 
 Training takes a bounded sample of labelled documents (SAMPLE a class, one row per id, picked by a hash of the id). Only
 documents are labelled, so the toxic passages of their sentences are latent: the witness function of a plain spectrum
@@ -15,10 +16,11 @@ stay in the set, so it grows by those that look toxic. One document in eight of
 Every text is scored whole.
 
 Cases: null and empty texts have no passage and get the score of none; texts shorter than a passage are one; digits and
-signs that stand for letters count as those; Latin letters lose case and marks, letters of other scripts fall into 26
-classes by a hash of the code point, anything else is a gap; repeated label rows count once (toxic if any says so); of
-repeated rows of one id one is learnt from; without labels of both classes nothing can be learnt and every score is 0;
-one label of each class is enough; no rows give none.
+signs that stand for letters count as those; Latin letters lose case; a text is read twice, with marks, which put a letter
+into one of 8 further classes, and without them, and the worse reading counts (the model is learnt with them); letters of
+other scripts fall into 26 classes by a hash of the code point, anything else is a gap; repeated label rows count once
+(toxic if any says so); of repeated rows of one id one is learnt from; without labels of both classes nothing can be
+learnt and every score is 0; one label of each class is enough; no rows give none.
 """
 
 from __future__ import annotations
@@ -34,27 +36,32 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import limit_arrow_batches, small_batches
 
 GAPS = tuple((a, a + b, a + b + c) for a in (1, 2) for b in (1, 2) for c in (1, 2))  # offsets of the later letters
-DECAY, SPAN, WINDOW, CLASSES = 0.9, 7, 16, 28
+DECAY, SPAN, WINDOW, CLASSES = 0.9, 7, 16, 36
 STARTS = WINDOW - 3
 SMOOTH = 2.0  # added to the squared size of a string before it scales the features
 EDGE = 27  # the class of white space and of both ends of a text: words that begin or end alike are alike
+MARKED = 8  # classes after EDGE, of Latin letters with marks
 SAMPLE, LANDMARKS, ROUNDS, PASSAGES, TOXIC_PASSAGES, RIDGE, HELD_OUT_FOLDS = 4000, 300, 6, 8, 4, 0.05, 5
 GRAMS, BUCKETS, REACH = (6, 7), 22, 10  # the witness: letters of a run, bits of its hash, starts in a passage
 LEAST_EVIDENCE, LEAST_SHARE = 5.0, 0.01  # standard errors; of the toxic documents, 3 documents at least
 PIVOTS = (900, 450)  # passages of each class that landmarks are chosen from
-CLEAN_WEIGHT = 4.0  # of a clean document in the calibration
+CLEAN_WEIGHT = 2.0  # of a clean document in the calibration
+DEEP, NORM = 4, 3  # worst passages of a text that its score rests on, and the norm that joins them
 
 
-def letter_classes(size: int = 0x10000) -> np.ndarray:
-    """Class of each code point: 1 to 26 for letters without case or marks, 27 for white space, 0 for others."""
+def letter_classes(marks: bool, size: int = 0x10000) -> np.ndarray:
+    """Class of each code point: 1 to 26 for letters without case, 27 for white space, 0 for others; Latin letters with
+    marks fall into 28 to 35 if marks count."""
     table = np.zeros(size, np.int32)
     #: Characters that stand for letters.
     alike = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "ß": "s", "ø": "o", "æ": "a", "ı": "i", "ł": "l", "đ": "d", "œ": "o"}
     for i in range(size):
         c = chr(i).lower()
-        c = alike.get(c) or unicodedata.normalize("NFD", c)[0]
-        if "a" <= c <= "z":
+        c = alike.get(c, c)
+        if len(c) == 1 and "a" <= c <= "z":
             table[i] = ord(c) - 96
+        elif "a" <= unicodedata.normalize("NFD", c)[0] <= "z":
+            table[i] = EDGE + 1 + ord(c[0]) % MARKED if marks else ord(unicodedata.normalize("NFD", c)[0]) - 96
         elif c.isspace():
             table[i] = EDGE
         elif c.isalpha():
@@ -62,14 +69,15 @@ def letter_classes(size: int = 0x10000) -> np.ndarray:
     return table
 
 
-CLASS_OF = letter_classes()
+CLASS_OF = {marks: letter_classes(marks) for marks in (False, True)}
 WEIGHTS = [DECAY ** (last + 1) for _, _, last in GAPS]
 
 
-def codes(text: str) -> np.ndarray:
+def codes(text: str, marks: bool = False) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = CLASS_OF[np.minimum(points, len(CLASS_OF) - 1)]
-    high = np.flatnonzero(points >= len(CLASS_OF))
+    table = CLASS_OF[marks]
+    out = table[np.minimum(points, len(table) - 1)]
+    high = np.flatnonzero(points >= len(table))
     out[high] = [1 + p * 2654435761 % (1 << 32) % 26 if chr(p).isalpha() else 0 for p in points[high].tolist()]
     return out
 
@@ -88,11 +96,11 @@ def subsequences(c: np.ndarray, gaps=GAPS) -> Iterator[np.ndarray]:
         yield at
 
 
-def occurrences(strings: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+def occurrences(strings: list[str], marks: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
     """Subsequences [string, start] of each gap pattern of passages, and the passages' sizes."""
     c = np.zeros((len(strings), WINDOW + SPAN), np.int32)
     for row, s in zip(c, strings):
-        own = codes(s)[:WINDOW]
+        own = codes(s, marks)[:WINDOW]
         row[: len(own)] = own
     at = list(subsequences(c))
     size = sum(w * w * np.count_nonzero(a, axis=1) for a, w in zip(at, WEIGHTS))
@@ -102,8 +110,9 @@ def occurrences(strings: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 class Nystroem:
     """Landmark map: whitened kernels with the landmarks."""
 
-    def __init__(self, landmarks: list[str]):
-        at, size = occurrences(landmarks)
+    def __init__(self, landmarks: list[str], marks: bool = False):
+        self.marks = marks
+        at, size = occurrences(landmarks, marks)
         seen = np.unique(np.concatenate([a.ravel() for a in at]))
         self.known = seen[seen > 0]  # subsequences that some landmark has; others never meet
         self.column = np.zeros(CLASSES**4, np.int32)
@@ -121,7 +130,7 @@ class Nystroem:
     def kernel(self, strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), self.phi.shape[1]), np.float32)
         for first in range(0, len(strings), 1000):
-            at, size = occurrences(strings[first : first + 1000])
+            at, size = occurrences(strings[first : first + 1000], self.marks)
             part = out[first : first + 1000]
             for a, w in zip(at, WEIGHTS):
                 for column in self.column[a].T:
@@ -161,14 +170,14 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE,
     return w[:-1], float(w[-1])
 
 
-def worst(texts: list[str | None], table: np.ndarray, bias: float, most: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def worst(texts: list[str | None], table: np.ndarray, bias: float, most: int = 1, marks: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The highest decisions on passages of each text that do not overlap, `most` at most, and where they start."""
     best, where = [np.zeros(0)] * len(texts), [np.zeros(0, int)] * len(texts)
     at = 0
     while at < len(texts):
         parts, ends, size, end = [], [], 0, at
         while end < len(texts) and (end == at or size < 500_000):
-            c = codes(texts[end] or "")
+            c = codes(texts[end] or "", marks)
             parts += [[EDGE], c, [EDGE], np.zeros(WINDOW, np.int32)]  # no window reaches the next text
             size += len(c) + 2 + WINDOW
             ends.append(size)
@@ -199,6 +208,27 @@ def worst(texts: list[str | None], table: np.ndarray, bias: float, most: int = 1
     return best, where
 
 
+def joined(best) -> float:
+    """One decision of a text: the norm of how far its DEEP worst decisions lie beyond -1, the margin of clean passages,
+    counted from there. Equal decisions give that decision; passages that a text lacks count as the margin."""
+    f = np.maximum(np.asarray(best[:DEEP], float) + 1, 0)
+    return float((f**NORM).sum() / DEEP) ** (1 / NORM) - 1
+
+
+def as_written(texts: list[str | None], table: np.ndarray, bias: float, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return worst(texts, table, bias, most, marks=True)
+
+
+def worse_reading(texts: list[str | None], table: np.ndarray, bias: float, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What worst() returns, by the reading with or without marks that is the worse one: marks may disguise a word."""
+    best, where = as_written(texts, table, bias, most)
+    marked = [i for i, t in enumerate(texts) if t and not t.isascii()]
+    for i, b, w in zip(marked, *worst([texts[i] for i in marked], table, bias, most)):
+        if joined(b) > joined(best[i]):
+            best[i], where[i] = b, w
+    return best, where
+
+
 class Model:
     """Folded table, bias, and the two numbers of the calibration."""
 
@@ -206,7 +236,7 @@ class Model:
         self.table, self.bias, self.slope, self.shift = table, bias, slope, shift
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        f = np.array([b[0] if len(b) else self.bias for b in worst(texts, self.table, self.bias)[0]])
+        f = np.array([joined(b) for b in worse_reading(texts, self.table, self.bias, DEEP)[0]])
         return 1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -50, 50)))
 
 
@@ -262,7 +292,7 @@ def grams(c: np.ndarray) -> list[np.ndarray]:
 
 
 def edged(text: str | None) -> np.ndarray:
-    return np.concatenate([[EDGE], codes(text or ""), [EDGE]])
+    return np.concatenate([[EDGE], codes(text or "", True), [EDGE]])
 
 
 def witness(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +363,7 @@ def first_passages(texts: list[str | None], at: np.ndarray, z: np.ndarray, most:
 
 def pick_landmarks(strings: list[str], gain: np.ndarray, most: int) -> list[str]:
     """Strings that are worth much and unlike those picked before: pivoted Cholesky steps, pivots by residual times gain."""
-    at, size = occurrences(strings)
+    at, size = occurrences(strings, True)
     phi = np.zeros((len(strings), 4096), np.float32)  # subsequences hashed with signs: near enough to choose by
     for a, w in zip(at, WEIGHTS):
         h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -385,7 +415,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
         evidence = witness(rows.filter("NOT checks"))
         table, bias, clean, space = np.zeros(CLASSES**4, np.float32), 0.0, {}, None
         for i in range(rounds):
-            found = passages(worst, table, bias) if i else passages(first_passages, *evidence)
+            found = passages(as_written, table, bias) if i else passages(first_passages, *evidence)
             toxic = {}
             for r in found:
                 if not r.checks and r.s:
@@ -400,15 +430,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
             if i < 2:
                 nearest = sorted(clean, key=lambda s: (-clean[s], s))[: PIVOTS[1]]
                 pivots, space = some(sorted(toxic), PIVOTS[0]), None
-                space = Nystroem(pick_landmarks([*pivots, *nearest], np.repeat([1.0, 0.3], [len(pivots), len(nearest)]), landmarks))
+                space = Nystroem(pick_landmarks([*pivots, *nearest], np.repeat([1.0, 0.3], [len(pivots), len(nearest)]), landmarks), marks=True)
             strings, y = [*toxic, *clean], np.array([1.0] * len(toxic) + [-1.0] * len(clean))
             w, bias = svm(space.map(strings), y, np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(clean))))
             table = space.table(w)
-        final = [r for r in passages(worst, table, bias) if r.f]
+        final = [r for r in passages(worse_reading, table, bias) if r.f]
         checks = [r for r in final if r.checks]
         if {r.toxic for r in checks} != {0, 1}:
             checks = final
-        return Model(table, bias, *platt(np.array([r.f[0] for r in checks]), np.array([float(r.toxic) for r in checks])))
+        return Model(table, bias, *platt(np.array([joined(r.f) for r in checks]), np.array([float(r.toxic) for r in checks])))
     finally:
         rows.unpersist()
 
