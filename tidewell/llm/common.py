@@ -179,3 +179,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     # a fixpoint is a set of stars: every edge leads to its least node
     leaves = e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return leaves.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def in_order(df: DataFrame, keys: list, name: str, paths: list[str] | None = None) -> DataFrame:
+    """df in the order of keys, with its place: the sorted part it lies in, and its position there from 0.
+
+    Parts follow each other in the order, so part and position together order all rows. Equal rows may be split over
+    parts (they are told apart by where they were read), so a hot key makes no large part. Written to the shared folder.
+    """
+    told = df.withColumn("_row", F.monotonically_increasing_id())
+    spread = told.repartitionByRange(*keys, F.col("_row")).sortWithinPartitions(*keys, F.col("_row")).drop("_row")
+    place = spread.withColumn("_at", F.monotonically_increasing_id())
+    return materialize(place.selectExpr("*", "shiftright(_at, 33) part", "_at & 8589934591L at").drop("_at"), name, paths)
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+    """rows with the columns of table, whose on is unique and whose weight says how many rows have that key.
+
+    Keys with over 1/share of the total rows, fewer than share of them, are broadcast; all others are shuffled.
+    """
+    hot, kept = F.col(weight) > total // share, [c for c in table.columns if c not in on and c != weight]
+    told = rows.join(F.broadcast(table.filter(hot).withColumn("_hot", F.lit(True))), on, "left")
+    cold = told.filter("_hot IS NULL").select(*rows.columns).join(table.filter(~hot), on, "left")
+    return told.filter("_hot").select(*rows.columns, *kept).unionByName(cold.select(*rows.columns, *kept))

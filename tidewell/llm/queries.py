@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontam, mixing, pii, quality, rlz_dedup, simhash, suffix_dedup, toxicity, warc
+from tidewell.llm import chat, decontam, mixing, pii, quality, rlz_dedup, simhash, suffix_dedup, toxicity, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.remove_factors(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads=True).drop("node")
+
+
 def queries() -> dict:
-    listed = (op1_mixing, op2_decontamination, op3_toxicity, op4_pii, op5_chat_formatting, op6_suffix_array_dedup, op7_warc, op8_quality, op9_simhash, op10_substring_dedup)
+    listed = (op1_mixing, op2_decontamination, op3_toxicity, op4_pii, op5_chat_formatting, op6_suffix_array_dedup, op7_warc, op8_quality, op9_simhash, op10_substring_dedup, op13_prefix_trie)
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op5_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE, "op8_quality": quality.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op5_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE, "op8_quality": quality.ORACLE, "op13_prefix_trie": trie.ORACLE}
