@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import queries, trie
+from tidewell.llm import queries, sharding, trie
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TURNS = "conv_id long, turn long, role string, text string, node string, d string"
@@ -103,3 +103,99 @@ def test_trie_equals_its_sql(spark, sf):
     got = queries.op13_prefix_trie(spark, f"/root/testdata/{sf}")
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(found.fetchall(), key=str)
+
+
+# ---- 11
+
+
+def loop_best_fit(sizes, capacity):
+    """Best fit decreasing, group by group, over a plain list."""
+    rooms, at = [], []
+    for s in sizes:
+        fit = min(((r, i) for i, r in enumerate(rooms) if r >= s), default=None)
+        if fit is None:
+            rooms.append(max(capacity, s))
+            fit = (rooms[-1], len(rooms) - 1)
+        rooms[fit[1]] -= s
+        at.append(fit[1])
+    return at
+
+
+def test_best_fit_equals_the_loop():
+    for seed in range(60):
+        rng = random.Random(seed)
+        sizes = sorted((rng.choice([rng.randint(1, 30), rng.randint(1, 200), 17]) for _ in range(rng.randint(1, 300))), reverse=True)
+        classes = sorted(Counter(sizes).items(), reverse=True)
+        capacity = rng.randint(1, 400)
+        runs, used = sharding.best_fit(classes, capacity)
+        got = [b for place, n, b in runs for _ in range(n)]
+        assert [place for place, _, _ in runs] == [sum(n for _, n, _ in runs[:i]) for i in range(len(runs))]
+        loads = Counter()
+        for s, b in zip(sizes, got):
+            loads[b] += s
+        assert all(v <= max(capacity, max(sizes)) for v in loads.values()) and used == len(loads)
+        # groups of one size are alike, so bins agree as multisets of sizes
+        want = Counter()
+        for s, b in zip(sizes, loop_best_fit(sizes, capacity)):
+            want[b] += s
+        assert sorted(loads.values()) == sorted(want.values())
+
+
+def test_bins_are_a_search_tree():
+    rng, bins, plain = random.Random(3), sharding.Bins(), []
+    for i in range(3000):
+        if rng.random() < 0.6:
+            plain.append((rng.randint(1, 50), i))
+            bins.put(*plain[-1])
+        else:
+            least = rng.randint(1, 60)
+            want = min((x for x in plain if x[0] >= least), default=None)
+            assert bins.take(least) == want
+            plain = [x for x in plain if x != want]
+
+    def depth(node):
+        return 0 if node is None else 1 + max(depth(node[2]), depth(node[3]))
+
+    assert depth(bins.root) < 40
+
+
+DOCS = "doc_id long, text string, shard string, key string, size string"
+
+
+def test_shards_are_even_and_keep_groups(spark):
+    rng = random.Random(4)
+    texts = ["x" * rng.randint(0, 400) + str(i) for i in range(3000)] + ["copy " * 40] * 900 + [None, "", None] + ["é" * 3000]
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in enumerate(texts)] + [(0, texts[0], "s", "k", "z"), (None, "y", "s", "k", "z")], DOCS)
+    got = sharding.report(df, 8).collect()
+    assert len(got) == len(texts) + 2 and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    load, slots, where = Counter(), defaultdict(list), defaultdict(set)
+    by_id = dict(enumerate(texts)) | {None: "y"}
+    for r in got:
+        text = by_id[r.doc_id] or ""
+        assert r["size"] == len(text.encode()) + 16 and r.text_crc32 == zlib.crc32(text.encode())
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+        where[text].add(r.shard)
+    assert all(len(v) == 1 for v in where.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    # the copies outweigh a shard, so they have one; the others differ by a thousandth at most
+    hot = where["copy " * 40].pop()
+    assert load[hot] == 900 * 216 and sorted(load) == list(range(8))
+    rest = [v for s, v in load.items() if s != hot]
+    assert max(rest) - min(rest) <= max(rest) / 1000
+    assert sharding.report(df.limit(0)).collect() == []
+    few = sharding.report(df.filter("doc_id in (1, 2)"), 8).collect()
+    assert sorted(r.shard for r in few) == [0, 1] and {r.slot for r in few} == {0}
+
+
+def test_shards_of_a_capacity(spark, tmp_path):
+    df = spark.createDataFrame([(i, "w" * (i % 90), "en") for i in range(2000)], "doc_id long, text string, lang string")
+    got = sharding.assign(df, capacity=30_000).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    total = sum(r.b for r in got)
+    # all groups are indivisible copies (22 or 23 rows each): no shard overflows, and few are wasted
+    assert max(r.b for r in got) <= 30_000 and len(got) <= -(-total // 30_000) + 1
+    sharding.write(df, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.drop("shard").collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        sharding.assign(df)
