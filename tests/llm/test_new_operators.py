@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import queries, sharding, trie
+from tidewell.llm import queries, sharding, trie, whitening
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TURNS = "conv_id long, turn long, role string, text string, node string, d string"
@@ -199,3 +199,92 @@ def test_shards_of_a_capacity(spark, tmp_path):
     assert sorted(map(tuple, back.drop("shard").collect())) == sorted(map(tuple, df.collect()))
     with pytest.raises(ValueError):
         sharding.assign(df)
+
+
+# ---- 12
+
+
+def scatter(values, basis):
+    return basis @ np.diag(values) @ basis.T
+
+
+def test_rank_one_updates_equal_a_full_decomposition():
+    rng = np.random.default_rng(5)
+    for d in (1, 2, 7, 40):
+        for kind in range(5):
+            values, basis = np.zeros(d), np.eye(d)
+            rows = rng.normal(size=(3 * d + 5, d)) * 10.0 ** rng.integers(-4, 4, d)
+            if kind == 1:
+                rows = np.repeat(rows[: d // 2 + 1], 3, axis=0)  # fewer directions than dimensions
+            if kind == 2:
+                rows = np.eye(d)[rng.integers(0, d, 3 * d)]  # equal eigenvalues
+            if kind == 3:
+                rows[:, 0] = 0
+            if kind == 4:
+                rows = np.round(rows) + np.eye(d)[0] * 1e6
+            for y in rows:
+                values, basis = whitening.update(values, basis, y)
+            want, top = rows.T @ rows, np.linalg.eigvalsh(rows.T @ rows)
+            assert np.allclose(basis.T @ basis, np.eye(d), atol=1e-9)
+            assert np.allclose(scatter(values, basis), want, atol=1e-10 * max(1e-300, top[-1]))
+            assert np.allclose(values, top, atol=1e-10 * max(1e-300, top[-1]))
+
+
+def test_secular_roots_lie_between_the_poles():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        m = int(rng.integers(1, 30))
+        d = np.sort(rng.choice([rng.random(m), np.cumsum(10.0 ** rng.integers(-12, 3, m))][int(rng.integers(2))], m, replace=False))
+        d += np.arange(m) * 1e-9
+        z = rng.normal(size=m) * 10.0 ** rng.integers(-5, 2, m)
+        roots, far = whitening.secular_roots(d, z)
+        assert (roots >= d).all() and (roots[:-1] <= d[1:]).all()
+        f = 1 + (z * z / far).sum(axis=1)
+        assert np.median(np.abs(f) / (1 + (z * z / np.abs(far)).sum(axis=1))) < 1e-12
+
+
+def check_whitened(got, rows, components=32):
+    """got against the covariance of rows(vec_id, vector) taken whole."""
+    x = np.floor(64 * np.array([v for _, v in rows], np.float64)).astype(np.int64) + 1_000_000
+    n, total = len(x), x.sum(axis=0)
+    y = x - total / n
+    e, q = np.linalg.eigh(y.T @ y / n)
+    e, q = e[::-1], q[:, ::-1]
+    k = min(components, int((e > 1e-12 * e[0]).sum()))
+    assert len(got) == n * k and {r.component for r in got} == set(range(1, k + 1)) and {r.n for r in got} == {n}
+    exact = {i: sum((n * int(a) - int(s)) ** 2 for a, s in zip(row, total)) for (i, _), row in zip(rows, x)}
+    w = {(r.vec_id, r.component): r.whitened for r in got}
+    for r in got:
+        assert r.deviation == exact[r.vec_id] and r.identity_error < 1e-8
+        assert r.explained == pytest.approx(e[r.component - 1] / e.sum(), rel=1e-9)
+    for c in range(k):
+        want, have = y @ q[:, c] / np.sqrt(e[c]), np.array([w[i, c + 1] for i, _ in rows])
+        have *= np.sign(want @ have)
+        assert np.abs(want - have).max() < 1e-6
+
+
+def test_whitening_equals_the_whole_decomposition(spark):
+    rng = np.random.default_rng(7)
+    v = (rng.normal(size=(900, 12)) * np.linspace(1, 5, 12)) @ rng.normal(size=(12, 12))
+    rows = [(i, [float(c) for c in x]) for i, x in enumerate(np.vstack([v, np.repeat(v[:1], 400, axis=0)]))]
+    bad = [(5000, None), (5001, [1.0] * 11 + [None]), (5002, [float("nan")] * 12), (5003, [float("inf")] * 12), (5004, [1.0] * 11), (5005, []), (5006, [1e300] * 12)]
+    df = spark.createDataFrame([(*r, "l", "n") for r in rows + bad], "vec_id long, embedding array<double>, label string, n string").repartition(40)
+    check_whitened(whitening.whiten(df).collect(), rows)
+    assert [r.component for r in whitening.whiten(df, 2).filter("vec_id = 3").orderBy("component").collect()] == [1, 2]
+
+
+def test_whitening_of_flat_and_empty_tables(spark):
+    schema = "vec_id long, embedding array<float>"
+    for rows in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0])]):
+        assert whitening.whiten(spark.createDataFrame(rows, schema)).collect() == []
+    rows = [(i, [float(i), 2.0 * i, 5.0]) for i in range(20)]  # one direction of three
+    check_whitened(whitening.whiten(spark.createDataFrame(rows, schema)).collect(), rows)
+    wide = [(i, [float(2**30 * (i % 3)), float(i)]) for i in range(500)]
+    got = whitening.whiten(spark.createDataFrame(wide, "vec_id long, embedding array<double>")).filter("component = 1").collect()
+    assert {r.deviation is None for r in got} == {True}
+
+
+def test_whitening_of_the_given_table(spark):
+    got = queries.op12_whitening(spark, "/root/testdata/sf0.001").collect()
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()
+    check_whitened(got, [(r.vec_id, r.embedding) for r in rows])

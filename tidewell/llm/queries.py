@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontam, mixing, pii, quality, rlz_dedup, sharding, simhash, suffix_dedup, toxicity, trie, warc
+from tidewell.llm import chat, decontam, mixing, pii, quality, rlz_dedup, sharding, simhash, suffix_dedup, toxicity, trie, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads=True).drop("node")
 
 
 def queries() -> dict:
-    listed = (op1_mixing, op2_decontamination, op3_toxicity, op4_pii, op5_chat_formatting, op6_suffix_array_dedup, op7_warc, op8_quality, op9_simhash, op10_substring_dedup, op11_sharding, op13_prefix_trie)
+    listed = (op1_mixing, op2_decontamination, op3_toxicity, op4_pii, op5_chat_formatting, op6_suffix_array_dedup, op7_warc, op8_quality, op9_simhash, op10_substring_dedup, op11_sharding, op12_whitening, op13_prefix_trie)
     return {f.__name__: f for f in listed}
 
 
