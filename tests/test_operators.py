@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import aggregates, classify, dedup, dictionary, embed, filters, geo, sets, windows
 from tidewell.plans import jobs
 from tidewell.sources import pages, tables
+from tidewell.sources.bucket_table import BucketTable
 from tidewell.streaming import events
 
 
@@ -123,7 +124,7 @@ def test_ingest_stream_refreshes_keys(spark, tmp_path):
     go()
     spark.createDataFrame([("a", 5, 2, 99)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     go()
-    assert sorted(map(tuple, tables.read_published(spark, root).select("k", "v", "created_at").collect())) == [("a", 5, 10), ("b", 2, 10)]
+    assert sorted(map(tuple, BucketTable(spark, root, ["k"]).read().select("k", "v", "created_at").collect())) == [("a", 5, 10), ("b", 2, 10)]
 
 
 def test_overlap_groups(spark):

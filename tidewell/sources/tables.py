@@ -1,7 +1,7 @@
 """Reading record tables, and sinks: upserts, retention, rejected rows, seeds, logs and reports.
 
-There is no table format here: an upsert returns the new table, and publish() writes it beside the old one and then moves a
-one-row pointer, so no job reads a path that it overwrites.
+There is no table format here: an upsert returns the new table, and publish() writes it beside the old one and then
+commits a manifest, so no job reads a path that it overwrites. bucket_table.py has the table that is upserted in place.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.manifest import Store
+
+#: Segments of a log after which they are written as one.
+MANY_SEGMENTS = 20
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files have fewer splits than that; larger inputs stay as they are scanned."""
@@ -68,10 +72,27 @@ def newest(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def append_events(df: DataFrame, path: str, log: DataFrame | None = None, most: int = 2000) -> DataFrame:
-    """Append and return the trimmed log."""
-    df.write.mode("append").parquet(path)
-    return newest(df.sparkSession.read.parquet(path) if log is None else log.unionByName(df), ["timestamp", "event_id"], most)
+def append_events(df: DataFrame, path: str, most: int = 2000, order: tuple = ("timestamp", "event_id")) -> DataFrame:
+    """Append to a log of numbered segments, and return its newest `most` rows.
+
+    Segments that hold none of these go from the disk, and many small segments become one, so the folder stays small.
+    """
+    store = Store(df.sparkSession, path)
+    number, state = store.latest()
+    segments = [*state.get("segments", []), [f"segment-{uuid.uuid4().hex[:12]}", 0]]
+    home = f"{store.root}/{segments[-1][0]}"
+    df.write.parquet(home)
+    segments[-1][1] = df.sparkSession.read.parquet(home).count()
+    if len(segments) > MANY_SEGMENTS or sum(n for _, n in segments[1:]) >= most:
+        name = f"segment-{uuid.uuid4().hex[:12]}"
+        newest(read_log(df.sparkSession, store.root, segments), list(order), most).write.parquet(f"{store.root}/{name}")
+        segments = [[name, df.sparkSession.read.parquet(f"{store.root}/{name}").count()]]
+    store.commit(number, {"segments": segments, "folders": [f for f, _ in segments]})
+    return newest(read_log(df.sparkSession, store.root, segments), list(order), most)
+
+
+def read_log(spark: SparkSession, root: str, segments: list) -> DataFrame:
+    return spark.read.parquet(*[f"{root}/{f}" for f, _ in segments])
 
 
 def dead_letter(df: DataFrame, error: str = "error", most: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -148,18 +169,23 @@ def report_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def publish(df: DataFrame, root: str, generation: str) -> str:
-    """Write a generation beside the others and point to it; returns the path of the rows."""
-    spark = df.sparkSession
-    path = f"{root}/generation={generation}/{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    spark.createDataFrame([(generation, path)], "active_generation string, path string").coalesce(1).write.mode("overwrite").json(f"{root}/_state")
-    return path
+def publish(df: DataFrame, root: str, generation: str, keep: int = 2) -> str:
+    """Write a generation beside the others and make it the current one; the last `keep` stay readable.
+
+    Returns the path of the rows."""
+    store = Store(df.sparkSession, root)
+    number, _ = store.latest()
+    name = f"generation={generation}/{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{store.root}/{name}")
+    store.commit(number, {"active_generation": generation, "folders": [name]}, keep)
+    return f"{store.root}/{name}"
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    state = spark.read.json(f"{root}/_state").first()
-    return spark.read.parquet(state.path)
+    number, state = Store(spark, root).latest()
+    if not number:
+        raise FileNotFoundError(f"nothing is published below {root}")
+    return spark.read.parquet(f"{root.rstrip('/')}/{state['folders'][0]}")
 
 
 def drop_children(raw: DataFrame, records: DataFrame, stale: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -100,32 +100,48 @@ def late_filter(df: DataFrame, ts: str, now: Column, days: int = 3) -> DataFrame
     return df.withColumn("is_late", F.coalesce(F.col(ts) < now - F.expr(f"INTERVAL {days} DAYS"), F.lit(False)))
 
 
-def ingest_stream(raw: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], created: str):
-    """Idempotent upserts from a stream: each batch rewrites the table beside the old one and moves a pointer.
+def ingest_stream(raw: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], created: str, buckets: int = 64):
+    """Idempotent upserts from a stream into a BucketTable: each batch rewrites the buckets of its keys only.
 
-    A repeated key refreshes its row; a batch that is replayed gives the same table.
+    A repeated key refreshes its row; a batch that is replayed changes nothing.
     """
-    from tidewell.sources.tables import publish, read_published, upsert
+    from tidewell.sources.bucket_table import BucketTable
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = read_published(spark, path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        publish(upsert(old, batch, keys, order, created).drop("status"), path, f"b{number}")
+        BucketTable(batch.sparkSession, path, keys, buckets).upsert(batch, order, created, number)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def dedupe_batch(batch: DataFrame, number: int, known: DataFrame, out_path: str, key: str, buckets: int = 64) -> None:
+    """Write the rows of a batch whose key neither the known table nor an earlier batch has, one a key, to the batch's
+    own folder. The keys written, with the number of their batch, are kept in a BucketTable beside it.
+
+    A replayed batch replaces its folder with the same rows: keys that it wrote itself do not count as seen."""
+    from tidewell.sources.bucket_table import BucketTable, bucket
+
+    spark = batch.sparkSession
+    # one row a key, the same one in a replay
+    rest = [c for c in batch.columns if c != key]
+    rows = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*") if rest else batch.dropna(subset=[key]).distinct()
+    fresh = rows.join(known.select(key), key, "left_anti")
+    seen = BucketTable(spark, f"{out_path}/_seen", [key], buckets)
+    touched = sorted(r[0] for r in fresh.select(bucket([key], seen.buckets)).distinct().collect())
+    before = seen.read(touched)
+    if before is not None:
+        fresh = fresh.join(before.filter(F.col("first_batch") < number).select(key), key, "left_anti")
+    home = f"{out_path}/batch={number}"
+    fresh.select(*batch.columns).write.mode("overwrite").parquet(home)
+    written = spark.read.schema(batch.schema).parquet(home).select(key, F.lit(number).cast("long").alias("first_batch"))
+    seen.upsert(written, ["first_batch"], "first_batch")
+
+
 def dedupe_stream(raw: DataFrame, known_path: str, out_path: str, checkpoint: str, key: str):
-    """New rows whose key neither the stored table nor the batch has had; stream against table by foreachBatch."""
+    """New rows whose key neither the stored table nor the stream has had, each exactly once, in folders by batch;
+    rows without a key are left out. out_path is read as one table with the column batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        known = batch.sparkSession.read.parquet(known_path).select(key)
-        batch.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(out_path)
+        dedupe_batch(batch, number, batch.sparkSession.read.parquet(known_path), out_path, key)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
