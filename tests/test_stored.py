@@ -98,3 +98,57 @@ def test_dedupe_stream(spark, tmp_path):
         stream = spark.readStream.schema("k long, v string").parquet(str(tmp_path / "in"))
         events.dedupe_stream(stream, str(tmp_path / "known"), str(tmp_path / "out"), str(tmp_path / "ck"), "k").awaitTermination(120)
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+# ---- text index
+
+
+def loop_search(docs, query):
+    import re
+
+    from tidewell.operators.filters import search_terms
+
+    terms, phrases, excluded = search_terms(query)
+    out = {}
+    for i, title, body in docs:
+        t = [[w for w in re.split(r"[^\w]+", (x or "").lower()) if w] for x in (title, body)]
+        runs = lambda p: any(f" {' '.join(re.findall(r'\w+', p))} " in f" {' '.join(x)} " for x in t)
+        score = sum(weight * (w in x) for weight, x in zip((10, 1), t) for w in terms)
+        if (score if terms else bool(phrases)) and all(map(runs, phrases)) and not any(w in x for x in t for w in excluded):
+            out[i] = score
+    return out
+
+
+QUERIES = ["fire", "fire road", "fire fire", '"main street"', 'fire "main street"', "fire -road", '"a b a" -fire', "nothing", "-fire", "Fire, ROAD!", '"street main" road']
+
+
+def test_index_equals_the_loop(spark, tmp_path):
+    import random
+
+    from tidewell.sources.text_index import TextIndex
+
+    rng, words, schema = random.Random(1), ["fire", "Road", "main", "street", "a", "b", "main, street", "ü", ""], "id long, title string, body string"
+    text = lambda n: rng.choice([None, " ".join(rng.choices(words, k=rng.randint(0, n)))])
+    docs = {}
+    for n in range(9):  # with FAN 4: merges into levels 1 and 2, later batches override earlier rows
+        batch = {rng.randrange(60): (text(3), text(12)) for _ in range(25)}
+        docs |= batch
+        TextIndex(spark, str(tmp_path), "id", {"title": 10, "body": 1}, 8).add(spark.createDataFrame([(i, *x) for i, x in batch.items()], schema))
+    index = TextIndex(spark, str(tmp_path), "id")
+    assert [s["level"] for s in index.state["segments"]] == [1, 1, 0]
+    gone = sorted(docs)[::5]
+    index.remove(spark.createDataFrame([(i,) for i in gone], "id long"))
+    docs = {i: x for i, x in docs.items() if i not in gone}
+    for q in QUERIES:
+        assert {r.id: r.score for r in TextIndex(spark, str(tmp_path), "id").search(q).collect()} == loop_search([(i, *x) for i, x in docs.items()], q), q
+
+
+def test_search_reads_the_buckets_of_its_tokens(spark, tmp_path):
+    from tidewell.sources.text_index import TextIndex
+
+    index = TextIndex(spark, str(tmp_path), "id", {"body": 1}, 16)
+    index.add(spark.range(300).selectExpr("id", "concat_ws(' ', 'w' || id % 50, 'x' || id % 7) AS body"))
+    plan = index.search("w3 w4")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "PushedFilters: [In(token, [w3,w4])" in plan
+    assert index.search("w3").count() == 6

@@ -632,4 +632,4 @@ def ingest_documents(t):
     return jobs.ingest(raw, t.spark.createDataFrame(KEYWORDS, "category string, keyword string"), ["function", "romance", "german", "phrase"])
 
 
-from tidewell.plans import predicates  # noqa: E402,F401  registers its queries
+from tidewell.plans import predicates, stored  # noqa: E402,F401  register their queries
