@@ -40,7 +40,7 @@ def indexed_search(t):
     root = shared_path(t.spark, "index")
     docs = t.documents.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"))
     for batch in batches(docs, "doc_id"):
-        TextIndex(t.spark, root, "doc_id", {"title": 10, "body": 1}).add(batch)
+        TextIndex(t.spark, root, "doc_id", {"title": 10, "body": 1}, 16).add(batch)
     index = TextIndex(t.spark, root, "doc_id")
     found = [index.search(q).select(F.lit(name).alias("search"), "doc_id", "score") for name, q in (("words", "queur that avec -pour"), ("phrase", 'und "and the"'))]
     return kept(found[0].unionByName(found[1]), root)
