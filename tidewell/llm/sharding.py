@@ -26,8 +26,8 @@ from tidewell.llm.common import delete_path, in_order, look_up, materialize, tex
 
 #: Bytes that a row costs beside its text.
 ROW_BYTES = 16
-#: Places of the order that are joined to the runs in one group.
-BLOCK = 1 << 16
+#: Places of the order that are joined to the runs in one group, each to each.
+BLOCK = 1 << 8
 
 
 class Bins:
