@@ -273,6 +273,18 @@ def test_whitening_equals_the_whole_decomposition(spark):
     assert [r.component for r in whitening.whiten(df, 2).filter("vec_id = 3").orderBy("component").collect()] == [1, 2]
 
 
+@pytest.mark.parametrize("fold", [0, 2])
+def test_spectrum_before_the_last_step(fold, monkeypatch):
+    """What the updates alone find, folded or vector by vector, is the decomposition already."""
+    monkeypatch.setattr(whitening, "FOLD", fold)
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(700, 20)) * np.linspace(1, 9, 20)
+    values, basis = np.zeros(20), np.eye(20)
+    for block in whitening.folded(rows):
+        values, basis = whitening.take_all(values, basis, block)
+    assert np.allclose(scatter(values, basis), rows.T @ rows, atol=1e-7) and np.allclose(values, np.linalg.eigvalsh(rows.T @ rows), rtol=1e-9)
+
+
 def test_whitening_of_flat_and_empty_tables(spark):
     schema = "vec_id long, embedding array<float>"
     for rows in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0])]):

@@ -1,8 +1,9 @@
 """Operator 12: whitening of embeddings by an incremental eigendecomposition.
 
 Entries become whole numbers, so counts and sums are exact and every vector is centred with the exact mean before
-anything is multiplied. Each task keeps the spectrum of the scatter of its vectors and takes one vector after the other
-as a rank-one update: entries of the update that do not matter are deflated, the new eigenvalues are the roots of the
+anything is multiplied. Each task keeps the spectrum of the scatter of its vectors. FOLD centred vectors for each dimension
+are turned into a triangle of as many rows as dimensions, whose scatter is theirs, and each row is taken as a rank-one
+update: entries of the update that do not matter are deflated, the new eigenvalues are the roots of the
 secular equation, and the eigenvectors follow from the roots (after Gu and Eisenstat, so they stay orthogonal). Spectra
 of tasks are merged FAN_IN at a time by taking the scaled eigenvectors of one as updates of another. What rounding has
 spoiled in many updates is mended by a Rayleigh-Ritz step: the covariance is projected on the basis in one more pass, and
@@ -28,6 +29,8 @@ from tidewell.llm.common import delete_path, materialize
 SCALE, OFFSET, LARGEST = 64, 1_000_000, 2.0**40
 #: Spectra that one task merges.
 FAN_IN = 16
+#: Vectors for each dimension that are folded into one triangle; 0 takes every vector as an update of its own.
+FOLD = 32
 #: Updates after which a basis is made orthonormal again.
 REPAIR = 512
 EPS = float(np.finfo(float).eps)
@@ -115,6 +118,15 @@ def take_all(values: np.ndarray, basis: np.ndarray, rows: np.ndarray) -> tuple[n
     return values, orthonormal(basis)
 
 
+def folded(rows: np.ndarray):
+    """Blocks of rows as triangles with the same scatter."""
+    size = rows.shape[1]
+    step = FOLD * size or len(rows) or 1
+    for at in range(0, len(rows), step):
+        block = rows[at : at + step]
+        yield np.linalg.qr(block, mode="r") if FOLD and len(block) > size else block
+
+
 def orthonormal(basis: np.ndarray) -> np.ndarray:
     """The basis with the rounding of its angles removed; columns keep their direction."""
     q, r = np.linalg.qr(basis)
@@ -171,7 +183,8 @@ def fit(vectors: DataFrame, components: int = 32) -> dict | None:
             rows, times = np.unique(whole_numbers(b.column(0), size), axis=0, return_counts=True)
             some |= len(rows) > 0
             rows = ((rows - high) - rest) * np.sqrt(times)[:, None]  # equal vectors of a batch are one longer one
-            values, basis = take_all(values, basis, rows)
+            for block in folded(rows):
+                values, basis = take_all(values, basis, block)
         if some:
             yield pa.RecordBatch.from_pydict(packed(values, basis))
 
