@@ -63,18 +63,104 @@ def test_leaders_equal_the_sequential_loop(spark):
 
 
 def test_leaders_of_a_long_chain(spark):
-    chain = spark.range(149).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.7).alias("score"))
-    got = {r.id: r.leader for r in dedup.leaders(chain, spark.range(150), "id").collect()}
-    assert got == {i: i - i % 2 for i in range(150)}
+    chain = spark.range(1, 150).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.lit(0.7).alias("score"))
+    ids, tracker = spark.range(150), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {r.id: r.leader for r in dedup.leaders(chain, ids, "id").collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: i - i % 2 for i in range(150)} and len(tracker.getJobIdsForGroup("chain")) < 10
     with pytest.raises(ValueError):
         dedup.leaders(spark.createDataFrame([(1, 1, 0.7)], "a long, b long, score double"), spark.range(3), "id")
 
 
+def test_leaders_of_small_and_large_components(spark):
+    rng = random.Random(9)
+    pairs = {(a, a + 1) for a in range(30)} | {tuple(sorted(rng.sample(range(40, 200), 2))) for _ in range(110)}
+    scored = [(a, b, rng.randint(0, 3) / 3) for a, b in sorted(pairs)]
+    lead: dict[int, int] = {}
+    for i in range(210):
+        near = [(s, -a) for a, b, s in scored if b == i and lead[a] == a]
+        lead[i] = -max(near)[1] if near else i
+    df = spark.createDataFrame(scored, "a long, b long, score double")
+    for bound in (200_000, 20, 0):
+        assert {r.id: r.leader for r in dedup.leaders(df, spark.range(210), "id", bound).collect()} == lead
+
+
+def test_components_of_chains_hubs_and_loops(spark):
+    from tidewell.operators import components
+
+    rng = random.Random(10)
+    edges = [(i, i + 1) for i in range(0, 2000)] + [(5000, 5000 + i) for i in range(700)] + [(9000, 9000)] + [tuple(rng.sample(range(10_000, 10_300), 2)) for _ in range(150)]
+    rng.shuffle(edges)
+    rounds, plain = [], components.star_round
+    components.star_round = lambda e: (rounds.append(1), plain(e))[1]
+    try:
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        components.star_round = plain
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in root} and len(rounds) < 15
+
+
 def test_overlap_groups_of_a_long_chain(spark):
-    pts = spark.range(215).select("id", F.lit(0.0).alias("lat"), (F.col("id") * 0.0008).alias("lng"))
+    pts = spark.range(2000).select("id", F.lit(0.0).alias("lat"), (F.col("id") * 0.0008).alias("lng"))
     assert geo.overlap_groups(pts, "id", "lat", "lng", 100.0).agg(F.max("group_id")).first()[0] == 0
 
 
+def test_pivots_skip_pairs_and_lose_none(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8))
+    v = np.vstack([np.repeat(centres, 30, axis=0) + 0.1 * rng.normal(size=(1200, 8)), np.repeat(centres[:1], 100, axis=0), np.zeros((3, 8))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    m = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(m @ m.T >= 0.95)) if i < j}
+    for block in (2000, 50):
+        assert {(r.a, r.b) for r in dedup.semantic_duplicates(df, "id", "v", 0.95, block=block).collect()} == want
+    seen = dedup.pruning(df, "id", "v", 0.95, 30).first()
+    assert seen.all_pairs == 1300 * 1299 // 2 and len(want) <= seen.compared < seen.all_pairs / 3
+    found = {(r.a, r.b) for r in dedup.semantic_duplicates(df, "id", "v", 0.95, planes=6).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_order_statistic_equals_sorting(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "LAST_VALUES", 10)
+    monkeypatch.setattr(aggregates, "BINS", 7)
+    rng = random.Random(2)
+    for values in ([rng.random() for _ in range(500)], [1.0] * 300 + [2.0] * 5, [10.0**k for k in range(-20, 20)] * 3, [float(rng.randint(0, 3)) for _ in range(200)], [5.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+        for rank in {1, 2, len(values) // 2 + 1, len(values)} - {0}:
+            if rank <= len(values):
+                assert aggregates.order_statistic(df, "v", rank) == sorted(values, reverse=True)[rank - 1]
+        assert aggregates.order_statistic(df, "v", len(values) + 1) is None
+
+
+def test_merge_gathers_no_bodies(spark):
+    from tidewell.operators import merge
+
+    rows = [("k", i, f"r{i}", c, f, [s], b, "", g, p, x, None, None) for i, (c, f, s, b, g, p, x) in enumerate([
+        ("a", 0.5, "S", "x", "pending", None, None), ("a", 0.9, "s", "yy", "approximate", "x road", 1.0), ("b", 0.7, "T", "zz", "approximate", "y", 1.0), ("unknown", 0.99, " ", "z", "failed", "z", 2.0), ("a", 0.9, "t", "", None, None, None),
+    ])] + [("one", 0, "q", None, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "key string, rank int, id string, category string, confidence double, source_list array<string>, body string, summary string, geocode_status string, location_text string, lat double, lng double, district string")
+    out = merge.merge_groups(df, "key", "rank", "id", ["b", "a"])
+    got = {r.key: r for r in out.collect()}
+    k = got["k"]
+    assert (k.n, k.id, k.category, k.confidence, k.source_list, k.body, k.geocode_status, k.location_text) == (5, "r0", "a", 0.9, ["S", "T"], "yy", "approximate", "x road")
+    assert (got["one"].category, got["one"].confidence, got["one"].source_list, got["one"].body) == ("unknown", 0.0, [], "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(body" not in plan and "collect_list(struct(body" not in plan
+
+
 def test_rate_limit_batch_equals_stream(spark, tmp_path):
     rng = random.Random(6)
     rows = [(f"c{rng.randint(0, 3)}", float(rng.randint(0, 400)), i) for i in range(300)]

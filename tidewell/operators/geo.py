@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.keys import geo_query_key
 from tidewell.functions.text import fold
+from tidewell.operators.components import connected_components
 from tidewell.operators.filters import in_bbox
 
 EARTH = 6_371_008.8
@@ -94,22 +95,16 @@ def overlap_groups(df: DataFrame, id_col: str, lat: str, lng: str, eps: float, l
     """(id, group): points closer than eps metres are one group, transitively; the least id names it.
 
     Points fall into cells whose diagonal is eps, so all points of a cell are linked at once; cells are then linked
-    where two of their points are near, and labels spread over cells, a checkpoint each round, until none moves.
+    where two of their points are near, and the components of the cells are the groups.
     """
     side = eps / math.sqrt(2) * 0.999999
     x, y = metres(F.col(lat), F.col(lng), lat0)
-    pts = df.select(F.col(id_col).alias("id"), x.alias("x"), y.alias("y")).withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    pts = df.select(F.col(id_col).alias("id"), x.alias("x"), y.alias("y")).withColumn("cell", F.struct(F.floor(F.col("x") / side).alias("x"), F.floor(F.col("y") / side).alias("y")))
     near = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
-    around = pts.select("x", "y", "cx", "cy", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])).alias("d"))
-    around = around.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("acx"), F.col("cy").alias("acy"), (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    hit = around.join(pts.select("x", "y", "cx", "cy"), ["cx", "cy"]).filter((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2 < eps * eps)
-    edges = hit.select("acx", "acy", "cx", "cy").distinct()
-    edges = edges.unionByName(edges.select(F.col("cx").alias("acx"), F.col("cy").alias("acy"), F.col("acx").alias("cx"), F.col("acy").alias("cy"))).checkpoint()
-    label = pts.groupBy("cx", "cy").agg(F.min("id").alias("label")).checkpoint()
-    while True:
-        low = edges.join(label, ["cx", "cy"]).groupBy(F.col("acx").alias("cx"), F.col("acy").alias("cy")).agg(F.min("label").alias("low"))
-        new = label.join(low, ["cx", "cy"], "left").select("cx", "cy", F.least("label", F.coalesce("low", "label")).alias("label"), (F.coalesce("low", "label") < F.col("label")).alias("moved")).checkpoint()
-        label = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            break
-    return pts.join(label, ["cx", "cy"]).select(F.col("id").alias(id_col), F.col("label").alias("group_id"))
+    places = pts.select("x", "y", "cell").distinct()
+    around = places.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cell").alias("a"), F.explode(F.array(*[F.struct((F.col("cell.x") + i).alias("x"), (F.col("cell.y") + j).alias("y")) for i, j in near])).alias("cell"))
+    hit = around.join(places, "cell").filter((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2 < eps * eps)
+    parts = connected_components(hit.select("a", F.col("cell").alias("b")).distinct().checkpoint())
+    cells = pts.groupBy("cell").agg(F.min("id").alias("least")).join(parts.withColumnRenamed("node", "cell"), "cell", "left").withColumn("component", F.coalesce("component", "cell"))
+    names = cells.groupBy("component").agg(F.min("least").alias("group_id"))
+    return pts.join(cells.join(names, "component").select("cell", "group_id"), "cell").select(F.col("id").alias(id_col), "group_id")

@@ -2,52 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scores import category_priority, geocode_rank, place_specificity
-from tidewell.operators.sets import merge_sources
 
 FIELDS = ("category", "confidence", "source_list", "body", "summary", "geocode_status", "location_text", "lat", "lng", "district")
 
 
+def best_category(rows: DataFrame, key: str, categories: list[str]) -> DataFrame:
+    """(key, category, confidence) after the rows of a key are merged in order of rank: a known category replaces
+    unknown; else another one of higher confidence, or of equal confidence and better priority.
+
+    A row that repeats the row before it can change nothing, so only the changes along the rank are gathered: one for a
+    group of copies, whatever its size."""
+    w = Window.partitionBy(key).orderBy("rank")
+    same = F.lag("category").over(w).eqNullSafe(F.col("category")) & F.lag("confidence").over(w).eqNullSafe(F.col("confidence"))
+    steps = rows.select(key, "rank", "category", "confidence", category_priority("category", categories).alias("priority")).withColumn("same", same).filter("NOT same")
+    groups = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "category", "confidence", "priority"))).alias("g"))
+
+    def better(acc, x):
+        surer = (x["confidence"] > acc["confidence"] + 1e-9) | ((F.abs(x["confidence"] - acc["confidence"]) <= 1e-9) & (x["priority"] < acc["priority"]))
+        return (x["category"] != "unknown") & ((acc["category"] == "unknown") | ((x["category"] != acc["category"]) & surer))
+
+    best = F.aggregate("g", F.get("g", F.lit(0)), lambda acc, x: F.when(better(acc, x), x).otherwise(acc))
+    return groups.select(key, best.alias("b")).select(key, "b.category", "b.confidence")
+
+
 def merge_groups(df: DataFrame, key: str, rank: str, id_col: str, categories: list[str]) -> DataFrame:
     """One row per key: the record of least rank with the others merged in, in order of rank.
 
-    Category: a known one replaces unknown; else a higher confidence, or an equal one of better priority. Longer body
-    and summary win. The place moves as a block: better state, then a point, then a more specific text.
-    Only what a merge needs is gathered per key; equal hashes make small groups after exact copies are dropped.
+    Category as best_category(). Longer body and summary win, the earlier of equal ones. The place moves as a block:
+    better state, then a point, then a more specific text. Sources are united in order, without regard to case. Bodies
+    and places are maxima that combine before the shuffle; nothing but sources and category changes is gathered.
     """
-    rows = df.select(
-        key, F.struct(
-            F.col(rank).alias("rank"), F.col(id_col).alias("id"), F.coalesce("category", F.lit("unknown")).alias("category"), F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"),
-            category_priority("category", categories).alias("priority"), F.coalesce("source_list", F.array().cast("array<string>")).alias("source_list"),
-            F.coalesce("body", F.lit("")).alias("body"), F.coalesce("summary", F.lit("")).alias("summary"),
-            F.struct(geocode_rank("geocode_status").alias("rank"), F.col("lat").isNotNull().cast("int").alias("point"), place_specificity("location_text").alias("detail"),
-                     F.col("geocode_status").alias("geocode_status"), F.col("location_text").alias("location_text"), F.col("lat").alias("lat"), F.col("lng").alias("lng"), F.col("district").alias("district")).alias("place"),
-        ).alias("r"),
-    )
-    groups = rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("g"))
-
-    def fold(acc, x):
-        better = ((acc["category"] == "unknown") & (x["category"] != "unknown")) | (
-            (x["category"] != "unknown") & (x["category"] != acc["category"])
-            & ((x["confidence"] > acc["confidence"] + 1e-9) | ((F.abs(x["confidence"] - acc["confidence"]) <= 1e-9) & (x["priority"] < acc["priority"])))
-        )
-        above = lambda a, b: F.struct(a["rank"], a["point"], a["detail"]) > F.struct(b["rank"], b["point"], b["detail"])
-        pick = lambda name: F.when(better, x[name]).otherwise(acc[name]).alias(name)
-        longer = lambda name: F.when(F.length(x[name]) > F.length(acc[name]), x[name]).otherwise(acc[name]).alias(name)
-        return F.struct(
-            acc["rank"].alias("rank"), acc["id"].alias("id"), pick("category"), pick("confidence"), pick("priority"),
-            merge_sources(acc["source_list"], x["source_list"]).alias("source_list"), longer("body"), longer("summary"),
-            F.when(above(x["place"], acc["place"]), x["place"]).otherwise(acc["place"]).alias("place"),
-        )
-
-    # one generic cast so that the fold's types agree whatever is nullable
-    first = F.get("g", F.lit(0))
-    merged = groups.select(key, F.size("g").alias("n"), F.aggregate(F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))), first, fold).alias("m"))
-    place = [F.col(f"m.place.{c}").alias(c) for c in ("geocode_status", "location_text", "lat", "lng", "district")]
-    return merged.select(key, "n", F.col("m.id").alias(id_col), "m.category", "m.confidence", "m.source_list", "m.body", "m.summary", *place)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    place = F.struct("geocode_status", "location_text", "lat", "lng", "district")
+    standing = F.struct(geocode_rank("geocode_status").alias("a"), F.col("lat").isNotNull().cast("int").alias("b"), place_specificity("location_text").alias("c"), -F.col(rank))
+    longest = lambda c: F.max_by(text(c), F.struct(F.length(text(c)), -F.col(rank))).alias(c)
+    merged = df.groupBy(key).agg(F.count("*").alias("n"), F.min_by(id_col, rank).alias(id_col), longest("body"), longest("summary"), F.max_by(place, standing).alias("place"))
+    known = df.select(key, F.col(rank).alias("rank"), F.coalesce("category", F.lit("unknown")).alias("category"), F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"))
+    named = df.select(key, F.col(rank).alias("_rank"), F.posexplode("source_list").alias("_at", "_name")).withColumn("_name", F.trim("_name")).filter("_name <> ''")
+    first = named.groupBy(key, F.lower("_name").alias("_lower")).agg(F.min(F.struct("_rank", "_at", "_name")).alias("_first"))
+    sources = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("_first")), lambda f: f["_name"]).alias("source_list"))
+    out = merged.join(best_category(known, key, categories), key).join(sources, key, "left")
+    sources = F.coalesce("source_list", F.array().cast("array<string>")).alias("source_list")
+    return out.select(key, F.col("n").cast("int").alias("n"), id_col, "category", "confidence", sources, "body", "summary", "place.*")
 
 
 def merge_report(df: DataFrame, key: str) -> DataFrame:

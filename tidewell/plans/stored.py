@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.scores import GEOCODE_RANK
+from tidewell.operators import geo, merge
 from tidewell.plans.registry import query
 from tidewell.sources import tables
 from tidewell.sources.bucket_table import BucketTable
@@ -78,3 +80,42 @@ def bounded_log(t):
     for batch in batches(t.events.select("event_id", "ts"), "event_id"):
         out = tables.append_events(batch, root, 500, ("ts", "event_id"))
     return kept(out, root)
+
+
+METRE = 6_371_008.8
+CUSTOMER_POINTS = "SELECT c_custkey AS id, 40 + (c_custkey * 37 % 1000) / 1000.0 AS lat, 29 + (c_custkey * 91 % 997) / 1000.0 AS lng FROM customer"
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT id, radians(CAST(lng AS DOUBLE)) * cos(radians(40.5)) * {METRE} AS x, radians(CAST(lat AS DOUBLE)) * {METRE} AS y FROM ({CUSTOMER_POINTS})),
+  e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) < 900 AND abs(a.y - b.y) < 900 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 900.0 ** 2),
+  r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+  SELECT a AS id, min(b) AS group_id FROM r GROUP BY a""")
+def overlap_groups(t):
+    """Customers closer than 900 m, transitively."""
+    pts = t.customer.select(F.col("c_custkey").alias("id"), (40 + (F.col("c_custkey") * 37 % 1000) / 1000.0).alias("lat"), (29 + (F.col("c_custkey") * 91 % 997) / 1000.0).alias("lng"))
+    return geo.overlap_groups(pts, "id", "lat", "lng", 900.0, 40.5)
+
+
+CATEGORIES = ["en", "de", "fr", "es"]
+MERGE_SQL = """WITH d AS (SELECT source, doc_id AS rank, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE lang END AS category, CAST(doc_id * 7 % 10 AS DOUBLE) / 10 AS confidence,
+    list_position(['en', 'de', 'fr', 'es'], CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE lang END) AS p, sha256(text) AS body, n_chars AS size, length(text) AS len,
+    doc_id * 13 % 5 AS state, doc_id % 5 > 1 AS point, lang || doc_id AS place FROM documents WHERE source IS NOT NULL),
+  g AS (SELECT source, count(*) AS n, min(rank) AS record_id, list({'category': category, 'confidence': confidence, 'p': coalesce(p, 99)} ORDER BY rank) AS l,
+    arg_max(body, (len, -rank)) AS body_sha, arg_max({'s': state, 't': CASE WHEN point THEN place END, 'u': point}, (state, point, CASE WHEN point THEN 1 ELSE -1 END, -rank)) AS b FROM d GROUP BY source),
+  f AS (SELECT *, list_reduce(l, lambda a, x: CASE WHEN x.category <> 'unknown' AND (a.category = 'unknown' OR (x.category <> a.category AND (x.confidence > a.confidence + 1e-9 OR (abs(x.confidence - a.confidence) <= 1e-9 AND x.p < a.p)))) THEN x ELSE a END) AS c FROM g)
+  SELECT source, CAST(n AS INTEGER) AS n, record_id, c.category AS category, c.confidence AS confidence, body_sha, b.t AS location_text, b.u AS has_point, CAST(b.s AS INTEGER) AS state FROM f"""
+
+
+@query(MERGE_SQL)
+def merge_fields(t):
+    """All documents of a source as one record: categories that promote each other, places of all states."""
+    states = F.array(*[F.lit(s) for s in sorted(GEOCODE_RANK, key=GEOCODE_RANK.get)])
+    point = F.col("doc_id") % 5 > 1
+    rows = t.documents.filter("source IS NOT NULL").select(
+        "source", F.col("doc_id").alias("rank"), F.col("doc_id").alias("record_id"), F.when(F.col("doc_id") % 3 == 0, "unknown").otherwise(F.col("lang")).alias("category"), (F.col("doc_id") * 7 % 10 / 10).alias("confidence"),
+        F.array("source").alias("source_list"), F.col("text").alias("body"), F.left("text", F.lit(100)).alias("summary"), F.element_at(states, (F.col("doc_id") * 13 % len(GEOCODE_RANK) + 1).cast("int")).alias("geocode_status"),
+        F.when(point, F.concat("lang", F.col("doc_id").cast("string"))).alias("location_text"), F.when(point, 40.0).alias("lat"), F.when(point, 29.0).alias("lng"), F.lit(None).cast("string").alias("district"),
+    )
+    out = merge.merge_groups(rows, "source", "rank", "record_id", CATEGORIES)
+    state = (F.array_position(states, F.col("geocode_status")) - 1).cast("int")
+    return out.select("source", "n", "record_id", "category", "confidence", F.sha2("body", 256).alias("body_sha"), "location_text", F.col("lat").isNotNull().alias("has_point"), state.alias("state"))
