@@ -70,3 +70,18 @@ def test_district_at_the_start_and_neighborhood(spark):
     assert values(spark, text.embedded_district("s", ["Gebze", "Izmit"]), rows) == ["Izmit", None, None, "Gebze", None, None]
     rows = [" Kent mahallesi ", "Kent Mah.5", "Kent Mah. 5", "mahallelik", None, ""]
     assert values(spark, text.extract_neighborhood("s", ["mahallesi", "mahalle", "mah."]), rows) == ["Kent mahallesi", "Kent Mah.5", None, None, None, None]
+
+
+def test_fold_is_the_decomposition_without_marks(spark):
+    import unicodedata
+
+    from tidewell.operators.dictionary import fold_plain
+
+    chars = [chr(i) for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00), (0x400, 0x460), (0xFB00, 0xFB07)) for i in range(lo, hi)] + ["Český Őr ﬁn", "İI ıi", "a’b-c  d\u0301", "ŉ ĳ ǆ"]
+    got = dict(spark.createDataFrame([(c,) for c in chars], "c string").select("c", text.fold("c").alias("f")).collect())
+    for c in chars:
+        want = "".join(x for x in unicodedata.normalize("NFKD", c.replace("ı", "i")) if not unicodedata.combining(x)).lower()
+        if len(c) == 1:
+            assert got[c] == want.strip(), (hex(ord(c)), got[c], want)
+        assert got[c] == fold_plain(c), (c, got[c], fold_plain(c))
+    assert got["Český Őr ﬁn"] == "cesky or fin" and got["a’b-c  d\u0301"] == "ab c d"

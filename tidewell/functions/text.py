@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,9 +26,19 @@ CASE_SUFFIXES = (
     "ni nı nu nü yi yı yu yü nin nın nun nün in ın un ün yle yla le la ler lar"
 ).split()
 
-#: Letters that fold to ASCII, pairwise.
-FOLD_FROM = "İIıÇçĞğÖöŞşÜüÂâÎîÛûÀÁÃÄÅàáãäåÈÉÊËèéêëÌÍÏìíïÑñÒÓÔÕòóôõÙÚùúÝýÿ"
-FOLD_TO = "IIiCcGgOoSsUuAaIiUuAAAAAaaaaaEEEEeeeeIIIiiiNnOOOOooooUUuuYyy"
+
+
+def plain(char: str) -> str:
+    """A character decomposed for comparison, without marks; dotless i is an i."""
+    return "i" if char == "\u0131" else "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+
+
+#: Letters of the scripts that put marks on letters (Latin, Greek, Cyrillic, and the presentation forms of Latin), with
+#: what they decompose to: one character goes into one translation, several are replaced one by one.
+LETTERS = [c for lo, hi in ((0xAA, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0xFB00, 0xFB07)) for c in map(chr, range(lo, hi)) if c.isalpha() and plain(c) not in (c, "")]
+FOLD_FROM = "".join(c for c in LETTERS if len(plain(c)) == 1)
+FOLD_TO = "".join(plain(c) for c in FOLD_FROM)
+EXPANSIONS = {c: plain(c) for c in LETTERS if len(plain(c)) > 1}
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -58,8 +69,13 @@ def clean_text(c) -> Column:
 
 
 def fold(c) -> Column:
-    """Comparison form: ASCII letters where known, no apostrophes, lower case, hyphens as spaces, single spaces."""
+    """Comparison form: letters without marks, no apostrophes, lower case, hyphens as spaces, single spaces."""
     text = F.translate(as_column(c), FOLD_FROM, FOLD_TO)
+    spelled = text
+    for letter, letters in EXPANSIONS.items():
+        spelled = F.replace(spelled, F.lit(letter), F.lit(letters))
+    # few texts have such a letter: the others are not copied
+    text = F.when(text.rlike(f"[{''.join(EXPANSIONS)}]"), spelled).otherwise(text)
     text = F.lower(F.regexp_replace(text, "[’']", ""))
     text = F.replace(F.regexp_replace(text, r"\p{M}", ""), F.lit("-"), F.lit(" "))
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
