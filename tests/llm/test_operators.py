@@ -123,6 +123,13 @@ def test_automaton_is_small():
     assert n == 50 and hit.all() and found == {"1"}
 
 
+def test_automaton_of_items_that_share_a_header():
+    head, rng = [f"h{i}".encode() for i in range(12)], random.Random(1)
+    auto = decontam.ItemAutomaton([(str(i), head + [f"w{rng.randrange(50_000)}".encode() for _ in range(20)]) for i in range(8000)], 10)
+    assert len(auto.members) == 8000 * 23 and auto.members.nbytes + auto.first.nbytes < 3_000_000
+    assert auto.match(b" ".join(head))[2] == {str(i) for i in range(8000)}
+
+
 CLASH = ["n_words", "hits", "items", "doc", "base", "added", "all", "candidates", "fresh", "score", "_text", "th", "size", "salt", "n"]
 
 
@@ -281,6 +288,36 @@ def test_pii_in_other_writings(spark):
     assert sum(bool(got[n + len(planted) + i]) for i in range(len(plain))) <= 2
 
 
+def cut_spans(text, spans):
+    """The text with the spans kind:start:end replaced, overlapping ones as one, named after the first."""
+    out, at = [], 0
+    for lo, hi, kind in sorted((int(a), int(b), k.upper()) for k, a, b in (x.split(":") for x in spans.split(",") if x)):
+        if hi > at:
+            out.append("" if lo < at else text[at:lo] + f"[{kind}]")
+            at = hi
+    return "".join(out) + text[at:]
+
+
+def test_pii_of_long_lists(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"né{i}@mail{i % 97}.org 55{i:05d}12\U0001f600 (0{i}) 1.2.3.{i % 400}" for i in range(12_000))]
+    texts += [" ".join(rng.choice(["a.b@c.de", "4111 1111 1111 1111", "+49 30 1234567", "tel 0301234567", "é", "10.0.0.1", "x [at] y [dot] z", "token abcdefghijklmnopqrstuvwxyz12"]) for _ in range(rng.choice([3, 70, 200]))) for _ in range(40)]
+    df = docs(spark, texts)
+    model = {kind: ([(1.0, 1.0)], 0.5) for kind in pii.GENERATORS}  # takes every candidate
+    rows = pii.spans(df.select("doc_id", "text"), model).select("doc_id", pii.listed("base").alias("base"), pii.listed("base", "added").alias("spans"), F.array_sort(F.expr("transform(added, x -> struct(x.start, x.end))")).alias("added")).collect()
+    clean = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+    for r in rows:
+        assert r.base == ",".join(base_spans(texts[r.doc_id]))
+        assert clean[r.doc_id] == cut_spans(texts[r.doc_id], r.spans)
+        base = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in r.base.split(",") if x))
+        import bisect
+
+        for a, b in r.added[:500]:
+            k = bisect.bisect_left(base, (b, -1))
+            assert not any(x < b and a < y for x, y in base[max(0, k - 8) : k + 1])
+    assert "@" not in clean[0] and any(r.added for r in rows)
+
+
 # ---- 5
 
 

@@ -37,7 +37,8 @@ class ItemAutomaton:
     """Suffix automaton of several word sequences, with the items of each window-long or whole-item match.
 
     States are numbers into flat arrays of 32-bit integers; nearly all have one way on, which is in the arrays too, and
-    only the others have a dictionary. Item sets are shared: a state has the number of one.
+    only the others have a dictionary. A window's items are a run of one flat array, so all of them together take no more
+    than the words of the items, however many share a window.
     """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
@@ -55,32 +56,37 @@ class ItemAutomaton:
                 for c in ids:
                     last = self._extend(last, c)
         self.least = min([window, *(len(ids) for _, ids in coded)])
-        sets: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
-
-        def with_name(number: int, name: str) -> int:
-            names = (self.sets[number] if number >= 0 else frozenset()) | {name}
-            if names not in sets:
-                sets[names] = len(self.sets)
-                self.sets.append(names)
-            return sets[names]
-
-        self.items = array("i", [-1]) * len(self.link)  # of the window that a state stands for
-        self.whole: dict[int, dict[int, int]] = {}  # state of a whole short item -> its length -> items
-        for name, ids in coded:
+        self.names = [name for name, _ in coded]
+        groups, members, n = array("i"), array("i"), 0  # pairs of a group and an item that is in it
+
+        def joined(group: int, item: int) -> int:
+            nonlocal n
+            if group < 0:
+                group, n = n, n + 1
+            groups.append(group)
+            members.append(item)
+            return group
+
+        self.items = array("i", [-1]) * len(self.link)  # of the window that a state stands for: its group
+        self.whole: dict[int, dict[int, int]] = {}  # state of a whole short item -> its length -> group
+        for item, (_, ids) in enumerate(coded):
             if len(ids) < window:
                 state = 0
                 for c in ids:
                     state = self.step(state, c)
                 ends = self.whole.setdefault(state, {})
-                ends[len(ids)] = with_name(ends.get(len(ids), -1), name)
+                ends[len(ids)] = joined(ends.get(len(ids), -1), item)
                 continue
             state = size = 0
             for c in ids:
                 state, size = self.step(state, c), size + 1
                 state, size = self._shorten(state, min(size, window))
                 if size == window:
-                    self.items[state] = with_name(self.items[state], name)
+                    self.items[state] = joined(self.items[state], item)
+        # the items of group g are members[first[g]:first[g + 1]]; an item is there once for each window
+        order = np.argsort(np.frombuffer(groups, np.int32), kind="stable") if n else np.zeros(0, np.int64)
+        self.members = np.frombuffer(members, np.int32)[order] if n else np.zeros(0, np.int32)
+        self.first = np.searchsorted(np.frombuffer(groups, np.int32)[order], np.arange(n + 1)) if n else np.zeros(1, np.int64)
         # the nearest state on the way up the links that ends a whole short item
         self.up = array("i", [-1]) * len(self.link)
         if self.whole:
@@ -136,8 +142,8 @@ class ItemAutomaton:
             state = self.link[state]
         return state, size
 
-    def scan(self, ids: list[int], hit: np.ndarray, at: int, found: set[str]) -> None:
-        """Stream ids, which stand at `at` in the document; mark hit words and collect items."""
+    def scan(self, ids: list[int], hit: np.ndarray, at: int, found: set[int]) -> None:
+        """Stream ids, which stand at `at` in the document; mark hit words and collect groups of items."""
         step, link, length, up, window = self.step, self.link, self.length, self.up, self.window
         state = size = 0
         for i, c in enumerate(ids):
@@ -152,13 +158,13 @@ class ItemAutomaton:
             state, size = to, size + 1
             if size >= window:
                 hit[at + i - size + 1 : at + i + 1] = True
-                found |= self.sets[self.items[self._shorten(state, window)[0]]]
+                found.add(self.items[self._shorten(state, window)[0]])
             short = up[state]
             while short > 0:
-                for n, names in self.whole[short].items():
+                for n, group in self.whole[short].items():
                     if n <= size:
                         hit[at + i - n + 1 : at + i + 1] = True
-                        found |= self.sets[names]
+                        found.add(group)
                 short = up[link[short]] if link[short] > 0 else -1
 
     def match(self, raw: bytes) -> tuple[int, np.ndarray, set[str]]:
@@ -172,7 +178,10 @@ class ItemAutomaton:
         long = ends - starts >= self.least
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             self.scan(ids[a:b].tolist(), hit, a, found)
-        return n, hit, found
+        some = np.zeros(len(self.names), bool)
+        for g in found:
+            some[self.members[self.first[g] : self.first[g + 1]]] = True
+        return n, hit, {self.names[k] for k in np.flatnonzero(some)} if found else set()
 
 
 def block_count(rows: DataFrame, block_words: int) -> int:
