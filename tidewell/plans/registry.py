@@ -208,22 +208,35 @@ def extract_articles(t):
     return page_job.extract_articles(t.pages)
 
 
-@query(r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS x, generate_subscripts(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), 1) AS pos FROM pages),
-  c AS (SELECT page_id, pos, trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM p)
-  SELECT page_id, sha256(string_agg(x, chr(10) ORDER BY pos)) AS content_sha FROM c WHERE length(x) >= 20 AND x NOT LIKE '%&%' GROUP BY page_id""")
-def select_paragraphs(t):
-    found = F.posexplode(F.regexp_extract_all("html", F.lit(HTML_PARAGRAPH), 1)).alias("pos", "raw")
-    rows = t.pages.select("page_id", found).select("page_id", "pos", keys.html_to_text("raw").alias("text"), F.lit("").alias("title"), "raw").filter(~F.contains("raw", F.lit("&")))
-    return page_job.select_paragraphs(rows.drop("raw"), []).select("page_id", F.sha2("content", 256).alias("content_sha"))
+FOLD_SQL = "trim(regexp_replace(replace(lower(regexp_replace(translate({0}, '" + text.FOLD_FROM + "', '" + text.FOLD_TO + "'), '[’'']', '', 'g')), '-', ' '), '\\s+', ' ', 'g'))"
+
+
+def html_sql(html: str) -> str:
+    """keys.html_to_text() in SQL."""
+    out = f"regexp_replace(regexp_replace({html}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{sign}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
 #: A paragraph with one of these ends an article; this one closes many of the pages.
 STOP_PHRASES = ["the and attion to thanedble"]
+PARAGRAPHS = f"""WITH p AS (SELECT page_id, html, unnest(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS x, generate_subscripts(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), 1) AS pos FROM pages),
+  c AS (SELECT page_id, pos, {html_sql("x")} AS x, {{title}} AS title FROM p),
+  s AS (SELECT *, min(pos) FILTER ({{stop}}) OVER (PARTITION BY page_id) AS last FROM c)
+  SELECT page_id, sha256(string_agg(x, chr(10) ORDER BY pos)) AS content_sha FROM s WHERE (last IS NULL OR pos < last) AND length(x) >= 20 AND {FOLD_SQL.format("x")} IS DISTINCT FROM {FOLD_SQL.format("title")} GROUP BY page_id"""
 
 
-@query()
+@query(PARAGRAPHS.format(title="''", stop="false"))
+def select_paragraphs(t):
+    found = F.posexplode(F.regexp_extract_all("html", F.lit(HTML_PARAGRAPH), 1)).alias("pos", "raw")
+    rows = t.pages.select("page_id", found).select("page_id", "pos", keys.html_to_text("raw").alias("text"), F.lit("").alias("title"))
+    return page_job.select_paragraphs(rows, []).select("page_id", F.sha2("content", 256).alias("content_sha"))
+
+
+@query(PARAGRAPHS.format(title=html_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"), stop=f"regexp_matches({FOLD_SQL.format('x')}, '{STOP_PHRASES[0]}')"))
 def select_all_paragraphs(t):
-    """The whole job of select_paragraphs, whose SQL leaves paragraphs with an entity, titles and stop phrases out."""
+    """With titles and stop phrases."""
     found = F.posexplode(F.regexp_extract_all("html", F.lit(HTML_PARAGRAPH), 1)).alias("pos", "raw")
     title = keys.html_to_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
     rows = t.pages.select("page_id", title.alias("title"), found).select("page_id", "pos", keys.html_to_text("raw").alias("text"), "title")
@@ -254,7 +267,6 @@ LEXICAL = r"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, t
     FROM p JOIN s x ON a = x.doc_id JOIN s y ON b = y.doc_id WHERE o >= 0.4455),
   r AS (SELECT *, floor((CAST(0.35 AS DOUBLE) * title_score + CAST(0.65 AS DOUBLE) * body_score) * 10000 + 0.5) / 10000 AS combined FROM q)
   SELECT a, b, body_score, title_score, combined FROM r WHERE body_score >= 0.9 OR (body_score >= 0.72 AND title_score >= 0.45 AND shared >= 1) OR (combined >= 0.64 AND shared >= 2)"""
-FOLD_SQL = "trim(regexp_replace(replace(lower(regexp_replace(translate({0}, '" + text.FOLD_FROM + "', '" + text.FOLD_TO + "'), '[’'']', '', 'g')), '-', ' '), '\\s+', ' ', 'g'))"
 
 
 @query(LEXICAL.format(fold_title=FOLD_SQL.format("title"), fold_body=FOLD_SQL.format("body"), stop=", ".join(f"'{w}'" for w in dedup.STOP_WORDS)))
@@ -336,24 +348,31 @@ def keyword_classify(t):
     return classify.category_scores(matches, "doc_id", ["function", "romance", "german", "phrase"]).select("doc_id", "category", "score", "confidence")
 
 
-@query("""WITH a AS (SELECT DISTINCT item_id, array_to_string(list_filter(string_split_regex(""" + FOLD_SQL.format("text") + """, '[^a-z0-9\\p{L}]+'), lambda x: x <> '')[1:3], ' ') AS k FROM benchmark),
-  d AS (SELECT doc_id, list_filter(string_split_regex(""" + FOLD_SQL.format("text") + """, '[^a-z0-9\\p{L}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-  r AS (SELECT doc_id, p AS pos, array_to_string(w[p : p + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3))
-  SELECT doc_id, CAST(pos AS INTEGER) AS pos, k AS span, item_id AS canonical_name FROM r JOIN a USING (k)""")
-def link_dictionary(t):
+TOKENS_SQL = "list_filter(string_split_regex(" + FOLD_SQL + ", '[^a-z0-9\\p{{L}}]+'), lambda x: x <> '')"
+STRIP_SQL = "CASE " + " ".join(f"WHEN k LIKE '%{e}' AND length(k) > {len(e) + 2} THEN left(k, length(k) - {len(e)})" for e in text.CASE_SUFFIXES) + " ELSE k END"
+LINK_SQL = f"""WITH a AS (SELECT DISTINCT item_id, array_to_string({TOKENS_SQL.format("text")}[1:3], ' ') AS alias FROM benchmark),
+  d AS (SELECT doc_id, {TOKENS_SQL.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d), r AS (SELECT doc_id, pos, w, unnest([1, 2, 3]) AS n FROM p),
+  k AS (SELECT doc_id, pos, array_to_string(w[pos : pos + n - 1], ' ') AS k FROM r WHERE pos + n - 1 <= len(w)), s AS (SELECT *, {STRIP_SQL} AS cut FROM k),
+  h AS (SELECT doc_id, pos, k, item_id, 1.0 AS score FROM s JOIN a ON k = alias UNION ALL SELECT doc_id, pos, k, item_id, 0.9 FROM s JOIN a ON cut = alias AND k <> alias)
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, k AS span, item_id AS canonical_name_MORE_ FROM h"""
+
+
+def linked(t) -> DataFrame:
+    """The first three words of every benchmark item, found in all documents as written or without a case ending."""
     lead = F.array_join(F.slice(F.filter(dictionary.tokens("text"), lambda x: x != ""), 1, 3), " ")
     aliases = t.benchmark.select(F.col("item_id").alias("canonical_name"), F.lit("").alias("district"), lead.alias("alias"))
-    hits = dictionary.link_dictionary(tables.spread(t.documents).filter("text IS NOT NULL"), aliases, "doc_id", "text", 3)
-    return hits.filter("score = 1.0").select("doc_id", "pos", "span", "canonical_name")
+    return dictionary.link_dictionary(tables.spread(t.documents).filter("text IS NOT NULL"), aliases, "doc_id", "text", 3)
 
 
-@query()
+@query(LINK_SQL.replace("_MORE_", ""))
+def link_dictionary(t):
+    return linked(t).select("doc_id", "pos", "span", "canonical_name")
+
+
+@query(LINK_SQL.replace("_MORE_", ", CAST(score AS DOUBLE) AS score, CASE WHEN score = 1.0 THEN 'exact' ELSE 'suffix' END AS tier"))
 def link_dictionary_tiers(t):
-    """All tiers of link_dictionary, whose SQL has the exact one only."""
-    lead = F.array_join(F.slice(F.filter(dictionary.tokens("text"), lambda x: x != ""), 1, 3), " ")
-    aliases = t.benchmark.select(F.col("item_id").alias("canonical_name"), F.lit("").alias("district"), lead.alias("alias"))
-    hits = dictionary.link_dictionary(tables.spread(t.documents).filter("text IS NOT NULL"), aliases, "doc_id", "text", 3)
-    return hits.select("doc_id", "pos", "span", "canonical_name", "score", "tier")
+    return linked(t).select("doc_id", "pos", "span", "canonical_name", "score", "tier")
 
 
 @query("""WITH c AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i)
@@ -607,9 +626,9 @@ def hexbin(t):
     return geo.hexbin(pts, "lat", "lng", 500.0, 40.75)
 
 
-@query("SELECT source, doc_id FROM documents WHERE n_chars > 3000 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10")
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10")
 def weak_label_cap(t):
-    return windows.cap_per_group(t.documents.filter("n_chars > 3000").select("source", "doc_id"), ["source"], ["doc_id"], 10)
+    return windows.cap_per_group(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], 10)
 
 
 DISTRICTS = ["that", "und", "les", "que"]
