@@ -43,6 +43,7 @@ def number_turns(conversations: DataFrame, paths: list[str]) -> tuple[DataFrame,
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     digest = F.unhex(F.substring(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256), 1, 32))
     facts = conversations.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long"), "turn", digest.alias("digest"), words(text).alias("words"))
+    facts = materialize(facts, "facts", paths)  # else the sampling for the order would read all texts as well
     rows = in_order(facts, [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("digest")], "turns", paths)
     pieces = rows.groupBy("part", "conv_id").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
