@@ -1,4 +1,4 @@
-"""Composite jobs: locations, geocoding, materialization, ingest, refresh, recompute and evaluation."""
+"""Composite jobs: geocoding, materialization, ingest, refresh, recompute and evaluation."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.keys import content_hash, dedupe_hash
-from tidewell.functions.scores import place_specificity
 from tidewell.functions.text import clean_text, fold, summary, text_payload
-from tidewell.operators import aggregates, classify, dedup, dictionary, filters, geo, merge, sets, windows
+from tidewell.operators import aggregates, classify, dedup, dictionary, filters, geo, merge, windows
 from tidewell.operators.embed import embed
 from tidewell.sources import tables
 
@@ -18,24 +17,6 @@ from tidewell.sources import tables
 LEXICAL_FIRST = 2
 
 
-def extract_locations(docs: DataFrame, gazetteer: DataFrame, id_col: str, text: str, place_words: list[str], noise: list[str]) -> DataFrame:
-    """(id, pos, place, district, score, rank): gazetteer and heuristic candidates, ambiguous names resolved.
-
-    A district is explicit when the text names it. Rank orders by score, specificity, then position.
-    """
-    linked = dictionary.link_dictionary(docs, gazetteer, id_col, text)
-    named = docs.select(F.col(id_col).alias("_d"), fold(text).alias("_t"))
-    linked = linked.join(named, linked[id_col] == F.col("_d")).withColumn("explicit", F.coalesce(F.contains("_t", fold("district")), F.lit(False)))
-    linked = linked.select(F.col(id_col).alias("doc"), F.col("canonical_name").alias("name"), "district", "explicit", "pos", "score")
-    clear = sets.suppress_ambiguous(linked).select("doc", "name", "district", "pos", "score")
-    rough = dictionary.heuristic_spans(docs, id_col, text, place_words, noise)
-    rough = rough.select(F.col(id_col).alias("doc"), F.col("span").alias("name"), F.lit(None).cast("string").alias("district"), "pos", "score")
-    both = sets.union_candidates([clear, rough], ["doc", "name", "district"])
-    order = [F.desc("score"), place_specificity("name").desc(), F.col("part"), F.col("pos"), F.col("name")]
-    ranked = windows.candidate_order(both, "doc", order)
-    return ranked.select(F.col("doc").alias(id_col), "pos", F.col("name").alias("place"), "district", "score", "rank")
-
-
 def geocode(cands: DataFrame, places: DataFrame, cache: DataFrame, id_col: str, now: Column, box, confidence: Column) -> DataFrame:
     """(id, attempt, status, failure_type, lat, lng, confidence, provider) of every attempt: cache, then places."""
     inputs = geo.geocode_inputs(cands, id_col)

@@ -1,4 +1,4 @@
-"""Registered queries over stored structures that they build from the given tables: index, buckets, logs, streams."""
+"""Registered queries over structures that they build and store: index, buckets, logs, streams, components, places."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scores import GEOCODE_RANK
-from tidewell.operators import geo, merge
-from tidewell.plans.registry import query
+from tidewell.operators import geo, merge, places
+from tidewell.plans.registry import STRIP_SQL, TOKENS_SQL, query
 from tidewell.sources import tables
 from tidewell.sources.bucket_table import BucketTable
 from tidewell.sources.manifest import Store, shared_path
@@ -119,3 +119,28 @@ def merge_fields(t):
     out = merge.merge_groups(rows, "source", "rank", "record_id", CATEGORIES)
     state = (F.array_position(states, F.col("geocode_status")) - 1).cast("int")
     return out.select("source", "n", "record_id", "category", "confidence", F.sha2("body", 256).alias("body_sha"), "location_text", F.col("lat").isNotNull().alias("has_point"), state.alias("state"))
+
+
+#: Frequent words of the documents as a gazetteer: districts, and neighbourhoods of which one lies in two of them.
+GAZETTEER = [("und", "und", "district"), ("que", "que", "district"), ("that", "that", "district"), ("der", "und", "neighborhood"), ("der", "que", "neighborhood"), ("la", "que", "neighborhood"), ("the", "that", "neighborhood")]
+PLACES_SQL = f"""WITH g(place, district, kind) AS (VALUES {", ".join(str(x) for x in GAZETTEER)}),
+  d AS (SELECT doc_id, {TOKENS_SQL.format("text")} AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS k, generate_subscripts(w, 1) AS pos FROM d), s AS (SELECT *, {STRIP_SQL} AS cut FROM t),
+  h AS (SELECT doc_id, pos, k AS span, place, district, kind, CASE WHEN k = place THEN 1.0 ELSE 0.9 END AS score FROM s JOIN g ON k = place OR cut = place),
+  one AS (SELECT doc_id, any_value(district) AS hint FROM h WHERE kind = 'district' GROUP BY doc_id HAVING count(DISTINCT district) = 1),
+  k AS (SELECT doc_id, pos, span, place, district, kind, score FROM h LEFT JOIN one USING (doc_id)
+      WHERE NOT coalesce(kind = 'neighborhood' AND district <> hint AND EXISTS (SELECT 1 FROM h b WHERE b.doc_id = h.doc_id AND b.pos = h.pos AND b.kind = 'neighborhood' AND b.district = hint), false)
+    UNION ALL SELECT a.doc_id, a.pos, a.span || ' ' || b.span, b.place, b.district, 'neighborhood', greatest(0.99, b.score) FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.kind = 'district' AND b.kind = 'neighborhood' AND a.district = b.district),
+  u AS (SELECT doc_id, span, district, CASE WHEN kind = 'neighborhood' THEN place END AS neighborhood, min(pos) AS pos, max(score) AS score FROM k GROUP BY ALL),
+  p AS (SELECT * FROM u WHERE NOT (district = 'que' AND neighborhood IS NULL AND doc_id IN (SELECT doc_id FROM u WHERE district = 'und'))),
+  x AS (SELECT *, count(DISTINCT district) OVER (PARTITION BY doc_id, neighborhood) AS kinds, max(contains(span, district)) OVER (PARTITION BY doc_id, neighborhood) AS named FROM p),
+  y AS (SELECT * FROM x WHERE neighborhood IS NULL OR kinds <= 1 OR NOT named OR contains(span, district))
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, len(string_split(span, ' ')) DESC, pos, coalesce(neighborhood, district), district, neighborhood NULLS FIRST) AS INTEGER) AS rank,
+    CAST(pos AS INTEGER) AS pos, span, coalesce(neighborhood, district) AS place, district, neighborhood, CAST(score AS DOUBLE) AS score FROM y"""
+
+
+@query(PLACES_SQL)
+def extract_places(t):
+    """Places of all documents by a gazetteer of frequent words: prefixes, hints, precedence, ambiguous names."""
+    gazetteer = t.spark.createDataFrame([(p, d, k, p) for p, d, k in GAZETTEER], "canonical_name string, district string, feature_type string, alias string")
+    rules = t.spark.createDataFrame([("und", "que")], "preferred string, shadowed string")
+    return places.extract_places(tables.spread(t.documents), gazetteer, "doc_id", "text", precedence=rules, most=1)
