@@ -50,6 +50,29 @@ def dashboard(df: DataFrame, category: str, district: str, wants_category: Colum
     return out.filter("facet = 'total' OR (key IS NOT NULL AND key <> '' AND n > 0)")
 
 
+def dashboard_facets(df: DataFrame, names: dict[str, str], cutoff: Column, wants_category: Column, wants_district: Column, others: Column, valid: Column) -> DataFrame:
+    """All counting facets of the dashboard in one scan, (facet, key, n); names gives category, district, source and ts.
+
+    stats_* and map_total hold under all filters; category_facets ignores the category filter, district_facets the
+    district filter.
+    """
+    c, d = F.coalesce(wants_category, F.lit(False)), F.coalesce(wants_district, F.lit(False))
+    rows = df.filter(others).select(
+        F.col(names["category"]).alias("category"), F.col(names["district"]).alias("district"), F.when(c & d, F.col(names["source"])).alias("source"), c.alias("c"), d.alias("d"),
+        (c & d).alias("all"), (c & d & F.coalesce(valid, F.lit(False))).alias("point"), (c & d & F.coalesce(F.col(names["ts"]) >= cutoff, F.lit(False))).alias("recent"),
+    )
+    grouped = rows.groupingSets([[F.col("category")], [F.col("district")], []], F.col("category"), F.col("district")).agg(
+        F.expr("grouping(category)").alias("gc"), F.expr("grouping(district)").alias("gd"), F.count_if("all").alias("n_all"), F.count_if("d").alias("n_d"), F.count_if("c").alias("n_c"),
+        F.count_if("point").alias("n_point"), F.count_if("recent").alias("n_recent"), F.count_distinct("source").alias("n_sources"),
+    )
+    one = lambda facet, n, key=None: F.struct(F.lit(facet).alias("facet"), (F.lit(None).cast("string") if key is None else F.col(key).cast("string")).alias("key"), F.col(n).alias("n"))
+    by_category = F.array(one("stats_categories", "n_all", "category"), one("category_facets", "n_d", "category"))
+    by_district = F.array(one("stats_districts", "n_all", "district"), one("district_facets", "n_c", "district"))
+    totals = F.array(one("stats_total", "n_all"), one("stats_sources", "n_sources"), one("stats_recent", "n_recent"), one("stats_geocoded", "n_point"), one("map_total", "n_point"))
+    out = grouped.select("gc", "gd", F.inline(F.when(F.col("gc") == 0, by_category).when(F.col("gd") == 0, by_district).otherwise(totals)))
+    return out.filter("(gc = 1 AND gd = 1) OR (key IS NOT NULL AND key <> '' AND n > 0)").select("facet", "key", "n")
+
+
 def crawl_summary(outcomes: DataFrame) -> DataFrame:
     """Counts per source of outcomes(source, pos, outcome, error), with the first error."""
     n = lambda *names: F.count_if(F.col("outcome").isin(*names))
@@ -140,6 +163,13 @@ def category_transitions(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("old_category", "new_category").agg(F.count("*").alias("n"))
 
 
+def change_report(pairs: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, changed, total) of pairs with old_x and new_x for every field x; null equals null."""
+    counts = [F.count_if(~F.col(f"old_{f}").eqNullSafe(F.col(f"new_{f}"))).alias(f) for f in fields]
+    row = pairs.agg(F.count("*").alias("total"), *counts)
+    return row.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("changed"), F.col("total").alias("total")) for f in fields])))
+
+
 def status_counts(df: DataFrame, field: str) -> DataFrame:
     return df.groupBy(F.col(field).alias("status")).agg(F.count("*").alias("n"))
 
@@ -150,6 +180,18 @@ def geocode_metrics(attempts: DataFrame) -> DataFrame:
     return attempts.agg(n.alias("total"), F.count_if("ok").alias("succeeded"), rate(F.count_if("ok"), n, 3).alias("success_rate"), rate(F.count_if(~F.col("ok")), n, 3).alias("failure_rate"), rate(F.count_if("cached"), n, 3).alias("cache_hit_rate"))
 
 
+def geocodes_by_district(attempts: DataFrame) -> DataFrame:
+    """(district, total, succeeded, success_rate) of attempts(ok, district)."""
+    n = F.count("*")
+    return attempts.filter("district IS NOT NULL AND district <> ''").groupBy("district").agg(n.alias("total"), F.count_if("ok").alias("succeeded"), rate(F.count_if("ok"), n, 3).alias("success_rate"))
+
+
+def failed_addresses(attempts: DataFrame, order: str, most: int = 100) -> DataFrame:
+    """The newest failed attempts(ok, address, failure_type), at most so many."""
+    rows = attempts.filter(~F.col("ok")).select(order, "address", "failure_type")
+    return rows.orderBy(F.desc(order), "address").limit(most)
+
+
 def top_failures(attempts: DataFrame, n: int = 5) -> DataFrame:
     return attempts.filter("failure_type IS NOT NULL").groupBy("failure_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "failure_type").limit(n)
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scores import GEOCODE_RANK
-from tidewell.operators import geo, merge, places
-from tidewell.plans.registry import STRIP_SQL, TOKENS_SQL, query
+from tidewell.operators import aggregates, geo, merge, places
+from tidewell.plans import jobs
+from tidewell.plans.registry import KEYWORDS, ORACLES, STRIP_SQL, TOKENS_SQL, query
 from tidewell.sources import tables
 from tidewell.sources.bucket_table import BucketTable
 from tidewell.sources.manifest import Store, shared_path
@@ -144,3 +145,73 @@ def extract_places(t):
     gazetteer = t.spark.createDataFrame([(p, d, k, p) for p, d, k in GAZETTEER], "canonical_name string, district string, feature_type string, alias string")
     rules = t.spark.createDataFrame([("und", "que")], "preferred string, shadowed string")
     return places.extract_places(tables.spread(t.documents), gazetteer, "doc_id", "text", precedence=rules, most=1)
+
+
+# ---- read API, reports, whole jobs
+
+DASHBOARD_SQL = """WITH f AS (SELECT *, o_orderpriority IN ('1-URGENT', '2-HIGH') AS c, o_orderstatus = 'O' AS d, o_custkey % 3 <> 0 AS point, o_orderdate >= TIMESTAMP '1998-01-01' AS recent FROM orders WHERE o_totalprice > 1000)
+  SELECT 'stats_total' AS facet, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM f WHERE c AND d UNION ALL SELECT 'stats_sources', NULL, count(DISTINCT o_custkey) FROM f WHERE c AND d
+  UNION ALL SELECT 'stats_recent', NULL, count(*) FROM f WHERE c AND d AND recent UNION ALL SELECT 'stats_geocoded', NULL, count(*) FROM f WHERE c AND d AND point UNION ALL SELECT 'map_total', NULL, count(*) FROM f WHERE c AND d AND point
+  UNION ALL SELECT 'stats_categories', o_orderpriority, count(*) FROM f WHERE c AND d GROUP BY 2 UNION ALL SELECT 'stats_districts', o_orderstatus, count(*) FROM f WHERE c AND d GROUP BY 2
+  UNION ALL SELECT 'category_facets', o_orderpriority, count(*) FROM f WHERE d GROUP BY 2 UNION ALL SELECT 'district_facets', o_orderstatus, count(*) FROM f WHERE c GROUP BY 2"""
+
+
+def as_orders(t) -> DataFrame:
+    """Orders as records: those of status P are merged away, those of some customers have no point."""
+    placed = F.col("o_custkey") % 3 != 0
+    return t.orders.withColumns({"record_status": F.when(F.col("o_orderstatus") == "P", "merged_duplicate"), "lat": F.when(placed, F.lit(40.0)), "lng": F.when(placed, F.lit(29.0))})
+
+
+@query(DASHBOARD_SQL)
+def dashboard_page(t):
+    names = {"category": "o_orderpriority", "district": "o_orderstatus", "source": "o_custkey", "ts": "o_orderdate"}
+    wants = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_orderstatus") == "O"
+    return aggregates.dashboard_facets(t.orders, names, F.lit("1998-01-01").cast("timestamp"), *wants, F.col("o_totalprice") > 1000, F.col("o_custkey") % 3 != 0)
+
+
+@query("""WITH r AS (SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus <> 'P')
+  SELECT 'item' AS part, o_orderkey AS value FROM (SELECT * FROM r ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 10) UNION ALL SELECT 'total', count(*) FROM r""")
+def list_page(t):
+    rows, total = jobs.list_records(as_orders(t), F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), "o_orderdate", "o_orderkey", 10, 20)
+    return rows.select(F.lit("item").alias("part"), F.col("o_orderkey").alias("value")).unionByName(total.select(F.lit("total").alias("part"), F.col("total").alias("value")))
+
+
+@query("SELECT o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'P' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 500) WHERE o_custkey % 3 <> 0")
+def map_page(t):
+    return jobs.map_points(as_orders(t), F.col("o_totalprice") > 1000, "o_orderdate", "o_orderkey", 500).select("o_orderkey")
+
+
+@query(f"WITH k AS ({ORACLES['keyword_classify']}) SELECT lang AS old_category, coalesce(category, 'unknown') AS new_category, count(*) AS n FROM documents LEFT JOIN k USING (doc_id) GROUP BY ALL")
+def reclassify_documents(t):
+    records = tables.spread(t.documents).select(F.col("doc_id").alias("record_id"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"), F.col("lang").alias("category"))
+    return jobs.reclassify(records, t.spark.createDataFrame(KEYWORDS, "category string, keyword string"), ["function", "romance", "german", "phrase"])[1]
+
+
+@query("""SELECT unnest(['lang', 'source', 'n_chars']) AS field, unnest([count(*) FILTER (lang IS DISTINCT FROM lower(left(source, 2))), count(*) FILTER (source IS DISTINCT FROM lower(source)), count(*) FILTER (n_chars IS DISTINCT FROM length(text))]) AS changed,
+  count(*) AS total FROM documents""")
+def change_report(t):
+    old = t.documents.select(F.col("lang").alias("old_lang"), F.col("source").alias("old_source"), F.col("n_chars").alias("old_n_chars"), F.lower(F.left("source", F.lit(2))).alias("new_lang"), F.lower("source").alias("new_source"), F.length("text").alias("new_n_chars"))
+    return aggregates.change_report(old, ["lang", "source", "n_chars"])
+
+
+@query("""SELECT event_type AS district, count(*) AS total, count(*) FILTER (value > 20) AS succeeded, round(count(*) FILTER (value > 20) / count(*), 3) AS success_rate FROM events WHERE event_type <> '' GROUP BY event_type""")
+def geocodes_by_district(t):
+    return aggregates.geocodes_by_district(t.events.select((F.col("value") > 20).alias("ok"), F.col("event_type").alias("district")))
+
+
+@query("SELECT event_id, props AS address, event_type AS failure_type FROM events WHERE event_type = 'error' ORDER BY event_id DESC, props LIMIT 100")
+def failed_addresses(t):
+    rows = t.events.select("event_id", (F.col("event_type") != "error").alias("ok"), F.col("props").alias("address"), F.col("event_type").alias("failure_type"))
+    return aggregates.failed_addresses(rows, "event_id")
+
+
+@query("""WITH p AS (SELECT variant, CASE WHEN n_chars >= least THEN 'good' END AS p, CASE WHEN quality = 1 THEN 'good' END AS e FROM labels LEFT JOIN documents USING (doc_id), (VALUES ('any', 250), ('long', 1000)) v(variant, least)),
+  m AS (SELECT variant, count(*) AS total, count(*) FILTER (p IS NOT DISTINCT FROM e) AS correct, count(*) FILTER (p IS NULL AND e IS NOT NULL) AS fn, count(*) FILTER (p IS NOT NULL AND e IS NULL) AS fp FROM p GROUP BY variant),
+  d AS (SELECT round(count(*) FILTER ((toxic = 1) = (quality = 0)) / count(*), 4) AS accuracy, count(*) FILTER (toxic = 1 AND quality <> 0) AS fp, count(*) FILTER (toxic <> 1 AND quality = 0) AS fn FROM labels)
+  SELECT variant AS subject, unnest(['total', 'correct', 'false_negative', 'false_positive', 'wrong', 'accuracy']) AS measure, unnest([CAST(total AS DOUBLE), correct, fn, fp, 0, round(correct / total, 4)]) AS value FROM m
+  UNION ALL SELECT 'duplicates', unnest(['accuracy', 'false_positive', 'false_negative']), unnest([CAST(accuracy AS DOUBLE), fp, fn]) FROM d""")
+def evaluation_report(t):
+    good = lambda least: t.documents.select("doc_id", F.when(F.col("n_chars") >= least, "good").alias("predicted"))
+    labels = t.labels.select("doc_id", F.when(F.col("quality") == 1, "good").alias("expected"))
+    pairs = t.labels.select((F.col("toxic") == 1).alias("is_duplicate"), (F.col("quality") == 0).alias("expected"))
+    return jobs.evaluation_report({"any": good(250), "long": good(1000)}, labels, "doc_id", pairs=pairs)
