@@ -52,7 +52,7 @@ def materialize(
     by_words = classify.category_scores(matches, "raw_document_id", order).select("raw_document_id", "category", "confidence")
     by_vector = None
     if exemplars is not None and make_embedder is not None:
-        vectors = rows.select("raw_document_id", embed("payload", make_embedder).alias("vector"))
+        vectors = rows.select("raw_document_id", embed(F.nullif("payload", F.lit("")), make_embedder).alias("vector"))
         by_vector = classify.semantic_classify(vectors, exemplars, "raw_document_id", "vector")
     out = rows.join(classify.classify_chain(rows, by_words, by_vector, "raw_document_id", order), "raw_document_id")
     return out if gazetteer is None else located(out, gazetteer, points, centroids, **place_rules)
