@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.keys import geo_query_key
 from tidewell.functions.text import fold
+from tidewell.operators.classify import small_table
 from tidewell.operators.components import connected_components
 from tidewell.operators.filters import in_bbox
 
@@ -68,7 +69,7 @@ def logical_places(docs: DataFrame, id_col: str, text: str, rules: DataFrame) ->
     rules(priority, strategy, pattern, place) is a small table; its rows become one chain of conditions.
     """
     t = fold(text)
-    found = F.coalesce(*[F.when(t.rlike(r.pattern), F.struct(F.lit(r.strategy).alias("strategy"), F.lit(r.place).alias("place"))) for r in rules.orderBy("priority").collect()])
+    found = F.coalesce(*[F.when(t.rlike(r.pattern), F.struct(F.lit(r.strategy).alias("strategy"), F.lit(r.place).alias("place"))) for r in small_table(rules.orderBy("priority"))])
     return docs.select(id_col, found.alias("f")).filter("f IS NOT NULL").select(id_col, "f.*")
 
 

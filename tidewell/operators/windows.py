@@ -107,9 +107,11 @@ def cap_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataF
 
 def runner_up_margin(scores: DataFrame, doc: str, score: str) -> DataFrame:
     """(doc, best, margin): distance of the best score to the second; a single score is its own margin."""
-    top = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 2)
-    rows = scores.groupBy(doc).agg(top.alias("_t"))
-    return rows.select(doc, F.get("_t", F.lit(0)).alias("best"), (F.get("_t", F.lit(0)) - F.coalesce(F.get("_t", F.lit(1)), F.lit(0.0))).alias("margin"))
+    best = F.max(score).over(Window.partitionBy(doc))
+    rows = scores.select(doc, F.col(score).alias("_s"), best.alias("_best"))
+    per = rows.groupBy(doc).agg(F.max("_best").alias("best"), F.count_if(F.col("_s") == F.col("_best")).alias("_ties"), F.max(F.when(F.col("_s") < F.col("_best"), F.col("_s"))).alias("_next"))
+    second = F.when(F.col("_ties") > 1, F.col("best")).otherwise(F.coalesce("_next", F.lit(0.0)))
+    return per.select(doc, "best", (F.col("best") - second).alias("margin"))
 
 
 def candidate_order(cands: DataFrame, doc: str, keys: list) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scores import GEOCODE_RANK
-from tidewell.operators import aggregates, geo, merge, places
+from tidewell.operators import aggregates, dictionary, geo, merge, places
 from tidewell.plans import jobs
-from tidewell.plans.registry import KEYWORDS, ORACLES, STRIP_SQL, TOKENS_SQL, query
+from tidewell.plans.registry import FOLD_SQL, KEYWORDS, ORACLES, STRIP_SQL, TOKENS_SQL, query
 from tidewell.sources import tables
 from tidewell.sources.bucket_table import BucketTable
 from tidewell.sources.manifest import Store, shared_path
@@ -215,3 +215,25 @@ def evaluation_report(t):
     labels = t.labels.select("doc_id", F.when(F.col("quality") == 1, "good").alias("expected"))
     pairs = t.labels.select((F.col("toxic") == 1).alias("is_duplicate"), (F.col("quality") == 0).alias("expected"))
     return jobs.evaluation_report({"any": good(250), "long": good(1000)}, labels, "doc_id", pairs=pairs)
+
+
+STRIP_WORD = STRIP_SQL.replace("k LIKE", "lower({0}) LIKE").replace("length(k)", "length({0})").replace("left(k", "left({0}").replace("ELSE k", "ELSE {0}")
+LINK_WORDS_SQL = f"""WITH g AS (SELECT DISTINCT a, {FOLD_SQL.format("a")} AS f FROM (SELECT unnest(string_split_regex(text, '[\\s,;:.!?()\\[\\]"]+')) AS a FROM benchmark) WHERE length(a) BETWEEN 8 AND 14),
+  t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\\s,;:.!?()\\[\\]"]+'), lambda x: x <> '') AS w FROM documents)),
+  v AS (SELECT DISTINCT word, word AS s0, {STRIP_WORD.format("word")} AS s1 FROM t WHERE length(word) >= 3), c AS (SELECT *, {STRIP_WORD.format("s1")} AS s2 FROM v),
+  s AS (SELECT word, turn, s, {FOLD_SQL.format("s")} AS f FROM (SELECT word, 0 AS turn, s0 AS s FROM c UNION ALL SELECT word, 1, s1 FROM c WHERE s1 <> s0 UNION ALL SELECT word, 2, s2 FROM c WHERE s2 <> s1)),
+  m AS (SELECT word, turn, 1 AS place, a, 'exact' AS tier, 1.0 AS score FROM s JOIN g ON s = a UNION ALL SELECT word, turn, 2, a, 'normalized', 0.95 FROM s JOIN g USING (f)
+    UNION ALL SELECT word, turn, 4, a, 'fuzzy', CAST(2 AS DOUBLE) * least(length(s.f), length(g.f)) / (length(s.f) + length(g.f)) FROM s JOIN g ON left(s.f, 3) = left(g.f, 3) AND abs(length(s.f) - length(g.f)) = 1
+      AND list_contains(list_transform(range(1, greatest(length(s.f), length(g.f)) + 1), lambda i: CASE WHEN length(s.f) > length(g.f) THEN left(s.f, CAST(i AS INTEGER) - 1) || substr(s.f, CAST(i AS INTEGER) + 1) ELSE left(g.f, CAST(i AS INTEGER) - 1) || substr(g.f, CAST(i AS INTEGER) + 1) END), CASE WHEN length(s.f) > length(g.f) THEN g.f ELSE s.f END) AND least(length(s.f), length(g.f)) >= 8 AND regexp_full_match(s.f, '\\p{{L}}+') AND regexp_full_match(g.f, '\\p{{L}}+')),
+  b AS (SELECT word, arg_min({{'a': a, 'tier': tier, 'score': score}}, (turn, place, -score, a)) AS b FROM m GROUP BY word),
+  h AS (SELECT doc_id, b.a AS canonical_name, min(pos) AS pos, arg_min({{'word': word, 'tier': b.tier, 'score': b.score}}, pos) AS f FROM t JOIN b USING (word) WHERE length(word) >= 3 GROUP BY 1, 2)
+  SELECT doc_id, canonical_name, CAST(pos AS INTEGER) AS pos, f.word AS word, f.tier AS tier, CAST(f.score AS DOUBLE) AS score FROM h"""
+
+
+@query(LINK_WORDS_SQL)
+def link_words(t):
+    """Words of all documents against long words of the benchmark: exact, folded and fuzzy, with and without endings."""
+    split = F.explode(F.split("text", r"[\s,;:.!?()\[\]\"]+"))
+    aliases = t.benchmark.select(split.alias("alias")).filter(F.length("alias").between(8, 14)).distinct()
+    gazetteer = aliases.select(F.col("alias").alias("canonical_name"), F.lit(None).cast("string").alias("district"), F.lit("place").alias("feature_type"), "alias", F.lit(True).alias("allow_fuzzy"))
+    return dictionary.link_words(tables.spread(t.documents), gazetteer, "doc_id", "text").drop("district")
