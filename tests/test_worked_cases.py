@@ -217,3 +217,21 @@ def test_evaluation_report(spark):
     assert out["logical", "accuracy"] == 0.5 and out["fields", "n_district"] == 2.0 and out["fields", "accuracy_district"] == 0.5
     with pytest.raises(KeyError):
         out["duplicates", "accuracy"]
+
+
+def test_words_of_a_gazetteer(spark):
+    rows = [("Gebze", "Gebze", "district", "Gebze", True), ("Körfez", "Körfez", "district", "Körfez", True), ("Sahilkent", "Gebze", "neighborhood", "Sahilkent", True), ("Kartepe", None, "hill", "kartepe", False)]
+    gazetteer = spark.createDataFrame(rows, "canonical_name string, district string, feature_type string, alias string, allow_fuzzy boolean")
+    docs = spark.createDataFrame([(1, "Gebze'de körfez, Sahilkentde! Sahillkent (Kartep) GEBZE ab"), (2, "Körfezli yok"), (3, None)], "id int, t string")
+    got = {(r.id, r.canonical_name): (r.pos, r.word, r.tier, r.score) for r in dictionary.link_words(docs, gazetteer, "id", "t", endings=["li"]).collect()}
+    assert got == {(1, "Gebze"): (0, "Gebze'de", "exact", 1.0), (1, "Körfez"): (1, "körfez", "normalized", 0.95), (1, "Sahilkent"): (2, "Sahilkentde", "exact", 1.0), (2, "Körfez"): (0, "Körfezli", "morphology", 0.9)}
+    words = spark.createDataFrame([("Sahillkent",), ("Kartepee",)], "word string")
+    assert [(r.word, r.canonical_name, r.tier, round(r.score, 4)) for r in dictionary.match_words(words, gazetteer).collect()] == [("Sahillkent", "Sahilkent", "fuzzy", round(18 / 19, 4))]
+
+
+def test_small_tables_only(spark):
+    from tidewell.operators import classify
+
+    with pytest.raises(ValueError):
+        classify.small_table(spark.range(classify.SMALL_TABLE + 1))
+    assert len(classify.small_table(spark.range(3))) == 3
