@@ -375,7 +375,8 @@ def test_warc(spark):
     assert index.select("path").distinct().count() > 3
     for path, rows in index.toPandas().groupby("path"):  # whole archives are valid gzip files, members in order of the index
         with gzip.open(path.removeprefix("file:"), "rb") as f:
-            assert f.read().count(b"WARC/1.1\r\n") == len(rows)
+            raw = f.read()
+            assert raw.count(b"WARC/1.1\r\n") == len(rows) and raw.count(b"WARC-Profile: http") == raw.count(b"WARC-Type: revisit")
     some = warc.read_records(index.filter("page_id >= 150")).collect()
     assert sorted(r.page_id for r in some) == list(range(150, 160))
     assert warc.report(df.limit(0)).count() == 0

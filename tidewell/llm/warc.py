@@ -31,6 +31,8 @@ LEAST_PAYLOAD, FILE_BYTES, RANGE_BYTES, GAP_BYTES = 100, 64 << 20, 8 << 20, 64 <
 LEVEL = 4  # of gzip
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Fixed value: what a revisit record says of itself.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -57,6 +59,7 @@ def records(pages: DataFrame) -> DataFrame:
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("digest"), F.lit(">"))),
+        line("WARC-Profile", F.when(revisit, F.lit(REVISIT))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("X-Page-ID", F.col("page_id")),
         line("X-Payload-Length", F.col("payload_bytes")),
