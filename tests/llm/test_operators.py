@@ -219,6 +219,30 @@ def test_worst_passage_equals_the_folded_decision():
     assert f[0][0] == pytest.approx((space.map(passages) @ w).max() + 0.5, abs=1e-4)
 
 
+def test_memory_of_the_fit():
+    """No second matrix of the size of the passages' map, which lies in the driver."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 14)) for _ in range(12_000)]
+    space, peak = toxicity.Nystroem(words[:200]), {}
+
+    def used(name, f):
+        tracemalloc.start()
+        out = f()
+        peak[name] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    x = used("map", lambda: space.map(words))
+    y = np.where(rng.random(len(x)) < 0.3, 1.0, -1.0)
+    w, _ = used("svm", lambda: toxicity.svm(x, y, np.ones(len(x))))
+    used("table", lambda: space.table(w))
+    assert peak["map"] < 1.6 * x.nbytes and peak["svm"] < 1.5 * x.nbytes and peak["table"] < 1.2 * space.phi.nbytes + 4 * toxicity.CLASSES**4, (peak, x.nbytes, space.phi.nbytes)
+
+
 def test_joined_decisions_and_readings():
     import numpy as np
 

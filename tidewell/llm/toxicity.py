@@ -46,6 +46,7 @@ GRAMS, BUCKETS, REACH = (6, 7), 22, 10  # the witness: letters of a run, bits of
 LEAST_EVIDENCE, LEAST_SHARE = 5.0, 0.01  # standard errors; of the toxic documents, 3 documents at least
 PIVOTS = (900, 450)  # passages of each class that landmarks are chosen from
 CLEAN_WEIGHT = 2.0  # of a clean document in the calibration
+SLICE = 2000  # rows of a matrix that are converted to double at once: the fit runs in the driver's memory
 DEEP, NORM = 4, 3  # worst passages of a text that its score rests on, and the norm that joins them
 
 
@@ -139,12 +140,17 @@ class Nystroem:
         return out
 
     def map(self, strings: list[str]) -> np.ndarray:
-        return self.kernel(strings) @ self.root
+        out = self.kernel(strings)
+        for at in range(0, len(out), SLICE):  # in place: one matrix of this size is enough
+            out[at : at + SLICE] = out[at : at + SLICE] @ self.root
+        return out
 
     def table(self, w: np.ndarray) -> np.ndarray:
         """The linear model on the map as one weight per subsequence."""
         g = np.zeros(CLASSES**4, np.float32)
-        g[self.known] = self.phi[1:] @ (self.root @ w)
+        v = self.root @ w
+        for at in range(0, len(self.known), SLICE):
+            g[self.known[at : at + SLICE]] = self.phi[at + 1 : at + 1 + SLICE] @ v
         return g
 
 
@@ -156,14 +162,14 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE,
     for _ in range(rounds):
         left, right = penalty.copy(), np.zeros(len(penalty))
         rows = np.flatnonzero(active)
-        for at in range(0, len(rows), 2000):  # slices bound the memory
-            own = rows[at : at + 2000]
+        for at in range(0, len(rows), SLICE):
+            own = rows[at : at + SLICE]
             part = np.hstack([x[own], np.ones((len(own), 1))])
             scaled = part * weight[own, None]
             left += scaled.T @ part
             right += scaled.T @ y[own]
         w = np.linalg.solve(left, right)
-        now = y * (x @ w[:-1] + w[-1]) < 1
+        now = np.concatenate([y[at : at + SLICE] * (x[at : at + SLICE] @ w[:-1] + w[-1]) < 1 for at in range(0, len(x), SLICE)])
         if (now == active).all():
             break
         active = now
