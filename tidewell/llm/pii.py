@@ -1,7 +1,7 @@
 """Operator 4: personal data by candidate gradient boosting, with DataFrame and SQL functions only.
 
 Four base kinds have fixed patterns and checks; they always count. Generators with loose patterns propose more spans, which
-may overlap each other and the base ones. Boosted trees of each generator, fitted on a bounded sample, score candidates by
+may overlap each other and the base ones. Boosted trees of each generator, fitted on those of all documents, score candidates by
 format and context; they run as nested CASE expressions, and a threshold calibrated on held-out candidates selects those
 that are added. The fit takes what could be added, candidates that overlap no base span: long keys behind a word such
 as "token" are positive, anything else, such as a number that fails its check, is negative. Base matches in other
@@ -15,11 +15,15 @@ spans are added.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import delete_path, materialize
+
 #: Patterns of the base kinds. Lookbehind and possessive quantifiers only keep long runs linear; matches are the same. A
 #: card's run of digits is as long as it can be, so one with fewer than 16 digits, which fails, need not match at all.
 BASE = {
@@ -50,7 +54,9 @@ DISGUISES = [
 SPAN = "struct<kind:string,start:int,end:int,lo:int,hi:int,s:string,before:string,after:string>"
 #: Elements that one fold of scan_sql() appends to an array, which is copied each time.
 CHUNK = 64
-SAMPLE_DOCS, SAMPLE_SHAPES, TREES, DEPTH, PRECISION = 50_000, 20_000, 10, 3, 0.95
+TREES, DEPTH, PRECISION = 10, 3, 0.95
+#: Feature rows of one partition of a fit; decimals of a margin that the threshold tells apart.
+PART, DECIMALS = 100_000, 3
 
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 
@@ -188,46 +194,48 @@ def disguised() -> Column:
     return F.expr(f"transform(filter(flatten(transform(base, b -> array({', '.join(forms)}))), (x, i) -> base[CAST(i DIV {len(forms)} AS int)].kind = x.of AND ({whole})), x -> x.c)")
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> dict[str, tuple[list, float]] | None:
-    """Trees and margin threshold of each generator that has any to add, from candidates of about sample_docs documents (a hash of the text picks them).
+def train(docs: DataFrame, precision: float = PRECISION) -> dict[str, tuple[list, float]] | None:
+    """Trees and margin threshold of each generator that has any to add, from the candidates of all documents.
 
-    Equal feature rows are counted first; at most SAMPLE_SHAPES of them, the most frequent, are fitted. One in five is
-    held out: the threshold lies below the least margin whose selections are right in a share of `precision`, halfway to
-    the next held-out one or 0.
+    Equal feature rows are counted first, and the counts are written to the shared folder, because every tree reads them. One
+    in five feature rows is held out: the threshold lies below the least margin whose selections are right in a share of
+    `precision`, halfway to the next held-out one or 0.
     """
-    n = docs.count()
-    pick = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / max(n, 1)))
     both = F.concat(F.transform(F.expr(fresh_sql()), lambda c: F.struct(c.alias("c"), F.lit(False).alias("made"))), F.transform(disguised(), lambda c: F.struct(c.alias("c"), F.lit(True).alias("made"))))
     # outer, so that no filter on the size of what is to be unpacked is inferred, which would search each text twice
-    rows = found(docs.select("text").filter(pick)).select(F.inline_outer(both)).filter("c IS NOT NULL")
+    rows = found(docs.select("text")).select(F.inline_outer(both)).filter("c IS NOT NULL")
     # what may be real data in another writing is no negative example
     f = features(F.col("c"))
     unsure = ((F.col("c.kind") == "number") & (f["context"] == 1) & (f["touches"] == 0)) | ((F.col("c.kind") == "address") & (f["n_dots"] > 0))
     rows = rows.filter(F.col("made") | ~unsure)
     positive = F.col("made") | ((F.col("c.kind") == "key") & F.col("c.before").rlike(CONTEXT))
-    shapes = rows.select("c.kind", features(F.col("c")).alias("f"), positive.cast("double").alias("label")).groupBy("kind", "f", "label").agg(F.count("*").cast("double").alias("weight"))
-    top = shapes.orderBy(F.desc("weight"), F.xxhash64("f"), "kind", "label").limit(SAMPLE_SHAPES).collect()
-    models = {kind: fit(docs.sparkSession, [r for r in top if r.kind == kind], precision) for kind in GENERATORS}
+    counts = rows.select("c.kind", features(F.col("c")).alias("f"), positive.cast("double").alias("label")).groupBy("kind", "f", "label").agg(F.count("*").cast("double").alias("weight"))
+    paths = []
+    try:
+        shapes = materialize(counts.select("kind", *[F.col("f")[c].cast("double").alias(c) for c in FEATURES], "label", "weight"), "pii-shapes", paths)
+        models = {kind: fit(shapes.filter(F.col("kind") == kind), precision) for kind in GENERATORS}
+    finally:
+        for path in paths:
+            delete_path(docs.sparkSession, path)
     return {kind: m for kind, m in models.items() if m} or None
 
 
-def fit(spark, top: list, precision: float) -> tuple[list, float] | None:
+def fit(shapes: DataFrame, precision: float) -> tuple[list, float] | None:
     """Trees and threshold of one generator's feature rows."""
-    if len({r.label for r in top}) < 2:
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(shapes.withColumn("held", F.pmod(F.xxhash64(*FEATURES), F.lit(5)) == 0))
+    counts = {(r.held, r.label): r.n for r in data.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
+    if len({label for _, label in counts}) < 2:
         return None
-    flat = spark.createDataFrame([(*map(float, r.f), r.label, r.weight) for r in top], [*FEATURES, "label", "weight"])
-    held = F.pmod(F.xxhash64(*FEATURES), F.lit(5)) == 0
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat).coalesce(1)
-    fit_on = data.filter(~held)
-    if len({r.label for r in fit_on.select("label").distinct().collect()}) < 2:
-        fit_on = data
-    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=7)
-    fitted = gbt.fit(fit_on)
+    n = sum(counts.values())
+    fit_on = data.filter("NOT held") if len({label for held, label in counts if not held}) == 2 else data
+    # splits are placed by all rows if these are no more than the square of the bins, else by a sample; no feature has 128 values
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=min(max(128, math.isqrt(n) + 1), 46_340), weightCol="weight", seed=7)
+    fitted = gbt.fit(fit_on.coalesce(1 + n // PART))
     model = []
     for weight, tree in zip(fitted.treeWeights, fitted.trees):
         model.append((float(weight), parse_tree(iter(tree.toDebugString.splitlines()[1:]))))
-    f = F.struct(*FEATURES)
-    scored = data.filter(held).select(margin(model, f).alias("m"), "label", "weight").groupBy("m").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good"))
+    # some thousand rows at most: margins lie in a small range
+    scored = data.filter("held").select(F.round(margin(model, F.struct(*FEATURES)), DECIMALS).alias("m"), "label", "weight").groupBy("m").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good"))
     right = total = 0.0
     threshold = None
     ranked = sorted(scored.collect(), key=lambda r: -r.m)
