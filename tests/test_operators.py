@@ -445,3 +445,27 @@ def test_ingest_reaches_every_tier(spark):
     cheap = {1: (1, "new"), 2: (1, "hash"), 3: (1, "lexical"), 4: (4, "new"), 5: (5, "new"), 6: (6, "new")}
     assert run() == cheap
     assert run(make_embedder=letters) == cheap | {4: (1, "semantic"), 6: (1, "semantic")}
+
+
+def shuffles_of(df, scan: str = "Range (0, 200") -> int:
+    """Shuffles in the plan of df through which the rows of a scan pass."""
+    lines = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if x.strip()]
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    most = 0
+    for i in (i for i, x in enumerate(lines) if scan in x):
+        at, n = depth[i], 0
+        for j in range(i, -1, -1):
+            if depth[j] < at:
+                at, n = depth[j], n + (lines[j].lstrip(" :+-").startswith("Exchange "))
+        most = max(most, n)
+    return most
+
+
+def test_linking_leaves_the_documents_where_they_are(spark):
+    docs = spark.range(200).withColumn("t", F.concat(F.lit("Sahil Yolu'nda, sahilde ve oʼbrien oʼya "), "id"))
+    rows = [("A", "x", "sahil yolu"), ("B", "x", "Sahil"), ("C", None, "sahil yolunda"), ("D", None, "oʼbrien"), ("D", None, "o"), ("E", "x", "yok")]
+    linked = dictionary.link_dictionary(docs, spark.createDataFrame(rows, "canonical_name string, district string, alias string"), "id", "t")
+    assert shuffles_of(linked) == 0
+    got = sorted((r.pos, r.span, r.canonical_name, r.tier) for r in linked.filter("id = 7").collect())
+    assert got == [(1, "sahil", "B", "exact"), (1, "sahil yolunda", "A", "suffix"), (1, "sahil yolunda", "C", "exact"), (3, "sahilde", "B", "suffix"), (5, "oʼbrien", "D", "exact"), (6, "oʼya", "D", "suffix")]
+    assert linked.count() == 1200
