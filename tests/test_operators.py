@@ -469,3 +469,11 @@ def test_linking_leaves_the_documents_where_they_are(spark):
     got = sorted((r.pos, r.span, r.canonical_name, r.tier) for r in linked.filter("id = 7").collect())
     assert got == [(1, "sahil", "B", "exact"), (1, "sahil yolunda", "A", "suffix"), (1, "sahil yolunda", "C", "exact"), (3, "sahilde", "B", "suffix"), (5, "oʼbrien", "D", "exact"), (6, "oʼya", "D", "suffix")]
     assert linked.count() == 1200
+
+
+def test_venues_leave_the_documents_where_they_are(spark):
+    docs = spark.range(200).select((F.col("id") * 2).alias("id"), F.concat(F.lit("Sahil Yolu ve Park "), "id").alias("t"))
+    venues = spark.createDataFrame([("a", "park", 2), ("b", "sahil yolu", 1), ("c", "parkta", 0)], "venue string, alias string, priority int")
+    got = dictionary.match_named_venue(docs, venues, "id", "t")
+    assert shuffles_of(got) == 1  # of one row a document
+    assert {r.venue for r in got.collect()} == {"b"}
