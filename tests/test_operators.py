@@ -477,3 +477,23 @@ def test_venues_leave_the_documents_where_they_are(spark):
     got = dictionary.match_named_venue(docs, venues, "id", "t")
     assert shuffles_of(got) == 1  # of one row a document
     assert {r.venue for r in got.collect()} == {"b"}
+
+
+def moved_columns(df) -> str:
+    """What the shuffles and broadcasts of df's plan take in."""
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    parts = out.getvalue().split("\n\n")
+    return "\n".join(p for p in parts if p.lstrip().split("\n")[0].endswith("Exchange"))
+
+
+def test_keywords_shuffle_one_row_a_document_and_keyword(spark):
+    docs = spark.range(200).select((F.col("id") * 2).alias("id"), F.lit("Sahilde park park, ve kıyı yolu").alias("t"), F.lit("Park").alias("u"))
+    kw = spark.createDataFrame([("a", "sahil"), ("a", "park"), ("b", "kıyı yolu"), ("b", "yol")], "category string, keyword string")
+    got = dictionary.match_keywords(docs, kw, "id", {"t": 1.0, "u": 3.0}, ["de"])
+    assert shuffles_of(got) == 1 and not any(x in moved_columns(got) for x in ("run#", "r0"))
+    assert {(r.category, r.keyword, r.score) for r in got.collect()} == {("a", "sahil", 1.0), ("a", "park", 4.0), ("b", "kiyi yolu", 1.0)} and got.count() == 600
