@@ -497,3 +497,10 @@ def test_keywords_shuffle_one_row_a_document_and_keyword(spark):
     got = dictionary.match_keywords(docs, kw, "id", {"t": 1.0, "u": 3.0}, ["de"])
     assert shuffles_of(got) == 1 and not any(x in moved_columns(got) for x in ("run#", "r0"))
     assert {(r.category, r.keyword, r.score) for r in got.collect()} == {("a", "sahil", 1.0), ("a", "park", 4.0), ("b", "kiyi yolu", 1.0)} and got.count() == 600
+
+
+def test_reclassified_records_shuffle_no_tokens(spark):
+    records = spark.range(200).select(F.col("id").alias("record_id"), F.lit("Park").alias("title"), F.lit("sahil yolu").alias("body"), F.lit("old").alias("category"))
+    counts = jobs.reclassify(records, spark.createDataFrame([("a", "sahil"), ("b", "park")], "category string, keyword string"), ["a", "b"])[1]
+    assert not any(x in moved_columns(counts) for x in ("token", "run#", "r0", "body"))
+    assert [(r.old_category, r.new_category, r.n) for r in counts.collect()] == [("old", "b", 200)]
