@@ -504,3 +504,12 @@ def test_reclassified_records_shuffle_no_tokens(spark):
     counts = jobs.reclassify(records, spark.createDataFrame([("a", "sahil"), ("b", "park")], "category string, keyword string"), ["a", "b"])[1]
     assert not any(x in moved_columns(counts) for x in ("token", "run#", "r0", "body"))
     assert [(r.old_category, r.new_category, r.n) for r in counts.collect()] == [("old", "b", 200)]
+
+
+def test_context_rule_moves_no_texts(spark):
+    docs = spark.createDataFrame([(1, "the cat was"), (2, "the dog"), (3, "und"), (4, None)], "id long, t string")
+    weak = spark.createDataFrame([("e", "the", ["was", "they", None])], "category string, keyword string, hints array<string>")
+    matches = spark.createDataFrame([(1, "e", "the", 1.0), (2, "e", "the", 1.0), (3, "g", "und", 1.0), (4, "g", "und", 1.0), (4, "e", "the", 1.0), (9, "g", "und", 1.0)], "id long, category string, keyword string, score double")
+    got = dictionary.context_rule(matches, weak, docs, "id", "t")
+    assert "id" in moved_columns(got) and "_text" not in moved_columns(got)
+    assert sorted((r.id, r.keyword) for r in got.collect()) == [(1, "the"), (3, "und"), (4, "und")]
