@@ -513,3 +513,12 @@ def test_context_rule_moves_no_texts(spark):
     got = dictionary.context_rule(matches, weak, docs, "id", "t")
     assert "id" in moved_columns(got) and "_text" not in moved_columns(got)
     assert sorted((r.id, r.keyword) for r in got.collect()) == [(1, "the"), (3, "und"), (4, "und")]
+
+
+def test_vectors_are_not_copied_for_every_pair_of_blocks(spark):
+    rng = random.Random(5)
+    rows = [(f"r{i:02}", [rng.choice((-1.0, 1.0)) for _ in range(6)]) for i in range(90)]
+    found = dedup.semantic_duplicates(spark.createDataFrame(rows, "id string, v array<float>"), "id", "v", 0.6, block=10)
+    assert "v#" not in moved_columns(found)
+    want = {(a, b) for (a, v), (b, w) in itertools.combinations(rows, 2) if sum(x * y for x, y in zip(v, w)) / 6 >= 0.6}
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
