@@ -522,3 +522,23 @@ def test_vectors_are_not_copied_for_every_pair_of_blocks(spark):
     assert "v#" not in moved_columns(found)
     want = {(a, b) for (a, v), (b, w) in itertools.combinations(rows, 2) if sum(x * y for x, y in zip(v, w)) / 6 >= 0.6}
     assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
+
+
+def test_lexical_candidates_are_not_shuffled_and_blocks_lose_none(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words[:9], k=3)), " ".join(rng.choices(words, k=rng.randint(1, 9)))) for i in range(120)]
+    docs = spark.createDataFrame([*rows, *((200 + i, t, b) for i, t, b in rows[:20])], "id long, title string, body string")
+    one = dedup.lexical_duplicates(docs, "id", "title", "body", with_ratio=False)
+    assert "_t#" not in moved_columns(one)  # token sets of candidates
+    monkeypatch.setattr(dedup, "BLOCK_SETS", 9)
+    many = dedup.lexical_duplicates(docs, "id", "title", "body", with_ratio=False)
+    got = sorted(map(tuple, many.collect()))
+    assert got == sorted(map(tuple, one.collect())) and len(got) > 40 and {(i, 200 + i) for i in range(20)} <= {(a, b) for a, b, *_ in got}
+    sets = [(i, set(t.split()), set(b.split())) for i, t, b in rows]
+    want = set()
+    for (a, t, b), (c, u, d) in itertools.combinations(sets, 2):
+        body, title, both = len(b & d) / min(len(b), len(d)), len(t & u) / min(len(t), len(u)), len(t & u)
+        if body >= 0.9 or (body >= 0.72 and title >= 0.45 and both) or (0.35 * round(title, 4) + 0.65 * round(body, 4) >= 0.64 and both > 1):
+            want.add((a, c))
+    assert {(a, b) for a, b, *_ in got if b < 200} == want
