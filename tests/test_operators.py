@@ -542,3 +542,10 @@ def test_lexical_candidates_are_not_shuffled_and_blocks_lose_none(spark, monkeyp
         if body >= 0.9 or (body >= 0.72 and title >= 0.45 and both) or (0.35 * round(title, 4) + 0.65 * round(body, 4) >= 0.64 and both > 1):
             want.add((a, c))
     assert {(a, b) for a, b, *_ in got if b < 200} == want
+
+
+def test_ratio_is_not_taken_where_it_can_not_decide(spark):
+    rows = [("sahil yolu", "sahil yolunda", 0.6), ("sahil", "park yeri", 0.6), ("sahil", "park yeri", 0.0), (None, "", 0.9)]
+    got = spark.createDataFrame(rows, "a string, b string, least double").select(dictionary.sequence_ratio(F.col("a"), F.col("b"), F.col("least")).alias("r")).collect()
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert [r.r for r in got] == [ratio("sahil yolu", "sahil yolunda"), 0.0, ratio("sahil", "park yeri"), 1.0]
